@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, licenses, pii, simhash, warc
+from . import chat, decontaminate, exact_dedup, licenses, pieces, pii, simhash, suffix_dedup, toxicity, warc
 from .common import table, with_row_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("output").cast("long").alias("formatted_chars"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(with_row_id(table(spark, sf_dir, "documents")))
     counts = [pii.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]]
@@ -51,10 +55,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_row_id(table(spark, sf_dir, "documents"))
+    found = toxicity.scored(docs, toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels"))))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.array_join(F.col("spans").cast("array<string>"), ",").alias("spans"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_row_id(table(spark, sf_dir, "documents"))
     return exact_dedup.exact_owners(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_row_id(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0])) if name.startswith("op")}
