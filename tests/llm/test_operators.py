@@ -87,7 +87,7 @@ def test_chat_reads_back(spark, data):
 
 
 def test_chat_tree_takes_the_best_branches(spark):
-    nodes = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "low", 1.0), ("t", 3, 1, "assistant", "high", 5.0), ("t", 4, 3, "user", "more", 4.0), ("t", 9, 77, "user", "lost", 0.5), ("c", 1, 2, "user", "x", 1.0), ("c", 2, 1, "user", "y", 1.0), ("c", 3, 2, "user", "z", 1.0)]
+    nodes = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "low", 1.0), ("t", 3, 1, "assistant", "high", 5.0), ("t", 4, 3, "user", "more", 4.0), ("t", 9, 77, "user", "lost", 0.6), ("c", 1, 2, "user", "x", 1.0), ("c", 2, 1, "user", "y", 1.0), ("c", 3, 2, "user", "z", 1.0)]
     frame = spark.createDataFrame(nodes, "tree string, node int, parent int, role string, text string, score double")
     out = {(r.tree, r.leaf): (r["rank"], r.turns) for r in chat.formatted(frame).collect()}
     assert out == {("t", 4): (1, 3), ("t", 9): (2, 1), ("t", 2): (3, 2)}
@@ -186,7 +186,7 @@ def test_sampling_follows_the_lattice():
 def test_pii_terms_and_sanitising(spark):
     from pyspark.sql import functions as F
 
-    rows = [(i, f"notes by zorblax for kim@site.org today {'calm' if i else 'loud'}") for i in range(3)] + [(10 + i, "notes of today for all, calm and loud " * 3) for i in range(600)]
+    rows = [(i, f"notes by zorblax for kim@site.org today {'calm' if i else 'loud'}") for i in range(3)] + [(10 + i, "notes by day for all today, calm and loud " * 3) for i in range(600)]
     found = pii.spans(docs_frame(spark, rows))
     spans = {r.doc_id: r.named for r in found.select("doc_id", pii.named(F.col("spans")).alias("named")).collect()}
     assert spans[1] == "term:9:16,email:21:33" and spans[12] == ""
