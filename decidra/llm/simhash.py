@@ -160,7 +160,7 @@ def cells_of(fp: Column, distance: int, groups: int, salt: int = 0) -> Column:
     return F.array(*[F.xxhash64(F.lit(salt * 1000 + k), seen.bitwiseAND(F.lit(m))) for k, m in enumerate(masks(distance, groups))])
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int = 7) -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int = 8) -> DataFrame:
     """_rid, doc_id, fp and component_id (the smallest doc_id that links reach) for rows of _rid, doc_id, text."""
     prints = written(fingerprints(docs, shingle), "prints")
     nodes = written(prints.groupBy(F.col("fp").alias("id")).agg(F.min("doc_id").alias("first")).withColumn("fp", F.col("id")), "nodes")
