@@ -103,24 +103,53 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(rids[who]), pa.array(anchor.astype(np.int32))], names=["h", "rid", "at"])
 
 
+def _listed(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list[bytes], Iterator[tuple[int, int, int, int, int]]]]:
+    """Row ids, ids and texts of a batch, and the runs whose anchors are listed: text, anchor, first, last, hash."""
+    rids, docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch.column(2))
+    lists = batch.column(3)
+    wanted = np.unique(np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(lists.offsets.to_numpy())) << 32 | lists.flatten().to_numpy().astype(np.int64))
+    for who, anchor, first, last, h in runs(texts):
+        place = who.astype(np.int64) << 32 | anchor
+        use = wanted[np.minimum(np.searchsorted(wanted, place), len(wanted) - 1)] == place if len(wanted) else np.zeros(len(place), bool)
+        yield rids, docs, texts, zip(*(x[use].tolist() for x in (who, anchor, first, last, h)), strict=True)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _batch(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the listed anchors, with a hash of the run's bytes and of the anchor's place in it."""
+    digest = xxhash.xxh64_intdigest
+    for batch in batches:
+        for rids, docs, texts, found in _listed(batch):
+            out = [(h, _signed(digest(texts[k][s : e + SIZE], a - s)), docs[k], rids[k], a, s, e + 1) for k, a, s, e, h in found]
+            if out:
+                yield _batch(out, (pa.int64(),) * 4 + (pa.int32(),) * 3, ["h", "g", "doc", "rid", "at", "start", "stop"])
+
+
+_OCCURRENCES = "h long, g long, doc long, rid long, at int, start int, stop int"
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of the windows whose anchors are listed: core hash, column of the first window, bytes and place."""
+    """Pieces of the runs of the listed anchors: core hash, column of the first window, bytes and place."""
+    types, names = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32()), ["key", "column", "piece", "doc", "rid", "start"]
     for batch in batches:
-        for rid, doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in range(2)), bytes_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-            known = np.array(sorted(set(wanted)))
+        for rids, docs, texts, found in _listed(batch):
             out = []
-            for _, anchor, first, last, _ in runs([text]):
-                use = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
-                for a, s, e in zip(anchor[use].tolist(), first[use].tolist(), last[use].tolist(), strict=True):
-                    for band in range((a - e) // WIDE, (a - s) // WIDE + 1):
-                        core = a - band * WIDE  # the latest start of the band; windows of the band share what follows it
-                        low = core - WIDE + 1
-                        i, j = max(s, low), min(e, core)
-                        key = xxhash.xxh64_intdigest(text[core : low + SIZE], band)
-                        out.append((key - (1 << 64) if key >> 63 else key, i - low, text[i : j + SIZE], doc, rid, i))
-            for at in range(0, len(out), 20_000):
-                types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 20_000], strict=True), types, strict=True)], names=["key", "column", "piece", "doc", "rid", "start"])
+            for k, a, s, e, _ in found:
+                text = texts[k]
+                for band in range((a - e) // WIDE, (a - s) // WIDE + 1):
+                    core = a - band * WIDE  # the latest start of the band; windows of the band share what follows it
+                    low = core - WIDE + 1
+                    i, j = max(s, low), min(e, core)
+                    out.append((_signed(xxhash.xxh64_intdigest(text[core : low + SIZE], band)), i - low, text[i : j + SIZE], docs[k], rids[k], i))
+            if out:
+                yield _batch(out, types, names)
 
 
 _PIECES = "key long, column int, piece binary, doc long, rid long, start int"
@@ -245,16 +274,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     places = anchors.join(again, "h").groupBy("rid").agg(F.collect_list("at").alias("at")).join(first, "rid")
     texts = docs.select(F.col("_rid").alias("rid"), "text").join(places, "rid").select("rid", "doc", "text", "at")
     texts = written(texts, "texts")
-    pieces = texts.mapInArrow(_pieces, _PIECES)
+    found = texts.mapInArrow(_occurrences, _OCCURRENCES)
+    groups = found.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.min(F.struct("doc", "rid", "start")).alias("x"), F.count("*").alias("n"))
+    groups = written(groups.where("n > 1").select("h", (F.col("low") != F.col("high")).alias("mixed"), F.col("x.rid").alias("first_rid"), F.col("x.start").alias("first_start")), "groups")
+    later = F.col("mixed") | (F.col("rid") != F.col("first_rid")) | (F.col("start") != F.col("first_start"))
+    marks = found.join(groups, "h").where(later).groupBy("rid").agg(F.collect_list(F.when(F.col("mixed"), F.col("at"))).alias("at"), F.collect_list(F.when(~F.col("mixed"), F.struct("start", "stop"))).alias("covered"))
+    texts = written(texts.drop("at").join(marks, "rid").select("rid", "doc", "text", "at", "covered"), "marked")
+    pieces = texts.where("size(at) > 0").select("rid", "doc", "text", "at").mapInArrow(_pieces, _PIECES)
     contents = pieces.groupBy("key", "column", "piece").agg(F.min(F.struct("doc", "rid", "start")).alias("first"), F.count("*").alias("n"))
     names = [F.xxhash64("key", "column", "piece").alias("g1"), F.xxhash64(F.lit(1), "piece", "column", "key").alias("g2")]
     contents = written(contents.select("key", *names, "column", "piece", "first.doc", "first.rid", "first.start", "n"), "contents")
     inner = contents.repartition("key").select("column", "piece", "doc", "rid", "start").mapInArrow(_classes, "rid long, start int, stop int")
     many = written(contents.where("n > 1").select("g1", "g2", F.col("rid").alias("first_rid"), F.col("start").alias("first_start")), "many")
-    later = pieces.select(*names, "rid", "start", (F.col("start") + F.octet_length("piece") - (SIZE - 1)).alias("stop")).join(many, ["g1", "g2"])
-    later = later.where("rid <> first_rid or start <> first_start").select("rid", "start", "stop")
-    covered = inner.union(later).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("covered"))
-    kept = texts.select("rid", "text").join(covered, "rid").select("rid", "text", "covered").mapInArrow(_kept, "rid long, n_removed long, n_spans long, kept_sha256 string, spans array<int>")
+    copies = pieces.select(*names, "rid", "start", (F.col("start") + F.octet_length("piece") - (SIZE - 1)).alias("stop")).join(many, ["g1", "g2"])
+    copies = copies.where("rid <> first_rid or start <> first_start").select("rid", "start", "stop")
+    more = inner.union(copies).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    covered = texts.select("rid", "text", "covered").join(more, "rid", "left").select("rid", "text", F.concat("covered", F.coalesce("more", none)).alias("covered"))
+    kept = covered.where("size(covered) > 0").mapInArrow(_kept, "rid long, n_removed long, n_spans long, kept_sha256 string, spans array<int>")
     rows = keys.join(first.select("rid", F.lit(True).alias("is_first")), "rid", "left").join(written(kept, "kept"), "rid", "left")
     copy = F.col("is_first").isNull() & (F.col("n_bytes") >= SIZE)
     return rows.select(
