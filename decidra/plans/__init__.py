@@ -1,0 +1,6 @@
+"""Named queries over the given tables."""
+
+from . import rows, scoring, trials
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "rows", "scoring", "trials"]
