@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, exact_dedup, licenses, pieces, pii, simhash, suffix_dedup, toxicity, warc
 from .common import table, with_row_id
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {k: v.strip() for k, v in ORACLES.items()}
