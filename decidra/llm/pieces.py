@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,13 +30,13 @@ from pyspark.sql import functions as F
 from .common import bytes_of
 
 MODEL, THETA, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 7
-UNIT, BLOCK_BYTES, KEPT_UNITS = 64, 1 << 20, 400_000
+UNIT, BLOCK_BYTES = 64, 1 << 20
 _UNITS = re.compile(rb"\n| *[^ \n]+| +")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
-    """Vocabulary of a model: id by surface bytes, surface bytes by id, weights and byte ids."""
+    """Vocabulary of a model: id by surface bytes, surface bytes by id, weights, byte ids and a trie as a table."""
 
     def __init__(self, path: str, theta: float) -> None:
         import sentencepiece
@@ -46,8 +45,8 @@ class Pieces:
         n = model.get_piece_size()
         scores = [model.get_score(i) for i in range(n)]
         ranks = any(x < -1000 for x in scores)
-        self.ids, self.weight, self.bytes = {}, [0.0] * n, [None] * 256
-        self.surface: list[bytes] = [b""] * n
+        self.ids, self.surface = {}, [b""] * n
+        self.weight, self.bytes = np.zeros(n), np.zeros(256, np.int32)
         for i in range(n):
             if model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 continue
@@ -61,53 +60,88 @@ class Pieces:
             self.ids[self.surface[i]] = i
             self.weight[i] = -theta * math.log(1 - scores[i]) if ranks else theta * scores[i]
         self.longest = max(map(len, self.ids))
-        self.lattices: dict[bytes, tuple] = {}
-
-    def lattice(self, unit: bytes) -> tuple[int, bytes, bytes, bytes, bytes]:
-        """Nodes, and for each node's incoming edges: their number, source nodes, ids and cumulative shares."""
-        n, get, weight = len(unit), self.ids.get, self.weight
-        into: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        reached = [True] + [False] * n
-        for i in range(n):
-            if not reached[i]:
-                continue
-            size = 1 if unit[i] < 0x80 else 2 if unit[i] < 0xE0 else 3 if unit[i] < 0xF0 else 4
-            single = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (k := get(unit[i:j])) is not None:
-                    into[j].append((i, k))
-                    reached[j] = True
-                    single |= j == i + size
-            if not single:  # byte by byte; the nodes inside the character have this one way in
-                for j in range(i, min(n, i + size)):
-                    into[j + 1].append((j, self.bytes[unit[j]]))
-                reached[min(n, i + size)] = True
-        total = [0.0] + [-math.inf] * n
-        source, ids, shares = [], [], []
-        for j in range(1, n + 1):
-            ways = [total[i] + weight[k] for i, k in into[j]]
-            if not ways:
-                continue
-            top = max(ways)
-            parts = [math.exp(x - top) for x in ways]
-            whole = sum(parts)
-            total[j] = top + math.log(whole)
-            run = 0.0
-            for (i, k), x in zip(into[j], parts, strict=True):
-                run += x
-                source.append(i)
-                ids.append(k)
-                shares.append(run / whole)
-            shares[-1] = 1.0
-        e = len(ids)
-        return n, struct.pack(f"<{n}H", *map(len, into[1:])), struct.pack(f"<{e}H", *source), struct.pack(f"<{e}i", *ids), struct.pack(f"<{e}d", *shares)
-
-    def known(self, unit: bytes) -> tuple:
-        if (x := self.lattices.get(unit)) is None:
-            if len(self.lattices) >= KEPT_UNITS:
-                self.lattices.clear()
-            x = self.lattices[unit] = self.lattice(unit)
-        return x
+        self._table()
+
+    def _table(self) -> None:
+        """next[state, class of byte] and the piece that ends in a state; -1 for none."""
+        used = sorted({b for x in self.ids for b in x})
+        self.classes = np.full(256, len(used), np.int64)
+        self.classes[used] = np.arange(len(used))
+        children: list[dict[int, int]] = [{}]
+        final = {}
+        for text, i in self.ids.items():
+            state = 0
+            for c in text:
+                if (x := children[state].get(c)) is None:
+                    x = children[state][c] = len(children)
+                    children.append({})
+                state = x
+            final[state] = i
+        self.next = np.full((len(children), len(used) + 1), -1, np.int32)
+        for state, below in enumerate(children):
+            if below:
+                self.next[state, self.classes[list(below)]] = list(below.values())
+        self.final = np.full(len(children), -1, np.int32)
+        self.final[list(final)] = list(final.values())
+
+    def edges(self, data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte, byte after the last and piece of every edge; left: bytes from each one to its unit's end."""
+        live = np.flatnonzero((data & 0xC0) != 0x80)
+        size = np.select([data < 0x80, data < 0xE0, data < 0xF0], [1, 2, 3], 4)
+        classes, spelt = self.classes[data], np.ones(len(data), bool)
+        spelt[(data & 0xC0) == 0x80] = False
+        chars, state = live, np.zeros(len(live), np.int32)
+        out = []
+        for length in range(1, self.longest + 1):
+            ok = left[live] >= length
+            live, state = live[ok], state[ok]
+            state = self.next[state, classes[live + length - 1]]
+            ok = state >= 0
+            live, state = live[ok], state[ok]
+            if not len(live):
+                break
+            ids = self.final[state]
+            hit = ids >= 0
+            out.append((live[hit], live[hit] + length, ids[hit]))
+            spelt[live[hit & (size[live] == length)]] = False
+        for k in range(4):  # characters that are no piece, byte by byte
+            at = chars[spelt[chars] & (size[chars] > k) & (left[chars] > k)] + k
+            out.append((at, at + 1, self.bytes[data[at]]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def lattice(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Forward pass over all units together, place by place.
+
+        First byte of each unit, number of the node after each byte, and for the incoming edges in the order of the
+        nodes: source place, piece, and node number plus cumulative share.
+        """
+        data = np.frombuffer(b"".join(units), np.uint8)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        base = np.cumsum(sizes) - sizes
+        place = np.arange(len(data)) - np.repeat(base, sizes)
+        first, after, ids = self.edges(data, np.repeat(sizes, sizes) - place)
+        order = np.lexsort((after, place[after - 1]))
+        first, node, ids = first[order], after[order] - 1, ids[order]
+        heads = np.flatnonzero(np.diff(node, prepend=-1))
+        counts = np.diff(np.append(heads, len(node)))
+        number = np.full(len(data), -1, np.int64)
+        number[node[heads]] = np.arange(len(heads))
+        total, value = np.full(len(data), -np.inf), self.weight[ids]
+        rounds = np.flatnonzero(np.diff(place[node[heads]], prepend=-1)) if len(heads) else np.empty(0, np.int64)
+        for a, b in zip(rounds.tolist(), [*rounds[1:].tolist(), len(heads)], strict=True):
+            low, high = heads[a], heads[b] if b < len(heads) else len(node)
+            own = first[low:high]
+            x = value[low:high] + np.where(place[own] > 0, total[own - 1], 0.0)
+            cut = heads[a:b] - low
+            top = np.maximum.reduceat(x, cut)
+            total[node[heads[a:b]]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, counts[a:b])), cut))
+            value[low:high] = x
+        share = np.cumsum(np.exp(value - total[node]))
+        before = np.concatenate(([0.0], share))[heads]
+        ladder = share - np.repeat(before, counts)
+        ladder = np.minimum(ladder, 1.0)
+        ladder[heads + counts - 1] = 1.0
+        return base, number, place[first], ids, np.repeat(np.arange(len(heads)), counts) + ladder
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.surface.__getitem__, ids))
@@ -150,24 +184,18 @@ def sampled(texts: list[bytes], keys: list[int], vocabulary: Pieces) -> list[np.
     number = index.setdefault
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     which = np.fromiter((number(u, len(index)) for s in split for u in s), np.int64, int(sizes.sum()))
-    known = [vocabulary.known(u) for u in index]
-    nodes = np.array([k[0] for k in known], np.int64)
-    base = np.concatenate(([0], np.cumsum(nodes)))
-    per_node = np.frombuffer(b"".join(k[1] for k in known), np.uint16).astype(np.int64)
-    source = np.frombuffer(b"".join(k[2] for k in known), np.uint16)
-    ids = np.frombuffer(b"".join(k[3] for k in known), np.int32)
-    shares = np.frombuffer(b"".join(k[4] for k in known), np.float64)
-    ladder = np.repeat(np.arange(len(per_node)), per_node) + shares  # sorted: node number plus cumulative share
+    base, number_of, source, ids, ladder = vocabulary.lattice(list(index))
+    lengths = np.fromiter(map(len, index), np.int64, len(index))
     place = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     state = np.repeat(np.array(keys, np.uint64), sizes) + (place.astype(np.uint64) * np.uint64(UNIT + 1)) * _GOLDEN
-    live, at = np.arange(len(which)), nodes[which]
+    live, at = np.arange(len(which)), lengths[which]
     steps, step = [], np.uint64(0)
     while len(live):
         step = np.uint64(int(step) + 1)
-        node = base[which[live]] + at - 1
+        node = number_of[base[which[live]] + at - 1]
         edge = np.searchsorted(ladder, node + _uniform(state[live] + np.full(1, step) * _GOLDEN), "right")
         steps.append((live, ids[edge]))
-        at = source[edge].astype(np.int64)
+        at = source[edge]
         go = at > 0
         live, at = live[go], at[go]
     counts = np.zeros(len(which), np.int64)
