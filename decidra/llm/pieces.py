@@ -184,6 +184,8 @@ def sampled(texts: list[bytes], keys: list[int], vocabulary: Pieces) -> list[np.
     number = index.setdefault
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     which = np.fromiter((number(u, len(index)) for s in split for u in s), np.int64, int(sizes.sum()))
+    if not len(which):
+        return [np.empty(0, np.int32) for _ in texts]
     base, number_of, source, ids, ladder = vocabulary.lattice(list(index))
     lengths = np.fromiter(map(len, index), np.int64, len(index))
     place = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
