@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -18,17 +18,12 @@ def append_new(rows: DataFrame, path: str, key: str, schema: str) -> int:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         rows = rows.join(spark.read.schema(schema).json(path).select(key).distinct(), key, "left_anti")
-    counted = rows.observe(seen := _observation(), F.count("*").alias("n"))
+    seen = Observation()
+    counted = rows.observe(seen, F.count("*").alias("n"))
     counted.write.mode("append").json(path)
     return seen.get["n"]
 
 
-def _observation():
-    from pyspark.sql import Observation
-
-    return Observation()
-
-
 def overwrite_unless_empty(rows: DataFrame, path: str) -> bool:
     """An empty result never replaces what is stored."""
     if rows.isEmpty():
@@ -55,9 +50,8 @@ def moved(images: Column, old: str, new: str) -> Column:
 
 def report_json(report: DataFrame) -> DataFrame:
     """One JSON text of a small report, a row per line in the order of its first column."""
-    first = report.columns[0]
     rows = report.select(F.struct(*report.columns).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    return rows.select(F.to_json("rows").alias("json")) if first else rows
+    return rows.select(F.to_json("rows").alias("json"))
 
 
 def cell(acc: Column, positive: Column, negative: Column, n: Column) -> Column:
