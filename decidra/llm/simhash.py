@@ -178,7 +178,7 @@ WIDTH = 4
 _MIX = [np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1) for i in range(WIDTH)]
 
 
-def _mixed(hashes: np.ndarray, i: int) -> np.ndarray:
+def mixed(hashes: np.ndarray, i: int) -> np.ndarray:
     """Another hash of each value; bits are independent between the indices."""
     x = hashes * _MIX[i]
     x ^= x >> np.uint64(29)
@@ -190,7 +190,7 @@ def wide_prints(text: bytes, shingle: int) -> list[int]:
     """WIDTH fingerprints of the distinct shingles, then WIDTH of the distinct words."""
     words = blank_words(text)
     sets = (np.unique(shingle_hashes(words, shingle)), np.unique(shingle_hashes(words, 1)))
-    return [_signed(majority(_mixed(s, i))) for s in sets for i in range(WIDTH)]
+    return [_signed(majority(mixed(s, i))) for s in sets for i in range(WIDTH)]
 
 
 def bits_at(similarity: float) -> int:

@@ -1,13 +1,14 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Training uses a bounded sample of labelled documents (SAMPLE of each class by hash of the id, at most SAMPLE_BYTES of
-text): words that stand in many different contexts of toxic documents and hardly in clean ones label their tokens
-there, and a chain of two states with a weight per word and four transitions is fitted to labelled windows. Words
-that only copies of one text repeat have one context and teach nothing.
-
-All documents are then scored whole. Words with a weight are rare, so forward and backward messages are carried over
-the words between them by powers of the transition matrix, which is exact. A document's evidence is the sum of its
-marginals of the toxic state at words with a weight, and a logistic curve fitted on the sample turns it into a score.
+text). Its features are words and beginnings of words that stand in many unlike toxic documents and hardly in clean
+ones (near copies share minimal shingle hashes and count as one); they label the tokens, and a chain of two states with
+a weight per feature and four transitions is fitted to labelled windows.
+
+All documents are then scored whole. Words with a feature are rare, so forward and backward messages are carried over
+the words between them by powers of the transition matrix, which is exact. A document's evidence is -ln of the share that
+none of its words with a feature is in the toxic state, by their marginals; a logistic curve fitted on the sample turns it
+into a score, so one sure word or several unsure ones make a document toxic.
 Neighbouring words of marginal 0.5 or more form the offending spans (code points, end exclusive).
 
 Defined cases: null and empty texts have no words and get the score of no evidence; rows with the same doc_id are scored
@@ -27,9 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import alnum_words, bytes_of, unused, with_row_id
+from .simhash import WIDTH, mixed, shingle_hashes
 
 SAMPLE, SAMPLE_BYTES, THRESHOLD = 3000, 48 << 20, 0.7
-CONTEXTS, LOG_ODDS, WINDOW, STEPS, RATE, L2 = 6, 2.5, 24, 200, 0.3, 1e-3
+TEXTS, UNLIKE, LOG_ODDS, SAME, WINDOW, STEPS, RATE, L2 = 6, 0.6, 1.5, 0.8, 24, 200, 0.3, 1e-3
+#: Bytes of the beginnings of words that can be features, and words whose feature a worker remembers.
+BEGINNINGS, REMEMBERED = range(3, 10), 300_000
 #: A word counts as carrying a weight from here on.
 LEAST_WEIGHT = 1.0
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -57,25 +61,71 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int]]:
     return sorted(set(out))
 
 
-def telling_words(rows: list[tuple[list[bytes], int]]) -> set[bytes]:
-    """Words with many contexts in toxic texts and much higher odds there, by texts that hold them."""
-    texts, n = (Counter(), Counter()), [0, 0]
-    contexts = defaultdict(set)
-    for words, toxic in rows:
-        n[toxic] += 1
-        texts[toxic].update(set(words))
-        if toxic:
-            for a, w, b in zip([b"", *words], words, [*words[1:], b""]):
-                contexts[w].add((a, b))
-    odds = lambda w: math.log((texts[1][w] + 0.5) / (n[1] + 1)) - math.log((texts[0][w] + 0.5) / (n[0] + 1))
-    return {w for w, c in contexts.items() if len(c) >= CONTEXTS and odds(w) >= LOG_ODDS}
+def features_of(word: bytes) -> list[bytes]:
+    """Proper beginnings of a word, and the word itself with a mark at its end."""
+    return [word[:k] for k in BEGINNINGS if k < len(word)] + [word + b"$"]
+
+
+def telling_features(rows: list[tuple[list[bytes], int]]) -> set[bytes]:
+    """Features in many unlike toxic texts with much higher odds there, by texts that hold them; the most special of equals."""
+    n = [sum(y == k for _, y in rows) for k in (0, 1)]
+    toxic, clean = Counter(), Counter()
+    for words, y in rows:
+        if y:
+            toxic.update({f for w in set(words) for f in features_of(w)})
+    toxic = Counter({f: c for f, c in toxic.items() if c >= TEXTS})
+    for words, y in rows:
+        if not y:
+            clean.update({f for w in set(words) for f in features_of(w) if f in toxic})
+    odds = lambda f: math.log((toxic[f] + 0.5) / (n[1] + 1)) - math.log((clean[f] + 0.5) / (n[0] + 1))
+    telling = {f for f in toxic if odds(f) >= LOG_ODDS}
+    sketches = defaultdict(lambda: [set() for _ in range(WIDTH)])
+    for words, y in rows:
+        if y and (own := {f for w in set(words) for f in features_of(w) if f in telling}):
+            hashes = shingle_hashes(words, 3)
+            least = [int(mixed(hashes, i).min()) for i in range(WIDTH)]
+            for f in own:
+                for seen, x in zip(sketches[f], least, strict=True):
+                    seen.add(x)
+    telling = {f for f in telling if min(map(len, sketches[f])) >= max(TEXTS, UNLIKE * toxic[f])}
+    special: set[bytes] = set()
+    for f in sorted(telling):  # a beginning whose texts nearly all hold one longer feature gives way to it
+        if not any(g != f and g.startswith(f) and toxic[g] >= SAME * toxic[f] for g in telling):
+            special.add(f)
+    return {f for f in special if not any(f[:k] in special for k in range(1, len(f)))}
+
+
+class Features:
+    """The feature of a word, if it has one."""
+
+    def __init__(self, known: set[bytes]) -> None:
+        self.known, self.lengths, self.seen = known, sorted({len(f) for f in known if not f.endswith(b"$")}), {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}}
+
+    def __call__(self, word: bytes) -> bytes | None:
+        try:
+            return self.seen[word]
+        except KeyError:
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            whole = word + b"$"
+            found = whole if whole in self.known else next((word[:k] for k in self.lengths if k < len(word) and word[:k] in self.known), None)
+            self.seen[word] = found
+            return found
+
+
+def evidence(marginals: list[float]) -> float:
+    return math.log1p(-sum(math.log(max(1e-4, 1 - p)) for p in marginals))
 
 
 class Chain:
-    """States 0 (clean) and 1 (toxic): a weight per word and a bias for state 1, and transition weights."""
+    """States 0 (clean) and 1 (toxic): a weight per feature and a bias for state 1, and transition weights."""
 
     def __init__(self, weights: dict[bytes, float], bias: float, moves: np.ndarray, curve: tuple[float, float]) -> None:
         self.weights = {w: x for w, x in weights.items() if abs(x) >= LEAST_WEIGHT}
+        self.feature = Features(set(self.weights))
         self.bias, self.moves, self.curve = bias, moves, curve
         # One step over a word without a weight, scaled; its powers carry messages over any number of them.
         self.step = np.exp(moves) * np.array([1.0, math.exp(bias)])
@@ -119,14 +169,13 @@ class Chain:
         return out
 
     def tagged(self, words: list[bytes]) -> tuple[list[int], list[float]]:
-        get = self.weights.get
-        found = [(i, x) for i, x in enumerate(map(get, words)) if x is not None]
+        found = [(i, f) for i, f in enumerate(map(self.feature, words)) if f is not None]
         places = [i for i, _ in found]
-        return places, self.marginals(len(words), places, [x for _, x in found]) if found else []
+        return places, self.marginals(len(words), places, [self.weights[f] for _, f in found]) if found else []
 
     def score(self, marginals: list[float]) -> float:
         a, b = self.curve
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(sum(marginals))))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * evidence(marginals)))))
 
 
 def _posteriors(unary: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,14 +204,15 @@ def fit(rows: list[tuple[bytes, int]]) -> Chain:
     if not toxic or toxic == len(split):
         share = toxic / len(split) if split else 0.0
         return Chain({}, 0.0, np.zeros((2, 2)), (math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0))
-    seeds = telling_words(split)
+    feature = Features(telling_features(split))
     windows = []
     for words, y in split:
-        marks = [i for i, w in enumerate(words) if y and w in seeds]
+        words = [feature(w) or b"" for w in words]
+        marks = [i for i, f in enumerate(words) if f]
         for at in marks[:4] if marks else range(0, len(words), max(1, len(words) // 2 + 1)):
             low = max(0, at - WINDOW // 2)
             piece = words[low : low + WINDOW]
-            windows.append((piece, [int(y and w in seeds) for w in piece]))
+            windows.append((piece, [int(y and f != b"") for f in piece]))
     number = {w: i for i, w in enumerate(sorted({w for p, _ in windows for w in p}))}
     n = len(windows)
     ids, mask, gold = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), bool), np.zeros((n, WINDOW))
@@ -179,10 +229,12 @@ def fit(rows: list[tuple[bytes, int]]) -> Chain:
         slopes = [np.bincount(ids.ravel(), error.ravel(), len(number)) / n * 50 - L2 * weights, error.sum() / n, (true_moves - expected) / n - L2 * moves]
         speed = [s + g * g for s, g in zip(speed, slopes, strict=True)]
         weights, bias, moves = (x + RATE * g / (np.sqrt(s) + 1e-8) for x, g, s in zip((weights, bias, moves), slopes, speed, strict=True))
-    chain = Chain({w: float(weights[i]) for w, i in number.items() if w in seeds}, float(bias), moves, (0.0, 1.0))
-    evidence = np.array([math.log1p(sum(chain.tagged(words)[1])) for words, _ in split])
+    chain = Chain({f: float(weights[i]) for f, i in number.items() if f}, float(bias + weights[number[b""]] if b"" in number else bias), moves, (0.0, 1.0))
+    if b"" in number:  # the weight of words without a feature is part of the bias
+        chain.weights = {f: x - float(weights[number[b""]]) for f, x in chain.weights.items()}
+    seen = np.array([evidence(chain.tagged(words)[1]) for words, _ in split])
     # Both classes weigh as in the sample's labels; each gets one pseudo-row at either end.
-    x, y = np.concatenate([evidence, [0, 0, 3, 3]]), np.concatenate([[y for _, y in split], [0, 0, 1, 1]])
+    x, y = np.concatenate([seen, [0, 0, 3, 3]]), np.concatenate([[y for _, y in split], [0, 0, 1, 1]])
     a, b = 0.0, 1.0
     for _ in range(60):  # Newton's method for two coefficients
         p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
