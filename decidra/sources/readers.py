@@ -59,3 +59,25 @@ def log_fields(lines: DataFrame, pattern: str, names: dict[str, str], column: st
 def with_order(df: DataFrame, name: str = "ord") -> DataFrame:
     """The place of a row in the order in which a stored table is read, for first-wins and last-wins rules."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """Files of pictures with their bytes, kind and size; the size of a PNG is in its header, of others it is null."""
+    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
+    head = F.hex(F.substring("content", 1, 4))
+    kind = F.when(head == "89504E47", "png").when(head.startswith("FFD8FF"), "jpeg").when(head == "47494638", "gif")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", "content", kind.alias("kind"), F.when(kind == "png", number(17)).alias("width"), F.when(kind == "png", number(21)).alias("height"))
+
+
+def inline_image(text: Column) -> Column:
+    """Bytes of a picture sent as base64, with or without a data prefix."""
+    return F.unbase64(F.regexp_replace(text, "^data:[^,]*,", ""))
+
+
+def split_rows(parquet: DataFrame, columns: list[str], key: str, n: int | None, seed: str, skip: int = 0) -> DataFrame:
+    """Some columns of a stored dataset: n rows in hashed order after the first skip; all of them without n."""
+    from decidra.functions.numeric import hash_order
+
+    rows = parquet.select(*columns)
+    return rows if n is None else rows.orderBy(hash_order(F.col(key), seed), key).offset(skip).limit(n)

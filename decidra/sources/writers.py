@@ -70,3 +70,12 @@ def escaped_html(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
+
+
+def audit_page(items: DataFrame, order: str) -> DataFrame:
+    """A page for human audit: a table row per item, texts escaped; for the few items of an audit."""
+    cells = F.concat(*[F.concat(F.lit("<td>"), escaped_html(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in items.columns])
+    rows = items.select(F.struct(order, F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("row")).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    head = "".join(f"<th>{c}</th>" for c in items.columns)
+    body = F.array_join(F.transform("rows", lambda r: r["row"]), "\n")
+    return rows.select(F.concat(F.lit(f"<!DOCTYPE html><meta charset=utf-8><table><tr>{head}</tr>\n"), body, F.lit("\n</table>")).alias("html"))

@@ -129,7 +129,7 @@ def test_length_batches_and_balance(spark):
     assert got == {1: 0, 2: 0, 4: 1, 0: 2, 3: 3}
     rows = spark.createDataFrame([(0, f"g{i % 2}", i, int(i < 6)) for i in range(10)], "s int, g string, o int, y int")
     kept = sorted(r.o for r in sequences.balanced(rows, "s", "g", "o", "y", 4, 1).collect())
-    assert kept == [0, 1, 6, 7, 8]
+    assert kept == [0, 1, 6, 7, 8, 9]
 
 
 def test_splits_keep_groups_together(spark):
@@ -224,3 +224,25 @@ def test_paired_effects_null_error_of_one_block(spark):
     rows = spark.createDataFrame([("a", 1, 0.0, 1.0), ("b", 1, 0.0, 1.0), ("b", 2, 0.0, 3.0)], "condition string, block int, before double, after double")
     got = {r.condition: (r.blocks, r["mean"], r.se) for r in experiments.paired_effects(rows).collect()}
     assert got == {"a": (1, 1.0, None), "b": (2, 2.0, 1.0)}
+
+
+def test_images_and_audit_page(spark, tmp_path):
+    import base64
+    import struct
+
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480) + b"rest"
+    (tmp_path / "a.png").write_bytes(png)
+    (tmp_path / "b.jpg").write_bytes(b"\xff\xd8\xff\xe0rest")
+    got = {(r.kind, r.width, r.height) for r in readers.images(spark, str(tmp_path)).collect()}
+    assert got == {("png", 640, 480), ("jpeg", None, None)}
+    text = "data:image/png;base64," + base64.b64encode(png).decode()
+    assert bytes(spark.createDataFrame([(text,)], "t string").select(readers.inline_image(F.col("t")).alias("b")).first().b) == png
+    page = writers.audit_page(spark.createDataFrame([(2, "b"), (1, "<a&b>")], "i int, t string"), "i").first().html
+    assert "<td>1</td><td>&lt;a&amp;b&gt;</td></tr>\n<tr><td>2</td><td>b</td>" in page
+
+
+def test_split_rows_are_disjoint(spark):
+    rows = spark.range(50)
+    first = {r.id for r in readers.split_rows(rows, ["id"], "id", 10, "1").collect()}
+    more = {r.id for r in readers.split_rows(rows, ["id"], "id", 10, "1", skip=10).collect()}
+    assert len(first) == len(more) == 10 and not first & more
