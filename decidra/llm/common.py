@@ -51,17 +51,28 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     with _freed_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more, not even to compute lost parts again."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch)
+        _written.remove((t.sparkSession, t._scratch))
 
 
 def drop_written() -> None:
     """Removes the scratch tables of this process; results that still read them must be stored first."""
     while _written:
-        spark, path = _written.pop()
         with contextlib.suppress(Exception):
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_written.pop())
 
 
 atexit.register(drop_written)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, written
+from .common import bytes_of, discard, written
 
 SIZE, K, BANDS = 100, 32, 3
 SPAN = SIZE - K + 1  # starts of K-byte strings in a window
@@ -279,7 +279,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     groups = written(groups.where("n > 1").select("h", (F.col("low") != F.col("high")).alias("mixed"), F.col("x.rid").alias("first_rid"), F.col("x.start").alias("first_start")), "groups")
     later = F.col("mixed") | (F.col("rid") != F.col("first_rid")) | (F.col("start") != F.col("first_start"))
     marks = found.join(groups, "h").where(later).groupBy("rid").agg(F.collect_list(F.when(F.col("mixed"), F.col("at"))).alias("at"), F.collect_list(F.when(~F.col("mixed"), F.struct("start", "stop"))).alias("covered"))
-    texts = written(texts.drop("at").join(marks, "rid").select("rid", "doc", "text", "at", "covered"), "marked")
+    marked = written(texts.drop("at").join(marks, "rid").select("rid", "doc", "text", "at", "covered"), "marked")
+    discard(again, texts, groups)
+    texts = marked
     pieces = texts.where("size(at) > 0").select("rid", "doc", "text", "at").mapInArrow(_pieces, _PIECES)
     contents = pieces.groupBy("key", "column", "piece").agg(F.min(F.struct("doc", "rid", "start")).alias("first"), F.count("*").alias("n"))
     names = [F.xxhash64("key", "column", "piece").alias("g1"), F.xxhash64(F.lit(1), "piece", "column", "key").alias("g2")]
@@ -292,7 +294,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start:int,stop:int>>")
     covered = texts.select("rid", "text", "covered").join(more, "rid", "left").select("rid", "text", F.concat("covered", F.coalesce("more", none)).alias("covered"))
     kept = covered.where("size(covered) > 0").mapInArrow(_kept, "rid long, n_removed long, n_spans long, kept_sha256 string, spans array<int>")
-    rows = keys.join(first.select("rid", F.lit(True).alias("is_first")), "rid", "left").join(written(kept, "kept"), "rid", "left")
+    kept = written(kept, "kept")
+    discard(texts, contents, many)
+    rows = keys.join(first.select("rid", F.lit(True).alias("is_first")), "rid", "left").join(kept, "rid", "left")
     copy = F.col("is_first").isNull() & (F.col("n_bytes") >= SIZE)
     return rows.select(
         F.col("rid").alias("_rid"),
