@@ -40,6 +40,8 @@ WIDE = -(-SPAN // BANDS)  # starts in a band
 COLUMNS = WIDE + SIZE - 1
 _CHUNK, _PIECE, _PAD = 1 << 17, 1 << 22, 255  # 255 is no byte of UTF-8
 _LOWEST = -(1 << 63)
+#: Different pieces of one core up to which they are ordered together; beyond, windows are compared one by one.
+HOT = 4096
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -260,6 +262,19 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["rid", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
+def _single_windows(contents: DataFrame) -> DataFrame:
+    """Windows that occur earlier, for cores with too many different pieces for one task: each window by itself.
+
+    Windows are compared by two 64-bit hashes; the minimum is partial before the shuffle and stored before it is joined.
+    """
+    each = contents.select("doc", "rid", "start", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - SIZE)).alias("i"))
+    body = F.substring(F.col("piece"), F.col("i") + 1, F.lit(SIZE))
+    each = each.select("doc", "rid", (F.col("start") + F.col("i")).alias("at"), F.xxhash64(body).alias("w1"), F.xxhash64(F.lit(1), body).alias("w2"))
+    first = each.groupBy("w1", "w2").agg(F.min(F.struct("doc", "rid", "at")).alias("x")).select("w1", "w2", F.col("x.rid").alias("first_rid"), F.col("x.at").alias("first_at"))
+    again = each.join(written(first, "windows"), ["w1", "w2"]).where("rid <> first_rid or at <> first_at")
+    return again.select("rid", F.col("at").alias("start"), (F.col("at") + 1).alias("stop"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """Per row of docs (_rid, doc_id, text): n_bytes, n_removed, n_spans, kept_sha256 and spans (start, end, ... in bytes).
 
@@ -286,7 +301,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     contents = pieces.groupBy("key", "column", "piece").agg(F.min(F.struct("doc", "rid", "start")).alias("first"), F.count("*").alias("n"))
     names = [F.xxhash64("key", "column", "piece").alias("g1"), F.xxhash64(F.lit(1), "piece", "column", "key").alias("g2")]
     contents = written(contents.select("key", *names, "column", "piece", "first.doc", "first.rid", "first.start", "n"), "contents")
-    inner = contents.repartition("key").select("column", "piece", "doc", "rid", "start").mapInArrow(_classes, "rid long, start int, stop int")
+    hot = written(contents.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("key"), "hot")
+    cold = contents.join(hot, "key", "left_anti")
+    inner = cold.repartition("key").select("column", "piece", "doc", "rid", "start").mapInArrow(_classes, "rid long, start int, stop int")
+    inner = inner.union(_single_windows(contents.join(hot, "key", "left_semi")))
     many = written(contents.where("n > 1").select("g1", "g2", F.col("rid").alias("first_rid"), F.col("start").alias("first_start")), "many")
     copies = pieces.select(*names, "rid", "start", (F.col("start") + F.octet_length("piece") - (SIZE - 1)).alias("stop")).join(many, ["g1", "g2"])
     copies = copies.where("rid <> first_rid or start <> first_start").select("rid", "start", "stop")

@@ -140,6 +140,11 @@ def test_grid_bound_holds_and_cells_split(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.simhash_groups(docs_frame(spark)).collect()} == {k: v[1] for k, v in brute.simhash(DOCS).items()}
 
 
+def test_repeats_of_hot_cores(spark, data, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    assert result(queries.op10_suffix_array_dedup(spark, data), 4) == brute.repeats(DOCS)
+
+
 def test_near_copies_keeps_one_of_each_group(spark):
     rng = random.Random(8)
     texts = [" ".join(f"v{rng.randint(0, 5000)}" for _ in range(200)) for _ in range(30)]
