@@ -46,15 +46,20 @@ def paths(nodes: DataFrame) -> DataFrame:
     links = links.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.array("node").alias("path"))
     inner = links.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = written(links.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "up", "path", "total"), "leaves")
-    jumps = written(links, "jumps")
-    while leaves.where("up is not null").limit(1).count():
+    jumps, parts = written(links, "jumps"), [leaves.where("up is null")]
+    while (rest := leaves.where("up is not null")).limit(1).count():
+        # Only trees with unfinished paths go on.
+        jumps = jumps.join(rest.select("tree").distinct(), "tree", "left_semi")
         step = jumps.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"), F.col("total").alias("more"))
-        longer = leaves.join(step, ["tree", "up"], "left")
-        longer = longer.where("next is null or not array_contains(concat(before, path), next)")
-        leaves = written(longer.select("tree", "leaf", F.col("next").alias("up"), F.concat(F.coalesce("before", F.slice("path", 1, 0)), "path").alias("path"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")), "leaves")
+        longer = rest.join(step, ["tree", "up"]).where("next is null or not array_contains(concat(before, path), next)")
+        leaves = written(longer.select("tree", "leaf", F.col("next").alias("up"), F.concat("before", "path").alias("path"), (F.col("total") + F.col("more")).alias("total")), "leaves")
+        parts.append(leaves.where("up is null"))
         doubled = jumps.join(step, ["tree", "up"], "left")
         jumps = written(doubled.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), F.concat(F.coalesce("before", F.slice("path", 1, 0)), "path").alias("path")), "jumps")
-    return leaves.select("tree", "leaf", "path", "total")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.select("tree", "leaf", "path", "total")
 
 
 def formatted(nodes: DataFrame, best: int | None = None) -> DataFrame:
@@ -63,6 +68,7 @@ def formatted(nodes: DataFrame, best: int | None = None) -> DataFrame:
     Branches rank by the mean score of their nodes, then by length and leaf; best keeps that many of each tree.
     loss lists the spans of the assistants' texts in the output (1-based start and length, code points).
     """
+    nodes = written(nodes.select("tree", "node", "parent", "role", "text", "score"), "nodes")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.size("path")), F.desc(F.size("path")), "leaf")
     chosen = paths(nodes).withColumn("rank", F.row_number().over(order))
     if best is not None:
