@@ -1,6 +1,6 @@
 """From documents to token sequences: five stages, each one operator on all rows that the stage before kept.
 
-toxicity drops documents that score the threshold or more, exact_dedup all but the first of equal texts, simhash all
+toxicity drops documents that score the threshold or more, exact_dedup all but the largest doc_id of equal texts, simhash all
 but one of each group of near copies, decontamination documents that hold a benchmark window; sentencepiece encodes
 what is left. All but the last return the columns of documents. Each stage is written as Parquet and read again.
 """
@@ -20,7 +20,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_copies(docs)
+    return exact_dedup.drop_copies(docs, keep="largest")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
