@@ -172,9 +172,9 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, groups:
     return prints.join(named, "fp").select("_rid", "doc_id", "fp", "component_id")
 
 
-# ---- Near copies by similarity: four fingerprints of five-word shingles, candidates from word fingerprints.
+# ---- Near copies by similarity: WIDTH fingerprints of five-word shingles, candidates from LOOKS fingerprints of words.
 
-WIDTH = 4
+WIDTH, LOOKS = 4, 2
 _MIX = [np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1) for i in range(WIDTH)]
 
 
@@ -187,10 +187,10 @@ def mixed(hashes: np.ndarray, i: int) -> np.ndarray:
 
 
 def wide_prints(text: bytes, shingle: int) -> list[int]:
-    """WIDTH fingerprints of the distinct shingles, then WIDTH of the distinct words."""
+    """WIDTH fingerprints of the distinct shingles, then LOOKS of the distinct words."""
     words = blank_words(text)
-    sets = (np.unique(shingle_hashes(words, shingle)), np.unique(shingle_hashes(words, 1)))
-    return [_signed(majority(mixed(s, i))) for s in sets for i in range(WIDTH)]
+    sets = ((np.unique(shingle_hashes(words, shingle)), WIDTH), (np.unique(shingle_hashes(words, 1)), LOOKS))
+    return [_signed(majority(mixed(s, i))) for s, n in sets for i in range(n)]
 
 
 def bits_at(similarity: float) -> int:
@@ -203,18 +203,18 @@ def bits_at(similarity: float) -> int:
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the smallest doc_id, of equal ones the first row.
 
-    Rows are candidates if one of WIDTH word fingerprints agrees in the count grid at distance 4, and linked if the
+    Rows are candidates if one of LOOKS word fingerprints agrees in the count grid at distance 4, and linked if the
     shingle fingerprints differ in at most bits_at(similarity) of 64 * WIDTH bits. Texts without words stay.
     """
     key = unused(docs, "_rid")
     numbered = with_row_id(docs, key)
-    names = [f"{k}{i}" for k in "sw" for i in range(WIDTH)]
+    names = [f"s{i}" for i in range(WIDTH)] + [f"w{i}" for i in range(LOOKS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = bytes_of(batch.column(2))
             full = [bool(t.split()) for t in texts]
-            columns = zip(*[wide_prints(t, shingle) for t, x in zip(texts, full, strict=True) if x], strict=True) if any(full) else [[]] * (2 * WIDTH)
+            columns = zip(*[wide_prints(t, shingle) for t, x in zip(texts, full, strict=True) if x], strict=True) if any(full) else [[]] * len(names)
             keep = pa.array(full)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), *(pa.array(c, pa.int64()) for c in columns)], names=["rid", "doc_id", *names])
 
@@ -223,7 +223,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     own = [f"s{i}" for i in range(WIDTH)]
     # Equal fingerprints are one node; its id is its first row.
     nodes = written(prints.groupBy(*names).agg(F.min("rid").alias("id")), "nodes")
-    cells = F.array_distinct(F.concat(*[cells_of(F.col(f"w{i}"), 4, 7, 1 + i) for i in range(WIDTH)]))
+    cells = F.concat(*[cells_of(F.col(f"w{i}"), 4, 8, 1 + i) for i in range(LOOKS)])
     edges = written(grid_edges(nodes, cells, own, bits_at(similarity), False), "links")
     roots = written(components(edges).select(F.col("node").alias("id"), "root"), "roots")
     rooted = nodes.join(roots, "id", "left").select(*names, F.coalesce("root", "id").alias("root"))
