@@ -146,7 +146,8 @@ def grid_edges(nodes: DataFrame, cells: Column, words: list[str], distance: int,
     """
     entries = nodes.select("id", *words, F.explode(cells).alias("cell"))
     shared = written(entries.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
-    dealt = entries.join(shared, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Shared cells grow with the data, so they are never broadcast.
+    dealt = entries.join(shared.hint("merge"), "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A block meets every other one; where there is one block only, it meets itself.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 2, F.lit(0)))))
     dealt = dealt.withColumn("other", F.when(F.col("blocks") == 1, 0).when(F.col("other") >= F.col("own"), F.col("other") + 1).otherwise(F.col("other")))
