@@ -138,6 +138,14 @@ def _tested(width: int, distance: int, bound: bool):
     return run
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of cells (id, blocks) with the two blocks, own and other, of each meeting."""
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # A block meets every other one; where there is one block only, it meets itself.
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 2, F.lit(0)))))
+    return dealt.withColumn("other", F.when(F.col("blocks") == 1, 0).when(F.col("other") >= F.col("own"), F.col("other") + 1).otherwise(F.col("other")))
+
+
 def grid_edges(nodes: DataFrame, cells: Column, words: list[str], distance: int, bound: bool = True) -> DataFrame:
     """Edges (a, b) between the rows of nodes (id, the words) that share a cell and differ in at most distance bits.
 
@@ -147,10 +155,7 @@ def grid_edges(nodes: DataFrame, cells: Column, words: list[str], distance: int,
     entries = nodes.select("id", *words, F.explode(cells).alias("cell"))
     shared = written(entries.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
     # Shared cells grow with the data, so they are never broadcast.
-    dealt = entries.join(shared.hint("merge"), "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A block meets every other one; where there is one block only, it meets itself.
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 2, F.lit(0)))))
-    dealt = dealt.withColumn("other", F.when(F.col("blocks") == 1, 0).when(F.col("other") >= F.col("own"), F.col("other") + 1).otherwise(F.col("other")))
+    dealt = _dealt(entries.join(shared.hint("merge"), "cell"))
     groups = dealt.groupBy("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", *words)).alias("rows"))
     return groups.where("size(rows) > 1").select("rows").mapInArrow(_tested(len(words), distance, bound), "a long, b long")
 
@@ -173,10 +178,11 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, groups:
     return prints.join(named, "fp").select("_rid", "doc_id", "fp", "component_id")
 
 
-# ---- Near copies by similarity: WIDTH fingerprints of five-word shingles, candidates from LOOKS fingerprints of words.
+# ---- Near copies by similarity: prefix filter over the shingles, then the exact Jaccard.
 
-WIDTH, LOOKS = 4, 2
+WIDTH, PARITY = 4, 16
 _MIX = [np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1) for i in range(WIDTH)]
+_SLACK = 1e-9
 
 
 def mixed(hashes: np.ndarray, i: int) -> np.ndarray:
@@ -187,48 +193,145 @@ def mixed(hashes: np.ndarray, i: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def wide_prints(text: bytes, shingle: int) -> list[int]:
-    """WIDTH fingerprints of the distinct shingles, then LOOKS of the distinct words."""
-    words = blank_words(text)
-    sets = ((np.unique(shingle_hashes(words, shingle)), WIDTH), (np.unique(shingle_hashes(words, 1)), LOOKS))
-    return [_signed(majority(mixed(s, i))) for s, n in sets for i in range(n)]
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingles in the order of their hashes."""
+    return np.unique(shingle_hashes(blank_words(text), shingle))
+
+
+def prefix(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles, of which two sets of at least this Jaccard similarity share one at least."""
+    n = len(shingles)
+    return shingles[: n - int(np.ceil(n * similarity - _SLACK)) + 1]
+
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITY words; a bit tells whether an odd number of shingles falls on it, so two sets differ in no fewer shingles than bits."""
+    odd = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
-def bits_at(similarity: float) -> int:
-    """Bits of 64 * WIDTH that differ between sets of this Jaccard similarity: the mean and one deviation."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    n = 64 * WIDTH
-    return int(n * p + (n * p * (1 - p)) ** 0.5)
+
+_BITS = [f"p{i}" for i in range(PARITY)]
+_SHAPE = ["n", *_BITS]
+
+
+def _possible(similarity: float, x: str, y: str) -> Column:
+    """False only where sizes or parity bits rule the similarity out; columns of both sides by prefix."""
+    one, two = F.col(f"{x}n"), F.col(f"{y}n")
+    bits = sum((F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}"))) for p in _BITS), F.lit(0))
+    return (F.least(one, two) >= F.greatest(one, two) * similarity - _SLACK) & (bits <= (one + two) * ((1 - similarity) / (1 + similarity)) + _SLACK)
+
+
+def _met(similarity: float):
+    """Pairs (a, b) of each list of rows (id, root, n, parity) that _possible leaves and that have different roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            starts, x = lists.offsets.to_numpy(), lists.values
+            every, roots, sizes = (x.field(i).to_numpy() for i in range(3))
+            words = np.stack([x.field(3 + i).to_numpy().view(np.uint64) for i in range(PARITY)], axis=1)
+            found = [np.empty((2, 0), np.int64)]
+            for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                order = low + np.argsort(sizes[low:high], kind="stable")
+                ids, root, n, bits = every[order], roots[order], sizes[order], words[order]
+                last = np.searchsorted(n, (n + _SLACK) / similarity, "right")
+                for i in range(len(ids) - 1):
+                    at = np.arange(i + 1, last[i])
+                    at = at[root[at] != root[i]]
+                    if len(at):
+                        differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                        at = at[differ <= (n[at] + n[i]) * ((1 - similarity) / (1 + similarity)) + _SLACK]
+                        found.append(np.stack([np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])]))
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return run
+
+
+def first_pairs(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each member of a cell and the cell's smallest id: as many as members at most."""
+    pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}{c}") for c in _SHAPE]), side)
+    return pairs.where(_possible(similarity, "a", "b")).select("a", "b")
+
+
+def other_pairs(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of a cell whose nodes have different roots; cells of one root need none."""
+    rooted = written(members.select("id", "cell").join(nodes.select("id", "root"), "id"), "rooted")
+    open_cells = rooted.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    open_cells = written(open_cells.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
+    left = written(rooted.join(open_cells.hint("merge"), "cell"), "left")
+    dealt = _dealt(left.join(nodes.select("id", *_SHAPE), "id"))
+    groups = dealt.groupBy("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", "root", *_SHAPE)).alias("rows"))
+    return groups.where("size(rows) > 1").select("rows").mapInArrow(_met(similarity), "a long, b long").distinct()
+
+
+def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (id, text) have at least this Jaccard similarity of shingle sets (64-bit hashes)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_set(t, shingle).tobytes() for t in bytes_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], names=["id", "hashes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both / (len(one) + len(two) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    chosen = written(texts.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, hashes binary"), "chosen")
+    one = pairs.join(chosen.select(F.col("id").alias("a"), F.col("hashes").alias("x")).hint("merge"), "a")
+    two = one.join(chosen.select(F.col("id").alias("b"), F.col("hashes").alias("y")).hint("merge"), "b")
+    return written(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "alike")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the smallest doc_id, of equal ones the first row.
 
-    Rows are candidates if one of LOOKS word fingerprints agrees in the count grid at distance 4, and linked if the
-    shingle fingerprints differ in at most bits_at(similarity) of 64 * WIDTH bits. Texts without words stay.
+    Rows are linked if the Jaccard similarity of their shingle sets is at least similarity; groups are what links reach.
+    Candidates share a cell, that is a shingle of both prefixes, so no pair is missed. First all members of a cell are
+    tested against its smallest, then members of different components so far. Texts without words stay.
     """
     key = unused(docs, "_rid")
     numbered = with_row_id(docs, key)
-    names = [f"s{i}" for i in range(WIDTH)] + [f"w{i}" for i in range(LOOKS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = bytes_of(batch.column(2))
-            full = [bool(t.split()) for t in texts]
-            columns = zip(*[wide_prints(t, shingle) for t, x in zip(texts, full, strict=True) if x], strict=True) if any(full) else [[]] * len(names)
-            keep = pa.array(full)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), *(pa.array(c, pa.int64()) for c in columns)], names=["rid", "doc_id", *names])
+            sets = [shingle_set(t, shingle) for t in bytes_of(batch.column(2))]
+            keep = pa.array([len(s) > 0 for s in sets], pa.bool_())
+            sets = [s for s in sets if len(s)]
+            same = [pa.array([int(mixed(s, i).sum().view(np.int64)) for s in sets], pa.int64()) for i in range(2)]
+            bits = np.array([parity(s) for s in sets], np.int64).reshape(-1, PARITY)
+            cells = pa.array([prefix(s, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), *same, pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c) for c in bits.T), cells], names=["rid", "doc_id", "k0", "k1", *_SHAPE, "cells"])
 
     plain = numbered.select(F.col(key).alias("rid"), "doc_id", "text")
-    prints = written(plain.mapInArrow(run, "rid long, doc_id long, " + ", ".join(f"{c} long" for c in names)), "prints")
-    own = [f"s{i}" for i in range(WIDTH)]
-    # Equal fingerprints are one node; its id is its first row.
-    nodes = written(prints.groupBy(*names).agg(F.min("rid").alias("id")), "nodes")
-    cells = F.concat(*[cells_of(F.col(f"w{i}"), 4, 8, 1 + i) for i in range(LOOKS)])
-    edges = written(grid_edges(nodes, cells, own, bits_at(similarity), False), "links")
-    roots = written(components(edges).select(F.col("node").alias("id"), "root"), "roots")
-    rooted = nodes.join(roots, "id", "left").select(*names, F.coalesce("root", "id").alias("root"))
-    rows = written(prints.join(written(rooted, "rooted"), names).select("rid", "doc_id", "root"), "rows")
+    prints = written(plain.mapInArrow(run, "rid long, doc_id long, k0 long, k1 long, " + ", ".join(f"{c} long" for c in _SHAPE) + ", cells array<long>"), "prints")
+    # Equal sets (by size and two sums of hashes) are one node; its id is its first row.
+    same = ["n", "k0", "k1"]
+    heads = written(prints.groupBy(*same).agg(F.min("rid").alias("id")), "heads")
+    nodes = written(prints.join(heads.select("id"), F.col("rid") == F.col("id"), "left_semi").select(F.col("rid").alias("id"), *_SHAPE, "cells"), "nodes")
+    texts = plain.select(F.col("rid").alias("id"), "text")
+
+    entries = nodes.select("id", F.explode("cells").alias("cell"))
+    shared = written(entries.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").select("cell", "hub"), "cells")
+    members = written(entries.join(shared.hint("merge"), "cell"), "members")
+    tried = written(first_pairs(members, nodes, similarity), "tried")
+    links = alike(tried, texts, shingle, similarity)
+    roots = written(components(links).select(F.col("node").alias("id"), "root"), "roots")
+    parts = written(nodes.drop("cells").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "parts")
+    rest = written(other_pairs(members, parts, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
+    links = links.union(alike(rest, texts, shingle, similarity))
+
+    roots = written(components(links).select(F.col("node").alias("id"), "root"), "roots")
+    rooted = written(heads.join(roots, "id", "left").select(*same, F.coalesce("root", "id").alias("root")), "rooted")
+    rows = written(prints.select("rid", "doc_id", *same).join(rooted, same).select("rid", "doc_id", "root"), "rows")
     first = written(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("first")).select("first.rid"), "first")
     drop = rows.select("rid").join(first, "rid", "left_anti").select(F.col("rid").alias(key))
     return numbered.join(drop, key, "left_anti").select(docs.columns)

@@ -157,6 +157,52 @@ def test_near_copies_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in simhash.near_copies(frame).collect()) == [*range(30), 200, 201]
 
 
+def jaccard(one: str, two: str, n: int = 5) -> float:
+    sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (one.split(), two.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited(rng: random.Random, kind: str, text: str, share: float) -> str:
+    """Appended or replaced words at the end, or scattered ones, so that about this share of the shingles is new."""
+    words = text.split()
+    fresh = [f"n{rng.randint(0, 10**9)}" for _ in range(int(share * len(words)) + 1)]
+    if kind == "appended":
+        return " ".join(words + fresh)
+    if kind == "replaced":
+        return " ".join(words[: -len(fresh)] + fresh)
+    for k in rng.sample(range(len(words)), max(1, len(fresh) // 5)):
+        words[k] = fresh[0] + str(k)
+    return " ".join(words)
+
+
+def edited_pairs() -> list[tuple[str, str]]:
+    rng = random.Random(21)
+    out = []
+    for kind in ("appended", "replaced", "scattered"):
+        for k in range(40):
+            text = " ".join(f"v{rng.randint(0, 5000)}" for _ in range(rng.choice((60, 200, 600))))
+            out.append((text, edited(rng, kind, text, 0.04 + 0.006 * k)))
+    return out
+
+
+def groups_kept(rows: list[tuple], similarity: float = 0.8) -> list[int]:
+    """All pairs, then the smallest id of each component."""
+    root = {i: i for i, _ in rows}
+    for k, (i, x) in enumerate(rows):
+        for j, y in rows[:k]:
+            if root[i] != root[j] and jaccard(x, y) >= similarity:
+                a, b = sorted((root[i], root[j]))
+                root = {n: a if r == b else r for n, r in root.items()}
+    return sorted(set(root.values()))
+
+
+def test_near_copies_meet_whatever_the_edit(spark):
+    pairs = [(x, y) for x, y in edited_pairs() if jaccard(x, y) >= 0.8]
+    assert len(pairs) > 40
+    rows = [(2 * k + side, pair[side]) for k, pair in enumerate(pairs) for side in (0, 1)]
+    assert sorted(r.doc_id for r in simhash.near_copies(docs_frame(spark, rows).drop("_rid")).collect()) == [2 * k for k in range(len(pairs))]
+
+
 def test_pieces_are_lossless_reproducible_and_sampled(spark):
     texts = ["", "a  b\n\n c ▁d", "héllo wörld " * 9, "\U0001f600" * 40, "x" * 500, "the the the the the the the the"]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
