@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, bytes_of, unused, with_row_id, written
+from .common import blank_words, bytes_of, discard, unused, with_row_id, written
 from .graph import components
 
 SEED, SEGMENTS, BLOCK = 42, 32, 512
@@ -204,9 +204,9 @@ def prefix(shingles: np.ndarray, similarity: float) -> np.ndarray:
     return shingles[: n - int(np.ceil(n * similarity - _SLACK)) + 1]
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """PARITY words; a bit tells whether an odd number of shingles falls on it, so two sets differ in no fewer shingles than bits."""
-    odd = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+def parity(shingles: np.ndarray, size: int = 64 * PARITY) -> np.ndarray:
+    """size bits as words; a bit tells whether an odd number of shingles falls on it, so two sets differ in no fewer shingles than bits."""
+    odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -267,28 +267,43 @@ def other_pairs(members: DataFrame, nodes: DataFrame, similarity: float) -> Data
     return groups.where("size(rows) > 1").select("rows").mapInArrow(_met(similarity), "a long, b long").distinct()
 
 
+#: Parity bits by which pairs are tested once more before whole sets move.
+WIDE = 16_384
+
+
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts (id, text) have at least this Jaccard similarity of shingle sets (64-bit hashes)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [shingle_set(t, shingle).tobytes() for t in bytes_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], names=["id", "hashes"])
+            hashes = [shingle_set(t, shingle) for t in bytes_of(batch.column(1))]
+            sizes = pa.array([len(h) for h in hashes], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([parity(h, WIDE).tobytes() for h in hashes], pa.binary()), pa.array([h.tobytes() for h in hashes], pa.binary())], names=["id", "n", "wide", "hashes"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(both / (len(one) + len(two) - both) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def near(x: bytes, y: bytes, n: int) -> bool:
+        differ = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum(dtype=np.int64))
+        return differ <= n * ((1 - similarity) / (1 + similarity)) + _SLACK
+
+    def equal(x: bytes, y: bytes, n: int) -> bool:
+        both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        return both / (n - both) >= similarity
+
+    def tested(left: DataFrame, column: str, test) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [test(x, y, n) for x, y, n in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        one = left.join(chosen.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col(column).alias("x")).hint("merge"), "a")
+        two = one.join(chosen.select(F.col("id").alias("b"), "n", F.col(column).alias("y")).hint("merge"), "b")
+        return written(two.select("a", "b", "x", "y", F.col("m") + F.col("n")).mapInArrow(run, "a long, b long"), "alike")
 
     wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    chosen = written(texts.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, hashes binary"), "chosen")
-    one = pairs.join(chosen.select(F.col("id").alias("a"), F.col("hashes").alias("x")).hint("merge"), "a")
-    two = one.join(chosen.select(F.col("id").alias("b"), F.col("hashes").alias("y")).hint("merge"), "b")
-    return written(two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "alike")
+    chosen = written(texts.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, n long, wide binary, hashes binary"), "chosen")
+    likely = tested(pairs, "wide", near)
+    out = tested(likely, "hashes", equal)
+    discard(wanted, chosen, likely)
+    return out
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -327,6 +342,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     roots = written(components(links).select(F.col("node").alias("id"), "root"), "roots")
     parts = written(nodes.drop("cells").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "parts")
     rest = written(other_pairs(members, parts, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
+    discard(members, parts)
     links = links.union(alike(rest, texts, shingle, similarity))
 
     roots = written(components(links).select(F.col("node").alias("id"), "root"), "roots")

@@ -203,6 +203,19 @@ def test_near_copies_meet_whatever_the_edit(spark):
     assert sorted(r.doc_id for r in simhash.near_copies(docs_frame(spark, rows).drop("_rid")).collect()) == [2 * k for k in range(len(pairs))]
 
 
+def test_near_copies_are_verified_at_the_similarity(spark):
+    texts = [x for pair in edited_pairs() for x in pair]
+    both = [jaccard(x, y) for x, y in edited_pairs()]
+    assert sum(0.8 <= s < 0.84 for s in both) > 4 and sum(0.76 < s < 0.8 for s in both) > 4
+    rng = random.Random(3)
+    base = [f"v{rng.randint(0, 5000)}" for _ in range(100)]
+    # Each has its own last words, and a common line stands in texts that are otherwise unlike.
+    texts += [" ".join(base[: 100 - k % 14] + [f"m{k}x{i}" for i in range(k % 14)]) for k in range(40)]
+    texts += [" ".join(base[:12] + [f"z{k}x{i}" for i in range(30)]) for k in range(20)]
+    rows = list(enumerate(texts))
+    assert sorted(r.doc_id for r in simhash.near_copies(docs_frame(spark, rows).drop("_rid")).collect()) == groups_kept(rows)
+
+
 def test_pieces_are_lossless_reproducible_and_sampled(spark):
     texts = ["", "a  b\n\n c ▁d", "héllo wörld " * 9, "\U0001f600" * 40, "x" * 500, "the the the the the the the the"]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
