@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import alnum_words, bytes_of, unused, with_row_id, written
 
 WINDOW = 10
+#: Words by which the terms of a window may stand further apart in the registered query's proximity matches.
+REACH = 5
 #: Words of benchmark text in one block of windows, and words of training text in one shard.
 BLOCK_WORDS, SHARD_WORDS = 2_000_000, 1_500_000
 

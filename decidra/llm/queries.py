@@ -16,9 +16,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_row_id(table(spark, sf_dir, "documents"))
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), reach=decontaminate.REACH)
     n_hit = decontaminate.hit_words()
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near"), F.array_join("near_items", ",").alias("near_items"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

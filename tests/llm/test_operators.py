@@ -145,6 +145,15 @@ def test_repeats_of_hot_cores(spark, data, monkeypatch):
     assert result(queries.op10_suffix_array_dedup(spark, data), 4) == brute.repeats(DOCS)
 
 
+def test_op1_reports_proximity_matches(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten".split()
+    docs = [(1, " ".join(["pad", *item, "pad"])), (2, " ".join([*item[:5], "extra", *item[5:]])), (3, " ".join([*item[:3], item[4], item[3], *item[5:]])), (4, " ".join(item[:9]))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_items, r.contaminated, r.n_near, r.near_items) for r in queries.op1_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, True, 1, "7"), 2: (0, False, 1, "7"), 3: (0, False, 1, "7"), 4: (0, False, 0, "")}
+
+
 def test_near_copies_keeps_one_of_each_group(spark):
     rng = random.Random(8)
     texts = [" ".join(f"v{rng.randint(0, 5000)}" for _ in range(200)) for _ in range(30)]
