@@ -313,7 +313,7 @@ def pack_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first turn is the state, the others are questions with two options of one word."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.split("text", " ")).alias("n"))
     g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "n"))).alias("ts"))
-    rows = g.select("conv_id", F.element_at("ts", 1)["n"].alias("state"), F.transform(F.slice("ts", 2, 1000), lambda t: F.struct(t["n"].alias("tokens"), F.array(F.lit(1), F.lit(1)).alias("options"))).alias("qs"))
+    rows = g.select("conv_id", F.element_at("ts", 1)["n"].alias("state"), F.transform(F.slice("ts", F.lit(2), F.size("ts")), lambda t: F.struct(t["n"].alias("tokens"), F.array(F.lit(1), F.lit(1)).alias("options"))).alias("qs"))
     out = Q.packed(rows, "state", "qs")
     last = F.when(F.size("reads") > 0, F.element_at("reads", -1)).otherwise(F.col("state") - 1)
     return out.select("conv_id", F.size("segments").cast("long").alias("length"), F.size("reads").alias("reads"), last.cast("long").alias("last_read"))

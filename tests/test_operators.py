@@ -11,6 +11,7 @@ from decidra import schemas
 from decidra.functions import numeric as N
 from decidra.functions import text as X
 from decidra.operators import builders, experiments, joins, labels, metrics, sampling, sequences
+from decidra.plans import rows as plans
 from decidra.sources import dom, readers, writers
 from decidra.streaming import logs
 
@@ -246,3 +247,9 @@ def test_split_rows_are_disjoint(spark):
     first = {r.id for r in readers.split_rows(rows, ["id"], "id", 10, "1").collect()}
     more = {r.id for r in readers.split_rows(rows, ["id"], "id", 10, "1", skip=10).collect()}
     assert len(first) == len(more) == 10 and not first & more
+
+
+def test_pack_layout_takes_all_turns(spark, tmp_path):
+    spark.range(1200).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "'one two' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = plans.pack_layout(spark, str(tmp_path)).first()
+    assert (got.length, got.reads) == (2 + 1199 * (2 + 2 + 2 * 3), 1199)
