@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
+    """The shared folder that the cluster names; a folder of our own only in local mode, where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="decidra-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/decidra"
@@ -78,9 +82,30 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+#: Bytes of file names up to which their numbers are broadcast; beyond, the numbered rows are stored once.
+FILE_NAMES = 64 << 20
+
+
 def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
-    """A number per row of a stored table; the same at each read of it, also where ids repeat or are null."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    """A number per row of a stored table: the place of its file among the sorted names, and its place in the file.
+
+    It is the same at each read, however many cores read and however files are split, also where ids repeat or are null.
+    Rows that come from no file are stored once with their numbers. A column of that name is replaced.
+    """
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    path, place, number = (unused(docs, c) for c in ("_path", "_place", "_number"))
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:
+        return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    files = sorted(r[0] for r in placed.select(path).distinct().collect())  # as many as Spark's driver has listed for the scan
+    if len(files) < 2:
+        return placed.select(*[placed[c] for c in kept], F.col(place).alias(name))
+    if sum(map(len, files)) > FILE_NAMES:
+        return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"`{path}` string, `{number}` long")
+    joined = placed.join(F.broadcast(numbers), path)
+    return joined.select(*[placed[c] for c in kept], F.shiftleft(number, 40).bitwiseOR(F.col(place)).alias(name))
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -4,9 +4,12 @@ A 64-bit fingerprint is cut into 32 segments of two bits. Its image has in each
 (in unary: 00, 01, 11), so the Manhattan distance of two count vectors is the number of bits in which their
 images differ, and it never exceeds the Hamming distance of the fingerprints. The 32 coordinates form
 `groups` groups; if two count vectors are within d, at least groups - d groups agree. Each fingerprint is
-entered into one unit cell of the grid over every choice of groups - d coordinate groups; pairs that share a
-cell are tested by the Manhattan bound and then exactly. A cell with many members is dealt out as pairs of blocks,
-and a block pair returns only edges that join parts which were not connected yet.
+entered into one unit cell of the grid over every choice of groups - d coordinate groups, where the range to join is
+the cell itself; pairs that share a cell are tested by the Manhattan bound and then exactly.
+
+A cell's members are first tested against its smallest, so a group of near copies costs as many tests as it has members.
+Those that it does not reach meet the others in pairs of blocks. What a block pair knows to be connected is one part from
+the start, and it returns only edges between different parts; edges inside a block come from one of its pairs alone.
 
 Defined cases: null and empty texts have no words and fingerprint 0; a text of fewer words than a shingle is one
 shingle; rows with the same doc_id are separate rows; a null doc_id never names a component unless all are null.
@@ -14,8 +17,10 @@ shingle; rows with the same doc_id are separate rows; a null doc_id never names
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -84,56 +89,63 @@ def masks(distance: int, groups: int) -> list[int]:
     return [_signed(sum(chosen)) for chosen in combinations(part, groups - distance)]
 
 
-def spanning(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph in which prints (rows of words) within distance are linked."""
-    n, edges = len(prints), []
-    part = np.arange(n)
-    for i in range(n - 1):
-        others = np.flatnonzero(part != part[i])
-        if not len(others):
-            break
-        near = others[np.bitwise_count(prints[others] ^ prints[i]).sum(axis=1, dtype=np.int64) <= distance]
-        for j in near.tolist():
+def bit_counts(x: np.ndarray) -> np.ndarray:
+    """image() of many fingerprints."""
+    up, low = (x >> np.uint64(1)) & np.uint64(_EVEN), x & np.uint64(_EVEN)
+    return (low | up) | ((low & up) << np.uint64(1))
+
+
+def linked(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
+    """Whether fingerprints are within distance: by the Manhattan distance of their bit counts, then by all bits."""
+    out = np.bitwise_count(bit_counts(x) ^ bit_counts(y)) <= distance
+    out[out] = np.bitwise_count((x ^ y)[out]) <= distance
+    return out
+
+
+def spanning(prints: np.ndarray, distance: int, part: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join parts: between prints left and right (places) within distance. part is updated."""
+    edges = []
+    for i in left.tolist():
+        others = right[part[right] != part[i]]
+        for j in others[linked(prints[others], np.broadcast_to(prints[i], len(others)), distance)].tolist():
             if part[j] != part[i]:
                 edges.append((i, j))
                 part[part == part[j]] = part[i]
     return edges
 
 
-def _tested(width: int, distance: int, bound: bool):
-    """Edges from cells: lists of node ids and of their fingerprint words. bound: one word, Manhattan distance first."""
+def _tested(distance: int):
+    """Edges of block pairs: blocks i and j and how many there are, and rows of fingerprint, block and mark of being known."""
 
-    def small(ids: np.ndarray, prints: np.ndarray, cell: np.ndarray, longest: int) -> list[np.ndarray]:
-        out = []
-        for step in range(1, longest):
-            left = np.flatnonzero(cell[:-step] == cell[step:]) if len(cell) > step else np.empty(0, np.int64)
-            if bound and len(left):
-                x = prints[:, 0]
-                up = (x >> np.uint64(1)) & np.uint64(_EVEN)
-                low = x & np.uint64(_EVEN)
-                count = (low | up) | ((low & up) << np.uint64(1))
-                left = left[np.bitwise_count(count[left] ^ count[left + step]) <= distance]
-            near = left[np.bitwise_count(prints[left] ^ prints[left + step]).sum(axis=1, dtype=np.int64) <= distance]
-            out.append(np.stack([ids[near], ids[near + step]]))
-        return out
+    def cell(i: int, j: int, blocks: int, prints: np.ndarray, block: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
+        part = np.where(known, -1, np.arange(len(prints)))
+        edges = []
+        for own, other in ((i, j), (j, i)) if i != j else ((i, i),):
+            mine = np.flatnonzero(block == own)
+            inner = spanning(prints, distance, part, mine, mine)
+            if other == (own + 1) % blocks or blocks == 1:
+                edges += inner
+        if i != j:
+            edges += spanning(prints, distance, part, np.flatnonzero(block == i), np.flatnonzero(block == j))
+        return edges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(0)
-            sizes = np.diff(lists.offsets.to_numpy())
-            rows = lists.flatten()
-            ids = rows.field(0).to_numpy()
-            prints = np.stack([rows.field(1 + i).to_numpy().view(np.uint64) for i in range(width)], axis=1) if len(ids) else np.empty((0, width), np.uint64)
-            cell = np.repeat(np.arange(len(sizes)), sizes)
-            few = np.repeat(sizes <= 8, sizes)
-            found = small(ids[few], prints[few], cell[few], int(min(8, sizes.max(initial=0))))
-            starts = np.concatenate(([0], np.cumsum(sizes)))
-            for k in np.flatnonzero(sizes > 8).tolist():
-                a, b = starts[k], starts[k + 1]
-                if edges := spanning(prints[a:b], distance):
-                    found.append(ids[a:b][np.array(edges).T])
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1].astype(np.int64))], names=["a", "b"])
+            i, j, blocks = (batch.column(c).to_pylist() for c in range(3))
+            lists = batch.column(3)
+            starts, rows = lists.offsets.to_numpy(), lists.values
+            prints, block, known = rows.field(0).to_numpy().view(np.uint64), rows.field(1).to_numpy(), rows.field(2).to_numpy(zero_copy_only=False)
+            sizes = np.diff(starts)
+            # Cells of two rows are most of all and are tested together.
+            two = starts[:-1][sizes == 2]
+            two = two[linked(prints[two], prints[two + 1], distance)]
+            found = [np.stack([prints[two], prints[two + 1]]).view(np.int64)]
+            for k in np.flatnonzero(sizes > 2).tolist():
+                at = slice(starts[k], starts[k + 1])
+                if edges := cell(i[k], j[k], blocks[k], prints[at], block[at], known[at]):
+                    found.append(prints[at][np.array(edges).T].view(np.int64))
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
 
@@ -146,31 +158,43 @@ def _dealt(members: DataFrame) -> DataFrame:
     return dealt.withColumn("other", F.when(F.col("blocks") == 1, 0).when(F.col("other") >= F.col("own"), F.col("other") + 1).otherwise(F.col("other")))
 
 
-def grid_edges(nodes: DataFrame, cells: Column, words: list[str], distance: int, bound: bool = True) -> DataFrame:
-    """Edges (a, b) between the rows of nodes (id, the words) that share a cell and differ in at most distance bits.
-
-    Only cells with two members or more go on. They are dealt out in block pairs of at most two BLOCKs, so the
-    rows of a cell never meet in one task, and no row is left out.
-    """
-    entries = nodes.select("id", *words, F.explode(cells).alias("cell"))
-    shared = written(entries.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
+def grid_edges(prints: DataFrame, distance: int, groups: int) -> DataFrame:
+    """Edges (a, b) that connect what is connected among fingerprints (id, distinct) of at most distance differing bits."""
+    entries = prints.select("id", F.explode(cells_of(F.col("id"), distance, groups)).alias("cell"))
+    shared = entries.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
     # Shared cells grow with the data, so they are never broadcast.
-    dealt = _dealt(entries.join(shared.hint("merge"), "cell"))
-    groups = dealt.groupBy("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", *words)).alias("rows"))
-    return groups.where("size(rows) > 1").select("rows").mapInArrow(_tested(len(words), distance, bound), "a long, b long")
-
-
-def cells_of(fp: Column, distance: int, groups: int, salt: int = 0) -> Column:
+    members = written(entries.join(written(shared, "cells").hint("merge"), "cell"), "members")
+    members = members.withColumn("known", F.bit_count(F.col("id").bitwiseXOR(F.col("hub"))) <= distance)
+    near = members.where("known and id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    # A cell of which all members are within reach of the smallest is done.
+    open_cells = members.where("not known").groupBy("cell").agg(F.min(F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"))
+    rest = _dealt(members.select("id", "cell", "known").join(written(open_cells, "open").hint("merge"), "cell"))
+    met = rest.groupBy("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "blocks").agg(F.collect_list(F.struct("id", "own", "known")).alias("rows"))
+    met = met.where("size(rows) > 1").select("i", "j", "blocks", "rows").mapInArrow(_tested(distance), "a long, b long")
+    return near.union(met).distinct()
+
+
+def cells_of(fp: Column, distance: int, groups: int) -> Column:
     """The cells of a fingerprint, hashed to one long each; a clash of hashes only adds a test."""
     seen = image(fp)
-    return F.array(*[F.xxhash64(F.lit(salt * 1000 + k), seen.bitwiseAND(F.lit(m))) for k, m in enumerate(masks(distance, groups))])
+    return F.array(*[F.xxhash64(F.lit(k), seen.bitwiseAND(F.lit(m))) for k, m in enumerate(masks(distance, groups))])
+
+
+def groups_for(prints: int, distance: int) -> int:
+    """Coordinate groups with the fewest entries and chance pairs: a coordinate agrees by chance in 3 of 8 cases."""
+
+    def cost(groups: int) -> float:
+        agree = 0.375 ** (SEGMENTS * (groups - distance) / groups)
+        return comb(groups, distance) * (1 + prints * agree / 2)
+
+    return min(range(distance + 4, distance + 9), key=cost)
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int = 8) -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, groups: int | None = None) -> DataFrame:
     """_rid, doc_id, fp and component_id (the smallest doc_id that links reach) for rows of _rid, doc_id, text."""
     prints = written(fingerprints(docs, shingle), "prints")
-    nodes = written(prints.groupBy(F.col("fp").alias("id")).agg(F.min("doc_id").alias("first")).withColumn("fp", F.col("id")), "nodes")
-    edges = written(grid_edges(nodes, cells_of(F.col("fp"), distance, groups), ["fp"], distance), "links")
+    nodes = written(prints.groupBy(F.col("fp").alias("id")).agg(F.min("doc_id").alias("first")), "nodes")
+    edges = written(grid_edges(nodes, distance, groups or groups_for(nodes.count(), distance)), "links")
     roots = written(components(edges).select(F.col("node").alias("id"), "root"), "roots")
     rooted = written(nodes.join(roots, "id", "left").select("id", "first", F.coalesce("root", "id").alias("root")), "rooted")
     names = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "names")
@@ -178,16 +202,17 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, groups:
     return prints.join(named, "fp").select("_rid", "doc_id", "fp", "component_id")
 
 
-# ---- Near copies by similarity: prefix filter over the shingles, then the exact Jaccard.
+# ---- Near copies by similarity: SimHash links and a prefix filter propose, the exact Jaccard decides.
 
-WIDTH, PARITY = 4, 16
-_MIX = [np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1) for i in range(WIDTH)]
+PARITY = 8
 _SLACK = 1e-9
+#: Counters of shingles by hash: about this many for each row, as a power of two between these bounds (16 MB at most).
+COUNTERS, LEAST_BITS, MOST_BITS, SLICES = 4, 16, 22, 16
 
 
 def mixed(hashes: np.ndarray, i: int) -> np.ndarray:
     """Another hash of each value; bits are independent between the indices."""
-    x = hashes * _MIX[i]
+    x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x632BE59BD9B4E019 & (1 << 64) - 1 | 1)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
@@ -198,10 +223,14 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(blank_words(text), shingle))
 
 
-def prefix(shingles: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles, of which two sets of at least this Jaccard similarity share one at least."""
-    n = len(shingles)
-    return shingles[: n - int(np.ceil(n * similarity - _SLACK)) + 1]
+def prefix(shingles: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of least count, of which two sets of at least this Jaccard similarity share one at least.
+
+    Any order of shingles that is the same for all sets will do; where frequent ones come last, few sets share a cell.
+    """
+    n, bits = len(shingles), len(counts).bit_length() - 1
+    order = np.argsort(counts[(shingles >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
+    return shingles[order[: n - int(np.ceil(n * similarity - _SLACK)) + 1]]
 
 
 def parity(shingles: np.ndarray, size: int = 64 * PARITY) -> np.ndarray:
@@ -210,19 +239,53 @@ def parity(shingles: np.ndarray, size: int = 64 * PARITY) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def shingle_counts(texts: DataFrame, shingle: int, bits: int) -> np.ndarray:
+    """In how many texts (text) the shingles of each hash beginning stand: one table of 2 ** bits counters per task, added up by slices."""
+    width = (1 << bits) // SLICES
+
+    def packed(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        blobs = [zlib.compress(x.tobytes(), 1) for x in counts.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "counts"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for text in bytes_of(batch.column(0)):
+                np.add.at(counts, (shingle_set(text, shingle) >> np.uint64(64 - bits)).astype(np.int64), 1)
+        yield packed({k: counts[k * width : (k + 1) * width] for k in range(SLICES)})
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(blob), np.uint32)
+                sums[k] = sums[k] + part if k in sums else part
+        if sums:
+            yield packed(sums)
+
+    rows = texts.select("text").mapInArrow(counted, "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(added, "slice int, counts binary").collect()
+    out = np.zeros(1 << bits, np.uint32)
+    for k, blob in rows:
+        out[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(blob), np.uint32)
+    return out
+
+
 _BITS = [f"p{i}" for i in range(PARITY)]
 _SHAPE = ["n", *_BITS]
 
 
 def _possible(similarity: float, x: str, y: str) -> Column:
-    """False only where sizes or parity bits rule the similarity out; columns of both sides by prefix."""
-    one, two = F.col(f"{x}n"), F.col(f"{y}n")
+    """False only where the parity bits rule the similarity out; columns of both sides by prefix."""
     bits = sum((F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}"))) for p in _BITS), F.lit(0))
-    return (F.least(one, two) >= F.greatest(one, two) * similarity - _SLACK) & (bits <= (one + two) * ((1 - similarity) / (1 + similarity)) + _SLACK)
+    return bits <= (F.col(f"{x}n") + F.col(f"{y}n")) * ((1 - similarity) / (1 + similarity)) + _SLACK
+
+
+def _sizes(similarity: float, one: str, two: str) -> Column:
+    return F.least(one, two) >= F.greatest(one, two) * similarity - _SLACK
 
 
 def _met(similarity: float):
-    """Pairs (a, b) of each list of rows (id, root, n, parity) that _possible leaves and that have different roots."""
+    """Pairs (a, b) of each list of rows (id, root, n, parity) that sizes and parity bits leave and that have different roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,41 +311,38 @@ def _met(similarity: float):
     return run
 
 
-def first_pairs(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of each member of a cell and the cell's smallest id: as many as members at most."""
-    pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}{c}") for c in _SHAPE]), side)
-    return pairs.where(_possible(similarity, "a", "b")).select("a", "b")
-
-
 def other_pairs(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of members of a cell whose nodes have different roots; cells of one root need none."""
     rooted = written(members.select("id", "cell").join(nodes.select("id", "root"), "id"), "rooted")
     open_cells = rooted.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     open_cells = written(open_cells.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
     left = written(rooted.join(open_cells.hint("merge"), "cell"), "left")
+    discard(rooted)
     dealt = _dealt(left.join(nodes.select("id", *_SHAPE), "id"))
     groups = dealt.groupBy("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", "root", *_SHAPE)).alias("rows"))
-    return groups.where("size(rows) > 1").select("rows").mapInArrow(_met(similarity), "a long, b long").distinct()
-
-
-#: Parity bits by which pairs are tested once more before whole sets move.
-WIDE = 16_384
+    out = written(groups.where("size(rows) > 1").select("rows").mapInArrow(_met(similarity), "a long, b long").distinct(), "met")
+    discard(open_cells, left)
+    return out
 
 
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts (id, text) have at least this Jaccard similarity of shingle sets (64-bit hashes)."""
+    """The pairs (a, b) whose texts (id, text) have at least this Jaccard similarity of shingle sets (64-bit hashes).
+
+    Parity bits, two to four for each shingle, rule most others out before whole sets move.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [shingle_set(t, shingle) for t in bytes_of(batch.column(1))]
-            sizes = pa.array([len(h) for h in hashes], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array([parity(h, WIDE).tobytes() for h in hashes], pa.binary()), pa.array([h.tobytes() for h in hashes], pa.binary())], names=["id", "n", "wide", "hashes"])
+            wide = [parity(h, max(64, 1 << (2 * len(h) - 1).bit_length())).tobytes() for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in hashes], pa.int64()), pa.array(wide, pa.binary()), pa.array([h.tobytes() for h in hashes], pa.binary())], names=["id", "n", "wide", "hashes"])
 
     def near(x: bytes, y: bytes, n: int) -> bool:
-        differ = int(np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum(dtype=np.int64))
-        return differ <= n * ((1 - similarity) / (1 + similarity)) + _SLACK
+        one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        while len(one) != len(two):  # the longer one folded: hashes that differ in the upper bit alone fall together
+            one, two = (one, two) if len(one) > len(two) else (two, one)
+            one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+        return int(np.bitwise_count(one ^ two).sum(dtype=np.int64)) <= n * ((1 - similarity) / (1 + similarity)) + _SLACK
 
     def equal(x: bytes, y: bytes, n: int) -> bool:
         both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
@@ -306,43 +366,53 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     return out
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
     """docs with one row of each group of near copies: the smallest doc_id, of equal ones the first row.
 
     Rows are linked if the Jaccard similarity of their shingle sets is at least similarity; groups are what links reach.
-    Candidates share a cell, that is a shingle of both prefixes, so no pair is missed. First all members of a cell are
-    tested against its smallest, then members of different components so far. Texts without words stay.
+    The first candidates are SimHash links of the shingles within distance, and each row with the smallest of every cell
+    it shares. A cell is a shingle of least count; each pair of at least this similarity shares one, so none is missed
+    when, last, the members of a cell that are in different components so far meet. Every link is verified on the sets.
+    Texts without words stay.
     """
     key = unused(docs, "_rid")
     numbered = with_row_id(docs, key)
+    plain = numbered.select(F.col(key).alias("rid"), "doc_id", "text")
+    bits = min(MOST_BITS, max(LEAST_BITS, (COUNTERS * docs.count()).bit_length()))
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(plain, shingle, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in bytes_of(batch.column(2))]
-            keep = pa.array([len(s) > 0 for s in sets], pa.bool_())
-            sets = [s for s in sets if len(s)]
+            every = [shingle_hashes(blank_words(t), shingle) for t in bytes_of(batch.column(2))]
+            keep = pa.array([len(s) > 0 for s in every], pa.bool_())
+            prints = pa.array([_signed(majority(s)) for s in every if len(s)], pa.int64())
+            sets = [np.unique(s) for s in every if len(s)]
             same = [pa.array([int(mixed(s, i).sum().view(np.int64)) for s in sets], pa.int64()) for i in range(2)]
-            bits = np.array([parity(s) for s in sets], np.int64).reshape(-1, PARITY)
-            cells = pa.array([prefix(s, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), *same, pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c) for c in bits.T), cells], names=["rid", "doc_id", "k0", "k1", *_SHAPE, "cells"])
+            words = np.array([parity(s) for s in sets], np.int64).reshape(-1, PARITY)
+            cells = pa.array([prefix(s, counts.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), *same, prints, pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c) for c in words.T), cells], names=["rid", "doc_id", "k0", "k1", "fp", *_SHAPE, "cells"])
 
-    plain = numbered.select(F.col(key).alias("rid"), "doc_id", "text")
-    prints = written(plain.mapInArrow(run, "rid long, doc_id long, k0 long, k1 long, " + ", ".join(f"{c} long" for c in _SHAPE) + ", cells array<long>"), "prints")
+    prints = written(plain.mapInArrow(run, "rid long, doc_id long, k0 long, k1 long, fp long, " + ", ".join(f"{c} long" for c in _SHAPE) + ", cells array<long>"), "prints")
     # Equal sets (by size and two sums of hashes) are one node; its id is its first row.
     same = ["n", "k0", "k1"]
     heads = written(prints.groupBy(*same).agg(F.min("rid").alias("id")), "heads")
-    nodes = written(prints.join(heads.select("id"), F.col("rid") == F.col("id"), "left_semi").select(F.col("rid").alias("id"), *_SHAPE, "cells"), "nodes")
+    nodes = written(prints.join(heads.select("id"), F.col("rid") == F.col("id"), "left_semi").select(F.col("rid").alias("id"), "fp", *_SHAPE, "cells"), "nodes")
     texts = plain.select(F.col("rid").alias("id"), "text")
 
-    entries = nodes.select("id", F.explode("cells").alias("cell"))
-    shared = written(entries.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").select("cell", "hub"), "cells")
+    entries = nodes.select("id", F.col("n").cast("int").alias("n"), F.explode("cells").alias("cell"))
+    shared = entries.groupBy("cell").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("hub")).where("m > 1").select("cell", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    shared = written(shared, "shared")
     members = written(entries.join(shared.hint("merge"), "cell"), "members")
-    tried = written(first_pairs(members, nodes, similarity), "tried")
+    hubs = members.where((F.col("id") != F.col("hub")) & _sizes(similarity, "n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    tried = hubs.union(_print_pairs(nodes, distance)).distinct()
+    for side in ("a", "b"):
+        tried = tried.join(nodes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}{c}") for c in _SHAPE]), side)
+    tried = written(tried.where(_sizes(similarity, "an", "bn") & _possible(similarity, "a", "b")).select("a", "b"), "tried")
     links = alike(tried, texts, shingle, similarity)
     roots = written(components(links).select(F.col("node").alias("id"), "root"), "roots")
-    parts = written(nodes.drop("cells").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "parts")
+    parts = written(nodes.drop("cells", "fp").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "parts")
     rest = written(other_pairs(members, parts, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
-    discard(members, parts)
+    discard(members, parts, nodes, shared)
     links = links.union(alike(rest, texts, shingle, similarity))
 
     roots = written(components(links).select(F.col("node").alias("id"), "root"), "roots")
@@ -351,3 +421,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     first = written(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("first")).select("first.rid"), "first")
     drop = rows.select("rid").join(first, "rid", "left_anti").select(F.col("rid").alias(key))
     return numbered.join(drop, key, "left_anti").select(docs.columns)
+
+
+def _print_pairs(nodes: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of nodes (id, fp), a < b, that SimHash links: equal fingerprints by their first node, others by the grid."""
+    first = written(nodes.groupBy("fp").agg(F.min("id").alias("first")), "first")
+    equal = nodes.join(first.hint("merge"), "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    edges = written(grid_edges(first.select(F.col("fp").alias("id")), distance, groups_for(first.count(), distance)), "links")
+    for side in ("a", "b"):
+        edges = edges.join(first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}1")), side)
+    return equal.union(edges.select(F.least("a1", "b1").alias("a"), F.greatest("a1", "b1").alias("b")))

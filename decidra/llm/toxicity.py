@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, bytes_of, unused, with_row_id
-from .simhash import WIDTH, mixed, shingle_hashes
+from .common import alnum_words, bytes_of
+from .simhash import mixed, shingle_hashes
 
 SAMPLE, SAMPLE_BYTES, THRESHOLD = 3000, 48 << 20, 0.7
 TEXTS, UNLIKE, LOG_ODDS, SAME, WINDOW, STEPS, RATE, L2 = 6, 0.6, 1.5, 0.8, 24, 200, 0.3, 1e-3
+#: Minimal hashes by which unlike texts are told.
+WIDTH = 4
 #: Bytes of the beginnings of words that can be features, and words whose feature a worker remembers.
 BEGINNINGS, REMEMBERED = range(3, 10), 300_000
 #: A word counts as carrying a weight from here on.
@@ -282,8 +284,14 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score threshold or more; columns as before."""
-    key = unused(docs, "_rid")
-    numbered = with_row_id(docs, key)
-    found = scored(numbered.select(F.col(key).alias("_rid"), "doc_id", "text"), fit(sample(docs, labels)))
-    return numbered.join(found.where(F.col("score") >= threshold).select(F.col("_rid").alias(key)), key, "left_anti").select(docs.columns)
+    """docs without the rows that score threshold or more, in one pass over them; columns as before."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels)))
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = model.value
+        for batch in batches:
+            scores = [chain.score(chain.tagged(alnum_words(text))[1]) for text in bytes_of(batch.column(at))]
+            yield batch.filter(pa.array([x < threshold for x in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
