@@ -38,4 +38,41 @@ q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a)
 k AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
-ORACLES = {"op1_decontamination": DECONTAMINATION, "op2_chat_formatting": CHAT, "op9_exact_dedup": EXACT, "op10_suffix_array_dedup": REPEATS}
+_W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _matches(rank: int, text: str, pattern: str) -> str:
+    return f"SELECT doc_id, {rank} AS rank, regexp_extract_all({text}, '{pattern}') AS vs, string_split_regex({text}, '{pattern}') AS gaps FROM d"
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum([CASE WHEN i % 2 = 0 THEN reverse({_DIGITS})[i + 1]::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][reverse({_DIGITS})[i + 1]::INT + 1] END for i in range(len({_DIGITS}))]) % 10 = 0"
+_KIND = "['email', 'ip', 'card', 'phone', 'term'][rank + 1]"
+
+PII = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS low FROM documents),
+m AS ({_matches(0, "t", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")} UNION ALL {_matches(1, "t", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")}
+  UNION ALL {_matches(2, "t", r"[0-9](?:[\x20-]?[0-9])+")} UNION ALL {_matches(3, "t", r"\+[0-9][\x20().0-9-]+[0-9]")} UNION ALL {_matches(4, "low", _W)}),
+u AS (SELECT doc_id, rank, i, vs[i] AS v, len(gaps[i]) + len(vs[i]) AS step FROM m, unnest(range(1, len(vs) + 1)) AS r(i)),
+s AS (SELECT doc_id, rank, v, (sum(step) OVER (PARTITION BY doc_id, rank ORDER BY i))::BIGINT AS stop FROM u),
+p AS (SELECT doc_id, rank, v, stop - len(v) AS start, stop FROM s WHERE rank IN (0, 4) OR
+  (rank = 1 AND list_bool_and([len(ltrim(x, '0')) <= 3 AND coalesce(try_cast(ltrim(x, '0') AS INT), 0) <= 255 for x in string_split(v, '.')])) OR
+  (rank = 3 AND len({_DIGITS}) BETWEEN 10 AND 15) OR (rank = 2 AND CASE WHEN len({_DIGITS}) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END)),
+base AS (SELECT * FROM p WHERE rank < 4),
+clear AS (SELECT * FROM p WHERE rank = 4 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = p.doc_id AND b.start < p.stop AND p.start < b.stop)),
+items AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, rank) AS k FROM (SELECT * FROM base UNION ALL SELECT * FROM clear)),
+seen AS (SELECT DISTINCT e.doc_id, w.v AS term, e.v AS entity FROM items e JOIN items w ON e.doc_id = w.doc_id AND w.k BETWEEN e.k - 8 AND e.k + 8 WHERE e.rank < 4 AND w.rank = 4),
+pairs AS (SELECT term, entity, count(*) AS n FROM seen GROUP BY 1, 2 HAVING count(*) >= 2),
+nt AS (SELECT v AS term, count(DISTINCT doc_id) AS n_term FROM p WHERE rank = 4 GROUP BY 1),
+ne AS (SELECT v AS entity, count(DISTINCT doc_id) AS n_entity FROM base GROUP BY 1),
+rated AS (SELECT term, n, n / n_term AS share, round(log2(n * total / (n_term * n_entity)), 9) AS bits, log2(total / n_entity) AS own FROM pairs JOIN nt USING (term) JOIN ne USING (entity), (SELECT count(*)::DOUBLE AS total FROM d)),
+telling AS (SELECT DISTINCT term FROM rated WHERE bits >= round(0.75 * own, 9) AND share >= 0.5 AND n * bits >= 12),
+spans AS (SELECT * FROM base UNION ALL SELECT clear.* FROM clear JOIN telling ON v = term),
+runs AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM spans),
+o AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
+  string_agg({_KIND} || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4) AS b, string_agg({_KIND} || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS a,
+  string_agg(CASE WHEN start >= since THEN substr(t, since + 1, start - since) || '[' || upper({_KIND}) || ']' ELSE '' END, '' ORDER BY start, rank) || substr(any_value(t), max(stop) + 1) AS clean FROM runs JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, sha256(coalesce(clean, t)) AS sanitised_sha256
+FROM d LEFT JOIN o USING (doc_id)"""
+
+ORACLES = {"op4_pii": PII, "op1_decontamination": DECONTAMINATION, "op2_chat_formatting": CHAT, "op9_exact_dedup": EXACT, "op10_suffix_array_dedup": REPEATS}

@@ -24,18 +24,72 @@ from pyspark.sql import functions as F
 
 DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs in RFC 4122
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|main|aside|blockquote|pre|td|th|hr|form|title|body|html)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-
-
-def plain(page: str) -> str:
-    """Visible text: a line per block, blanks collapsed."""
-    text = html.unescape(_TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub(" ", page))))
-    return "\n".join(line for x in text.split("\n") if (line := " ".join(x.split())))
+_BLOCK = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer nav main aside blockquote pre td th hr form title body html".split())
+#: Elements whose content is no text of the page; all but the head are skipped to their end tag.
+_HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "template", "noscript", "svg", "head")}
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9]*")
+_TITLE_END = re.compile(r"</title\s*>", re.I)
+_HREF = re.compile(r"(?<![\w-])href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LANG = re.compile(r"(?<![\w-])lang\s*=\s*[\"']?([\w-]+)", re.I)
+
+
+class Page:
+    """Text, title, language and links of a page, from one pass over it: every step begins where the last one ended."""
+
+    def __init__(self, page: str) -> None:
+        self.title, self.language, self.links = None, "", []
+        parts, at, head = [], 0, False
+        while (low := page.find("<", at)) >= 0:
+            if not head:
+                parts.append(page[at:low])
+            if page.startswith("<!--", low):
+                end = page.find("-->", low + 4)
+                at = len(page) if end < 0 else end + 3
+                parts.append(" ")
+                continue
+            close = page.startswith("/", low + 1)
+            name = _NAME.match(page, low + 1 + close)
+            if not name and not (page[low + 1 + close : low + 2 + close] in ("!", "?")):
+                at = low + 1
+                if not head:
+                    parts.append("<")
+                continue
+            end = page.find(">", low)
+            if end < 0:  # no tag ends any more; what is left is text
+                at = low
+                break
+            at = end + 1
+            if not name:
+                continue
+            tag = name[0].lower()
+            if close:
+                head = head and tag != "head"
+            elif tag == "head":
+                head = True
+                parts.append(" ")
+            elif tag in _HIDDEN:
+                ended = _HIDDEN[tag].search(page, at)
+                at = ended.end() if ended else len(page)
+                parts.append(" ")
+                continue
+            elif tag == "title" and self.title is None:
+                ended = _TITLE_END.search(page, at)
+                self.title = page[at : ended.start()] if ended else ""
+            elif tag == "a" and (href := _HREF.search(page, low, end)):
+                self.links.append(html.unescape(href[1] or href[2] or href[3] or ""))
+            elif tag == "html" and not self.language and (lang := _LANG.search(page, low, end)):
+                self.language = lang[1]
+            if tag in _BLOCK and not head:
+                parts.append("\n")
+        if not head:
+            parts.append(page[at:])
+        self.text = _lines("".join(parts))
+        self.title = Page(self.title).text if self.title else ""
+
+
+def _lines(text: str) -> str:
+    """A line per block, blanks collapsed."""
+    return "\n".join(line for x in html.unescape(text).split("\n") if (line := " ".join(x.split())))
 
 
 def digest(block: bytes) -> str:
@@ -80,13 +134,11 @@ def derivatives(responses: DataFrame) -> DataFrame:
     """Two records per response: metadata and conversion, each with its fields and as WARC bytes."""
 
     def both(page: int, source: str, uri: str, date: str, http: str, sha: str, body: str) -> Iterator[tuple]:
-        text = plain(body)
-        title = _TITLE.search(body)
-        lang = _LANG.search(body)
-        links = [html.unescape(a or b or c) for a, b, c in _LINK.findall(body)]
+        page_text = Page(body)
+        text, links = page_text.text, page_text.links
         headers = [x for x in http.split("\r\n")[1:] if x]
         conversion = record_id("conversion", source)
-        fields = [("title", plain(title[1]) if title else ""), ("language", lang[1] if lang else ""), ("conversion", conversion), ("characters", str(len(text))), ("links", str(len(links)))]
+        fields = [("title", page_text.title), ("language", page_text.language), ("conversion", conversion), ("characters", str(len(text))), ("links", str(len(links)))]
         fields += [("source-header", x) for x in headers] + [("outlink", x) for x in links]
         about = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields)
         for kind, name, mime, block in (("metadata", record_id("metadata", source), "application/warc-fields", about), ("conversion", conversion, "text/plain", text)):
