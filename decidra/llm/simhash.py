@@ -284,8 +284,28 @@ def _sizes(similarity: float, one: str, two: str) -> Column:
     return F.least(one, two) >= F.greatest(one, two) * similarity - _SLACK
 
 
-def _met(similarity: float):
-    """Pairs (a, b) of each list of rows (id, root, n, parity) that sizes and parity bits leave and that have different roots."""
+def _met(similarity: float, best: bool):
+    """Pairs (a, b) of each list of rows (id, root, n, parity) that sizes and parity bits leave and that have different roots.
+
+    best: of each two roots in a list only the pair of least distance.
+    """
+    slope = (1 - similarity) / (1 + similarity)
+
+    def pairs(ids: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        last, found = np.searchsorted(n, (n + _SLACK) / similarity, "right"), [np.empty((5, 0), np.int64)]
+        for i in range(len(ids) - 1):
+            at = np.arange(i + 1, last[i])
+            at = at[root[at] != root[i]]
+            if len(at):
+                differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                near = differ <= (n[at] + n[i]) * slope + _SLACK
+                at, x, r = at[near], ids[i], root[i]
+                found.append(np.stack([np.minimum(root[at], r), np.maximum(root[at], r), differ[near], np.minimum(ids[at], x), np.maximum(ids[at], x)]))
+        out = np.concatenate(found, axis=1)
+        if best and out.shape[1]:
+            out = out[:, np.lexsort(out[::-1])]
+            out = out[:, np.append(True, (np.diff(out[:2]) != 0).any(axis=0))]
+        return out[3:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,35 +316,36 @@ def _met(similarity: float):
             found = [np.empty((2, 0), np.int64)]
             for low, high in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 order = low + np.argsort(sizes[low:high], kind="stable")
-                ids, root, n, bits = every[order], roots[order], sizes[order], words[order]
-                last = np.searchsorted(n, (n + _SLACK) / similarity, "right")
-                for i in range(len(ids) - 1):
-                    at = np.arange(i + 1, last[i])
-                    at = at[root[at] != root[i]]
-                    if len(at):
-                        differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                        at = at[differ <= (n[at] + n[i]) * ((1 - similarity) / (1 + similarity)) + _SLACK]
-                        found.append(np.stack([np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])]))
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                found.append(pairs(every[order], roots[order], sizes[order], words[order]))
+            out = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
 
     return run
 
 
-def other_pairs(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members of a cell whose nodes have different roots; cells of one root need none."""
-    rooted = written(members.select("id", "cell").join(nodes.select("id", "root"), "id"), "rooted")
+def other_pairs(members: DataFrame, nodes: DataFrame, parts: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """Pairs (a, b) of members of a cell whose parts (id, root) have different roots; cells of one root need none."""
+    rooted = written(members.select("id", "cell").join(parts, "id"), "rooted")
     open_cells = rooted.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     open_cells = written(open_cells.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "cells")
     left = written(rooted.join(open_cells.hint("merge"), "cell"), "left")
     discard(rooted)
     dealt = _dealt(left.join(nodes.select("id", *_SHAPE), "id"))
     groups = dealt.groupBy("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("id", "root", *_SHAPE)).alias("rows"))
-    out = written(groups.where("size(rows) > 1").select("rows").mapInArrow(_met(similarity), "a long, b long").distinct(), "met")
+    out = written(groups.where("size(rows) > 1").select("rows").mapInArrow(_met(similarity, best), "a long, b long").distinct(), "met")
     discard(open_cells, left)
     return out
 
 
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (id, root) after links (a, b); a root is the smallest id that links reach."""
+    for side in ("a", "b"):
+        links = links.join(parts.select(F.col("id").alias(side), F.col("root").alias(f"{side}r")), side)
+    ends = written(links.select(F.col("ar").alias("a"), F.col("br").alias("b")).where("a <> b").distinct(), "ends")
+    higher = written(components(ends).select(F.col("node").alias("root"), F.col("root").alias("higher")), "higher")
+    return written(parts.join(higher, "root", "left").select("id", F.coalesce("higher", "root").alias("root")), "parts")
+
+
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts (id, text) have at least this Jaccard similarity of shingle sets (64-bit hashes).
 
@@ -372,7 +393,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dist
     Rows are linked if the Jaccard similarity of their shingle sets is at least similarity; groups are what links reach.
     The first candidates are SimHash links of the shingles within distance, and each row with the smallest of every cell
     it shares. A cell is a shingle of least count; each pair of at least this similarity shares one, so none is missed
-    when, last, the members of a cell that are in different components so far meet. Every link is verified on the sets.
+    when members of a cell that are in different components so far meet: first the two nearest of each two components,
+    last all of them. Every link is verified on the sets.
     Texts without words stay.
     """
     key = unused(docs, "_rid")
@@ -408,15 +430,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dist
     for side in ("a", "b"):
         tried = tried.join(nodes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}{c}") for c in _SHAPE]), side)
     tried = written(tried.where(_sizes(similarity, "an", "bn") & _possible(similarity, "a", "b")).select("a", "b"), "tried")
-    links = alike(tried, texts, shingle, similarity)
-    roots = written(components(links).select(F.col("node").alias("id"), "root"), "roots")
-    parts = written(nodes.drop("cells", "fp").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "parts")
-    rest = written(other_pairs(members, parts, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
-    discard(members, parts, nodes, shared)
-    links = links.union(alike(rest, texts, shingle, similarity))
-
-    roots = written(components(links).select(F.col("node").alias("id"), "root"), "roots")
-    rooted = written(heads.join(roots, "id", "left").select(*same, F.coalesce("root", "id").alias("root")), "rooted")
+    parts = merged(written(nodes.select("id", F.col("id").alias("root")), "parts"), alike(tried, texts, shingle, similarity))
+    for best in (True, False):
+        rest = written(other_pairs(members, nodes, parts, similarity, best).join(tried, ["a", "b"], "left_anti"), "rest")
+        parts, tried = merged(parts, alike(rest, texts, shingle, similarity)), tried.union(rest)
+    discard(members, nodes, shared)
+
+    rooted = written(heads.join(parts, "id").select(*same, "root"), "rooted")
     rows = written(prints.select("rid", "doc_id", *same).join(rooted, same).select("rid", "doc_id", "root"), "rows")
     first = written(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("first")).select("first.rid"), "first")
     drop = rows.select("rid").join(first, "rid", "left_anti").select(F.col("rid").alias(key))
