@@ -59,7 +59,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_row_id(table(spark, sf_dir, "documents"))
-    found = toxicity.scored(docs, toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels"))))
+    found = toxicity.scored(docs, toxicity.learnt(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.array_join(F.col("spans").cast("array<string>"), ",").alias("spans"))
 
 

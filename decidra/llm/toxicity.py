@@ -1,9 +1,12 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Training uses a bounded sample of labelled documents (SAMPLE of each class by hash of the id, at most SAMPLE_BYTES of
-text). Its features are words and beginnings of words that stand in many unlike toxic documents and hardly in clean
-ones (near copies share minimal shingle hashes and count as one); they label the tokens, and a chain of two states with
-a weight per feature and four transitions is fitted to labelled windows.
+text in that order). Candidates for features are words and beginnings of words that stand in many unlike toxic documents
+of it (near copies share minimal shingle hashes and count as one). They are counted in all labelled documents outside
+the held-out third, and those stay whose share in toxic ones is higher beyond chance. They mark tokens, whose labels
+are those of the document; a chain of two states is fitted to labelled windows, with weights for a marked token's own
+feature, for frequent words beside it and for its length and script, and four transitions. Marked tokens of toxic documents
+that this chain finds clean are labelled so, and it is fitted once more.
 
 All documents are then scored whole. Words with a feature are rare, so forward and backward messages are carried over
 the words between them by powers of the transition matrix, which is exact. A document's evidence is -ln of the share that
@@ -24,18 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import alnum_words, bytes_of
 from .simhash import mixed, shingle_hashes
 
-SAMPLE, SAMPLE_BYTES, THRESHOLD = 3000, 48 << 20, 0.7
-TEXTS, UNLIKE, LOG_ODDS, SAME, WINDOW, STEPS, RATE, L2 = 6, 0.6, 1.5, 0.8, 24, 200, 0.3, 1e-3
-#: Minimal hashes by which unlike texts are told.
-WIDTH = 4
-#: Bytes of the beginnings of words that can be features, and words whose feature a worker remembers.
-BEGINNINGS, REMEMBERED = range(3, 10), 300_000
+SAMPLE, SAMPLE_BYTES, THRESHOLD = 3000, 32 << 20, 0.7
+#: Least texts of a feature, as a number and as a share of toxic ones; share of unlike ones; log odds and G-test of a feature.
+TEXTS, SHARE, UNLIKE, LOG_ODDS, CHANCE = 6, 0.002, 0.6, 1.5, 30.0
+SAME, CLEARER, WINDOW, STEPS, RATE, L2 = 0.8, 2.5, 24, 100, 0.3, 1e-3
+#: Minimal hashes by which unlike texts are told; bytes of the beginnings of words that can be features; words whose
+#: features a worker remembers; neighbouring words with a weight.
+WIDTH, BEGINNINGS, REMEMBERED, COMMON = 4, range(3, 10), 300_000, 200
 #: A word counts as carrying a weight from here on.
 LEAST_WEIGHT = 1.0
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -45,22 +49,21 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes, int]]:
-    """(text, toxic) of labelled rows outside the held-out third; the ids are a bounded set and so are broadcast."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of labelled rows outside the held-out third."""
+    return labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def sample(docs: DataFrame, known: DataFrame) -> list[tuple[bytes, int]]:
+    """(text, toxic) of the sample; its ids are a bounded set and so are broadcast."""
     picks = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (1, 0)]
-    ids = {r["doc_id"]: r["toxic"] for p in picks for r in p.collect() if r["doc_id"] is not None}
+    ids = {r["doc_id"]: r["toxic"] for p in picks for r in p.collect()}
     if not ids:
         return []
     chosen = docs.sparkSession.createDataFrame(sorted(ids.items()), "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    out, held = [], 0
-    for r in rows.select(F.coalesce("text", F.lit("")).alias("text"), "toxic").toLocalIterator():
-        body = r["text"].encode()
-        if held + len(body) <= SAMPLE_BYTES:
-            out.append((body, r["toxic"]))
-            held += len(body)
-    return sorted(set(out))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.withColumn("size", F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)))
+    return sorted({(r["text"].encode(), r["toxic"]) for r in rows.where(F.col("size") <= SAMPLE_BYTES).select("text", "toxic").toLocalIterator()})
 
 
 def features_of(word: bytes) -> list[bytes]:
@@ -68,31 +71,86 @@ def features_of(word: bytes) -> list[bytes]:
     return [word[:k] for k in BEGINNINGS if k < len(word)] + [word + b"$"]
 
 
-def telling_features(rows: list[tuple[list[bytes], int]]) -> set[bytes]:
-    """Features in many unlike toxic texts with much higher odds there, by texts that hold them; the most special of equals."""
-    n = [sum(y == k for _, y in rows) for k in (0, 1)]
-    toxic, clean = Counter(), Counter()
-    for words, y in rows:
+def candidates(rows: list[tuple[bytes, int]]) -> set[bytes]:
+    """Features in many unlike toxic texts of the sample, and with higher odds there."""
+    n = (sum(not y for _, y in rows), sum(y for _, y in rows))
+    toxic, clean, memo = Counter(), Counter(), {}
+
+    def own(text: bytes, known=None) -> set[bytes]:
+        out: set[bytes] = set()
+        for w in set(alnum_words(text)):
+            if (fs := memo.get(w)) is None:
+                fs = memo[w] = tuple(f for f in features_of(w) if known is None or f in known)
+            out.update(fs)
+        return out
+
+    for text, y in rows:
         if y:
-            toxic.update({f for w in set(words) for f in features_of(w)})
-    toxic = Counter({f: c for f, c in toxic.items() if c >= TEXTS})
-    for words, y in rows:
+            toxic.update(own(text))
+    toxic = Counter({f: c for f, c in toxic.items() if c >= max(TEXTS, SHARE * n[1])})
+    memo.clear()
+    for text, y in rows:
         if not y:
-            clean.update({f for w in set(words) for f in features_of(w) if f in toxic})
-    odds = lambda f: math.log((toxic[f] + 0.5) / (n[1] + 1)) - math.log((clean[f] + 0.5) / (n[0] + 1))
-    telling = {f for f in toxic if odds(f) >= LOG_ODDS}
+            clean.update(own(text, toxic))
+    telling = {f for f in toxic if log_odds(toxic[f], clean[f], n) >= LOG_ODDS}
+    memo.clear()
     sketches = defaultdict(lambda: [set() for _ in range(WIDTH)])
-    for words, y in rows:
-        if y and (own := {f for w in set(words) for f in features_of(w) if f in telling}):
-            hashes = shingle_hashes(words, 3)
+    for text, y in rows:
+        if y and (mine := own(text, telling)):
+            hashes = shingle_hashes(alnum_words(text), 3)
             least = [int(mixed(hashes, i).min()) for i in range(WIDTH)]
-            for f in own:
+            for f in mine:
                 for seen, x in zip(sketches[f], least, strict=True):
                     seen.add(x)
-    telling = {f for f in telling if min(map(len, sketches[f])) >= max(TEXTS, UNLIKE * toxic[f])}
+    return {f for f in telling if min(map(len, sketches[f])) >= max(TEXTS, UNLIKE * toxic[f])}
+
+
+def counted(docs: DataFrame, known: DataFrame, features: set[bytes]) -> tuple[tuple[int, int], dict[bytes, tuple[int, int]]]:
+    """Clean and toxic labelled texts, and how many of either hold each feature; only sums for the features return."""
+    wanted = docs.sparkSession.sparkContext.broadcast(features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, sums, memo = wanted.value, defaultdict(lambda: [0, 0]), {}
+        for batch in batches:
+            for text, y in zip(bytes_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                sums[b""][y] += 1
+                own: set[bytes] = set()
+                for w in set(alnum_words(text)):
+                    if (fs := memo.get(w)) is None:
+                        if len(memo) >= REMEMBERED:
+                            memo.clear()
+                        fs = memo[w] = tuple(f for f in features_of(w) if f in features)
+                    if fs:
+                        own.update(fs)
+                for f in own:
+                    sums[f][y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), *(pa.array([x[y] for x in sums.values()], pa.int64()) for y in (0, 1))], names=["f", "clean", "toxic"])
+
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic").mapInArrow(run, "f binary, clean long, toxic long")
+    out = {bytes(r["f"]): (r["c"], r["t"]) for r in rows.groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).collect()}
+    return out.pop(b"", (0, 0)), out
+
+
+def log_odds(toxic: int, clean: int, n: tuple[int, int]) -> float:
+    return math.log((toxic + 0.5) / (n[1] + 1)) - math.log((clean + 0.5) / (n[0] + 1))
+
+
+def beyond_chance(toxic: int, clean: int, n: tuple[int, int]) -> bool:
+    """The log odds of a feature and the G-test of its share in toxic texts against its share in clean ones."""
+    share = (toxic + clean) / (n[0] + n[1])
+    g = sum(2 * x * math.log(x / (share * m)) for x, m in ((toxic, n[1]), (clean, n[0])) if x)
+    return log_odds(toxic, clean, n) >= LOG_ODDS and g >= CHANCE
+
+
+def special_of(telling: dict[bytes, tuple[int, float]]) -> set[bytes]:
+    """Of features that stand for each other one; telling has numbers of toxic texts and log odds.
+
+    A beginning gives way to a longer one that nearly all its texts hold, or that tells clearly more; of the others the
+    shortest stays.
+    """
     special: set[bytes] = set()
-    for f in sorted(telling):  # a beginning whose texts nearly all hold one longer feature gives way to it
-        if not any(g != f and g.startswith(f) and toxic[g] >= SAME * toxic[f] for g in telling):
+    for f, (n, odds) in sorted(telling.items()):
+        if not any(g != f and g.startswith(f) and (m >= SAME * n or better >= odds + CLEARER) for g, (m, better) in telling.items()):
             special.add(f)
     return {f for f in special if not any(f[:k] in special for k in range(1, len(f)))}
 
@@ -122,12 +180,20 @@ def evidence(marginals: list[float]) -> float:
     return math.log1p(-sum(math.log(max(1e-4, 1 - p)) for p in marginals))
 
 
+def around(words: list[bytes], i: int) -> tuple[bytes, bytes, bytes]:
+    """Features of a marked token beside its own: the words before and after it, and its length and script."""
+    word = words[i]
+    before = b"<" + words[i - 1] if i else b"<"
+    after = b">" + words[i + 1] if i + 1 < len(words) else b">"
+    return before, after, b"#%d%d" % (min(len(word) // 4, 4), word.isascii())
+
+
 class Chain:
-    """States 0 (clean) and 1 (toxic): a weight per feature and a bias for state 1, and transition weights."""
+    """States 0 (clean) and 1 (toxic): weights of marked tokens and a bias for state 1, and transition weights."""
 
-    def __init__(self, weights: dict[bytes, float], bias: float, moves: np.ndarray, curve: tuple[float, float]) -> None:
+    def __init__(self, weights: dict[bytes, float], bias: float, moves: np.ndarray, curve: tuple[float, float], context: dict[bytes, float] | None = None) -> None:
         self.weights = {w: x for w, x in weights.items() if abs(x) >= LEAST_WEIGHT}
-        self.feature = Features(set(self.weights))
+        self.feature, self.context = Features(set(self.weights)), context or {}
         self.bias, self.moves, self.curve = bias, moves, curve
         # One step over a word without a weight, scaled; its powers carry messages over any number of them.
         self.step = np.exp(moves) * np.array([1.0, math.exp(bias)])
@@ -172,8 +238,8 @@ class Chain:
 
     def tagged(self, words: list[bytes]) -> tuple[list[int], list[float]]:
         found = [(i, f) for i, f in enumerate(map(self.feature, words)) if f is not None]
-        places = [i for i, _ in found]
-        return places, self.marginals(len(words), places, [self.weights[f] for _, f in found]) if found else []
+        beside = self.context.get
+        return [i for i, _ in found], self.marginals(len(words), [i for i, _ in found], [self.weights[f] + sum(beside(c, 0.0) for c in around(words, i)) for i, f in found]) if found else []
 
     def score(self, marginals: list[float]) -> float:
         a, b = self.curve
@@ -200,43 +266,41 @@ def _posteriors(unary: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> tuple
     return p * mask, pair.sum(axis=(0, 1))
 
 
-def fit(rows: list[tuple[bytes, int]]) -> Chain:
-    split = [(alnum_words(x), y) for x, y in rows]
-    toxic = sum(y for _, y in split)
-    if not toxic or toxic == len(split):
-        share = toxic / len(split) if split else 0.0
+def fit(rows: list[tuple[bytes, int]], telling: set[bytes]) -> Chain:
+    """The chain for the telling features, from the sample."""
+    toxic = sum(y for _, y in rows)
+    if not toxic or toxic == len(rows):
+        share = toxic / len(rows) if rows else 0.0
         return Chain({}, 0.0, np.zeros((2, 2)), (math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0))
-    feature = Features(telling_features(split))
-    windows = []
-    for words, y in split:
-        words = [feature(w) or b"" for w in words]
-        marks = [i for i, f in enumerate(words) if f]
-        for at in marks[:4] if marks else range(0, len(words), max(1, len(words) // 2 + 1)):
+    feature = Features(telling)
+    often = Counter()
+    for text, _ in rows:
+        often.update(set(alnum_words(text)))
+    often = {w for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:COMMON]} | {b""}
+    windows = []  # tokens' features and whether the text is toxic
+    for text, y in rows:
+        words = alnum_words(text)
+        marks = [i for i, w in enumerate(words) if feature(w)]
+        for at in marks[:4] if marks else [0] if words else []:
             low = max(0, at - WINDOW // 2)
-            piece = words[low : low + WINDOW]
-            windows.append((piece, [int(y and f != b"") for f in piece]))
-    number = {w: i for i, w in enumerate(sorted({w for p, _ in windows for w in p}))}
+            found = [(f, *(c for c in around(words, i) if c[:1] == b"#" or c[1:] in often)) if (f := feature(words[i])) else () for i in range(low, min(len(words), low + WINDOW))]
+            windows.append((found, y))
+    number = {f: i for i, f in enumerate(sorted({f for found, _ in windows for fs in found for f in fs}), 1)}
     n = len(windows)
-    ids, mask, gold = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), bool), np.zeros((n, WINDOW))
-    for k, (piece, marks) in enumerate(windows):
-        ids[k, : len(piece)] = [number[w] for w in piece]
-        mask[k, : len(piece)], gold[k, : len(piece)] = True, marks
-    a, b = gold[:, :-1].astype(int), gold[:, 1:].astype(int)
-    true_moves = np.array([[((a == i) & (b == j) & mask[:, 1:]).sum() for j in (0, 1)] for i in (0, 1)], float)
-    weights, bias, moves = np.zeros(len(number)), -2.0, np.zeros((2, 2))
-    speed = [np.zeros(len(number)), 0.0, np.zeros((2, 2))]  # sums of squared gradients
-    for _ in range(STEPS):
-        p, expected = _posteriors(weights[ids] + bias, mask, moves)
-        error = (gold - p) * mask
-        slopes = [np.bincount(ids.ravel(), error.ravel(), len(number)) / n * 50 - L2 * weights, error.sum() / n, (true_moves - expected) / n - L2 * moves]
-        speed = [s + g * g for s, g in zip(speed, slopes, strict=True)]
-        weights, bias, moves = (x + RATE * g / (np.sqrt(s) + 1e-8) for x, g, s in zip((weights, bias, moves), slopes, speed, strict=True))
-    chain = Chain({f: float(weights[i]) for f, i in number.items() if f}, float(bias + weights[number[b""]] if b"" in number else bias), moves, (0.0, 1.0))
-    if b"" in number:  # the weight of words without a feature is part of the bias
-        chain.weights = {f: x - float(weights[number[b""]]) for f, x in chain.weights.items()}
-    seen = np.array([evidence(chain.tagged(words)[1]) for words, _ in split])
+    ids, mask, gold = np.zeros((n, WINDOW, 4), np.int64), np.zeros((n, WINDOW), bool), np.zeros((n, WINDOW))
+    for k, (found, y) in enumerate(windows):
+        mask[k, : len(found)] = True
+        for i, fs in enumerate(found):
+            ids[k, i, : len(fs)] = [number[f] for f in fs]
+            gold[k, i] = bool(y and fs)
+    weights, bias, moves = _trained(ids, mask, gold)
+    p, _ = _posteriors(weights[ids].sum(axis=2) + bias, mask, moves)
+    weights, bias, moves = _trained(ids, mask, gold * (p >= 0.5))
+    own = {f: float(weights[i]) for f, i in number.items() if f in telling}
+    chain = Chain(own, bias, moves, (0.0, 1.0), {f: float(weights[i]) for f, i in number.items() if f not in telling})
+    seen = np.array([evidence(chain.tagged(alnum_words(text))[1]) for text, _ in rows])
     # Both classes weigh as in the sample's labels; each gets one pseudo-row at either end.
-    x, y = np.concatenate([seen, [0, 0, 3, 3]]), np.concatenate([[y for _, y in split], [0, 0, 1, 1]])
+    x, y = np.concatenate([seen, [0, 0, 3, 3]]), np.concatenate([[y for _, y in rows], [0, 0, 1, 1]])
     a, b = 0.0, 1.0
     for _ in range(60):  # Newton's method for two coefficients
         p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
@@ -248,6 +312,32 @@ def fit(rows: list[tuple[bytes, int]]) -> Chain:
     return chain
 
 
+def _trained(ids: np.ndarray, mask: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights (number 0 is no feature), bias and transitions of most likelihood, by scaled gradient steps."""
+    n, size = len(ids), int(ids.max(initial=0)) + 1
+    a, b = gold[:, :-1].astype(int), gold[:, 1:].astype(int)
+    true_moves = np.array([[((a == i) & (b == j) & mask[:, 1:]).sum() for j in (0, 1)] for i in (0, 1)], float)
+    weights, bias, moves = np.zeros(size), -2.0, np.zeros((2, 2))
+    speed = [np.zeros(size), 0.0, np.zeros((2, 2))]  # sums of squared gradients
+    for _ in range(STEPS):
+        p, expected = _posteriors(weights[ids].sum(axis=2) + bias, mask, moves)
+        error = (gold - p) * mask
+        slopes = [np.bincount(ids.ravel(), np.repeat(error.ravel(), ids.shape[2]), size) / n * 50 - L2 * weights, error.sum() / n, (true_moves - expected) / n - L2 * moves]
+        slopes[0][0] = 0.0
+        speed = [s + g * g for s, g in zip(speed, slopes, strict=True)]
+        weights, bias, moves = (x + RATE * g / (np.sqrt(s) + 1e-8) for x, g, s in zip((weights, bias, moves), slopes, speed, strict=True))
+    return weights, float(bias), moves
+
+
+def learnt(docs: DataFrame, labels: DataFrame) -> Chain:
+    """The chain from docs (doc_id, text) and labels (doc_id, toxic)."""
+    known = known_labels(labels)
+    rows = sample(docs, known)
+    n, held = counted(docs, known, candidates(rows)) if len({y for _, y in rows}) == 2 else ((0, 0), {})
+    telling = special_of({f: (toxic, log_odds(toxic, clean, n)) for f, (clean, toxic) in held.items() if beyond_chance(toxic, clean, n)})
+    return fit(rows, telling)
+
+
 def spans_of(text: str, places: list[int], marginals: list[float]) -> list[int]:
     """Start and end of each run of neighbouring offending words."""
     wanted = {i for i, p in zip(places, marginals, strict=True) if p >= 0.5}
@@ -285,7 +375,7 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score threshold or more, in one pass over them; columns as before."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, labels)))
+    model = docs.sparkSession.sparkContext.broadcast(learnt(docs, labels))
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
