@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -103,9 +104,9 @@ def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
         return placed.select(*[placed[c] for c in kept], F.col(place).alias(name))
     if sum(map(len, files)) > FILE_NAMES:
         return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
-    numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"`{path}` string, `{number}` long")
+    numbers = docs.sparkSession.range(1).select(F.posexplode(F.from_json(F.lit(json.dumps(files)), "array<string>")).alias(number, path))
     joined = placed.join(F.broadcast(numbers), path)
-    return joined.select(*[placed[c] for c in kept], F.shiftleft(number, 40).bitwiseOR(F.col(place)).alias(name))
+    return joined.select(*[placed[c] for c in kept], F.shiftleft(F.col(number).cast("long"), 40).bitwiseOR(F.col(place)).alias(name))
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -1,11 +1,13 @@
 """SentencePiece encoding by forward filtering and backward sampling over the piece lattice, and lossless decoding.
 
-A text is cut into units at blanks and line ends (a piece never crosses them) and after UNIT bytes. The lattice of a
-unit has its byte positions as nodes and vocabulary pieces as edges; a character that is no piece is spelt in byte
-pieces. The forward pass adds up the weights of all ways to each node, once per distinct unit and worker; the
-backward pass draws an incoming edge by its share of the node's sum, from the last node on, for all units of a block
-together. Random numbers come from a hash of the row key, the place of the unit and the step, so a row's tokens do not
-depend on where or how often it is computed. Decoding joins the pieces' bytes and gives back every text.
+A text is cut into units at blanks and line ends, which a piece never crosses. The lattice of a unit has its byte
+positions as nodes and vocabulary pieces as edges; a character that is no piece is spelt in byte pieces. The forward pass
+adds up the weights of all ways to each node, once per distinct unit of a block; the backward pass draws an
+incoming edge by its share of the node's sum, from the last node on, for all units of a block together. Of a unit
+over LONG bytes only the sums are kept; its edges are found again, chunk by chunk, on the way back. Random numbers come
+from a hash of the row key, the place of the unit and the step, so a row's tokens do not depend on where or how
+often it is computed. A long text goes through in segments between units. Decoding joins the pieces' bytes and gives
+back every text.
 
 Piece weights are exp(theta * score) for unigram models; the scores of BPE models are ranks, for which the
 weight is (rank + 1) ** -theta.
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import bytes_of
 
 MODEL, THETA, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 7
-UNIT, BLOCK_BYTES = 64, 1 << 20
+LONG, BLOCK_BYTES = 1 << 16, 1 << 20
 _UNITS = re.compile(rb"\n| *[^ \n]+| +")
+_SEAM = re.compile(rb"(?<=[^ \n])[ \n]")  # a unit ends before it
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,6 +146,51 @@ class Pieces:
         ladder[heads + counts - 1] = 1.0
         return base, number, place[first], ids, np.repeat(np.arange(len(heads)), counts) + ladder
 
+    def chunk(self, unit: bytes, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges that end in low + 1 .. high (characters begin at both): first byte, byte after the last, piece, by end."""
+        start = max(0, low - self.longest)
+        while start and unit[start] & 0xC0 == 0x80:
+            start -= 1
+        data = np.frombuffer(unit, np.uint8, high - start, start)
+        first, after, ids = self.edges(data, np.arange(len(data), 0, -1))
+        keep = np.flatnonzero(after + start > low)
+        keep = keep[np.argsort(after[keep], kind="stable")]
+        return first[keep] + start, after[keep] + start, ids[keep]
+
+    def sampled_long(self, unit: bytes, state: int) -> np.ndarray:
+        """Pieces of one long unit; state is what its random numbers are counted from."""
+        cuts = [0]
+        while cuts[-1] < len(unit):
+            high = min(len(unit), cuts[-1] + LONG)
+            while high < len(unit) and unit[high] & 0xC0 == 0x80:
+                high -= 1
+            cuts.append(high)
+        total = np.full(len(unit) + 1, -np.inf)
+        total[0] = 0.0
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            first, after, ids = self.chunk(unit, low, high)
+            back = min(low, self.longest + 3)
+            sums, weights = total[low - back : high + 1].tolist(), self.weight[ids].tolist()
+            heads = np.flatnonzero(np.diff(after, prepend=-1)).tolist()
+            first, ends = (first - low + back).tolist(), (after - low + back).tolist()
+            for a, b in zip(heads, [*heads[1:], len(ends)], strict=True):
+                ways = [sums[first[k]] + weights[k] for k in range(a, b)]
+                top = max(ways)
+                sums[ends[a]] = top + math.log(sum(math.exp(x - top) for x in ways)) if top > -math.inf else top
+            total[low : high + 1] = sums[back:]
+        out, at, step = [], len(unit), 0
+        for low, high in zip(reversed(cuts[:-1]), reversed(cuts[1:]), strict=True):
+            first, after, ids = self.chunk(unit, low, high)
+            draws = _uniform(np.uint64(state) + np.arange(step + 1, step + 2 + high - low, dtype=np.uint64) * _GOLDEN)
+            begun = step
+            while at > low:
+                a, b = np.searchsorted(after, (at, at + 1))
+                ladder = np.cumsum(np.exp(total[first[a:b]] + self.weight[ids[a:b]] - total[at]))
+                k = a + min(int(np.searchsorted(ladder, draws[step - begun], "right")), b - a - 1)
+                out.append(ids[k])
+                at, step = int(first[k]), step + 1
+        return np.array(out[::-1], np.int32)
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.surface.__getitem__, ids))
 
@@ -152,24 +200,6 @@ def pieces(path: str, theta: float) -> Pieces:
     return Pieces(path, theta)
 
 
-def units_of(text: bytes) -> list[bytes]:
-    out = _UNITS.findall(text)
-    if len(text) > UNIT and any(len(u) > UNIT for u in out):
-        out = [v for u in out for v in ([u] if len(u) <= UNIT else _cut(u))]
-    return out
-
-
-def _cut(unit: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(unit):
-        end = min(len(unit), at + UNIT)
-        while end < len(unit) and unit[end] & 0xC0 == 0x80:
-            end -= 1
-        out.append(unit[at:end])
-        at = end
-    return out
-
-
 def _uniform(state: np.ndarray) -> np.ndarray:
     """Numbers in [0, 1) from mixed counters."""
     x = (state ^ (state >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -177,41 +207,75 @@ def _uniform(state: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def sampled(texts: list[bytes], keys: list[int], vocabulary: Pieces) -> list[np.ndarray]:
-    """Token ids of each text."""
-    split = [units_of(t) for t in texts]
-    index: dict[bytes, int] = {}
-    number = index.setdefault
+def sampled(texts: list[bytes], keys: list[int], vocabulary: Pieces, offsets: list[int] | None = None) -> list[np.ndarray]:
+    """Token ids of each text; offsets: bytes before it, where it is a segment of a longer one."""
+    split = [_UNITS.findall(t) for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    which = np.fromiter((number(u, len(index)) for s in split for u in s), np.int64, int(sizes.sum()))
-    if not len(which):
+    lengths = np.fromiter((len(u) for s in split for u in s), np.int64, int(sizes.sum()))
+    if not len(lengths):
         return [np.empty(0, np.int32) for _ in texts]
-    base, number_of, source, ids, ladder = vocabulary.lattice(list(index))
-    lengths = np.fromiter(map(len, index), np.int64, len(index))
-    place = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    state = np.repeat(np.array(keys, np.uint64), sizes) + (place.astype(np.uint64) * np.uint64(UNIT + 1)) * _GOLDEN
-    live, at = np.arange(len(which)), lengths[which]
-    steps, step = [], np.uint64(0)
-    while len(live):
-        step = np.uint64(int(step) + 1)
-        node = number_of[base[which[live]] + at - 1]
-        edge = np.searchsorted(ladder, node + _uniform(state[live] + np.full(1, step) * _GOLDEN), "right")
-        steps.append((live, ids[edge]))
-        at = source[edge]
-        go = at > 0
-        live, at = live[go], at[go]
+    # Units count their random numbers from their place in the text, so no two count the same.
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    owner = np.repeat(np.arange(len(split)), sizes)
+    head = begins[np.minimum(np.concatenate(([0], np.cumsum(sizes)))[:-1], len(begins) - 1)]
+    place = begins - head[owner] + np.array(offsets or [0] * len(texts), np.int64)[owner]
+    state = np.array(keys, np.uint64)[owner] + place.astype(np.uint64) * _GOLDEN
+    index: dict[bytes, int] = {}
+    number = index.setdefault
+    which = np.fromiter((number(u, len(index)) if len(u) <= LONG else -1 for s in split for u in s), np.int64, len(lengths))
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
     counts = np.zeros(len(which), np.int64)
-    for who, _ in steps:
-        counts[who] += 1
-    ends = np.cumsum(counts)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+    if index:
+        base, number_of, source, ids, ladder = vocabulary.lattice(list(index))
+        live = np.flatnonzero(which >= 0)
+        at, step = lengths[live], 0
+        while len(live):
+            step += 1
+            node = number_of[base[which[live]] + at - 1]
+            edge = np.searchsorted(ladder, node + _uniform(state[live] + np.full(1, step, np.uint64) * _GOLDEN), "right")
+            steps.append((live, ids[edge]))
+            counts[live] += 1
+            at = source[edge]
+            go = at > 0
+            live, at = live[go], at[go]
+    flat = [u for s in split for u in s] if (which < 0).any() else []
+    long = {int(k): vocabulary.sampled_long(flat[k], int(state[k])) for k in np.flatnonzero(which < 0)}
+    for k, drawn in long.items():
+        counts[k] = len(drawn)
+    stops = np.cumsum(counts)
+    out = np.empty(int(stops[-1]), np.int32)
     for k, (who, drawn) in enumerate(steps):
-        out[ends[who] - 1 - k] = drawn
-    edges = np.concatenate(([0], np.cumsum(sizes)))
-    cuts = np.concatenate(([0], ends))[edges]
+        out[stops[who] - 1 - k] = drawn
+    for k, drawn in long.items():
+        out[stops[k] - len(drawn) : stops[k]] = drawn
+    cuts = np.concatenate(([0], stops))[np.concatenate(([0], np.cumsum(sizes)))]
     return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
+def segments(text: bytes, size: int = BLOCK_BYTES) -> Iterator[tuple[int, bytes]]:
+    """Offset and bytes of pieces of about size bytes or more that end between units."""
+    at = 0
+    while len(text) - at > size and (seam := _SEAM.search(text, at + size)):
+        yield at, text[at : seam.start()]
+        at = seam.start()
+    yield at, text[at:]
+
+
+def tokens_of(texts: list[bytes], keys: list[int], vocabulary: Pieces) -> list[np.ndarray]:
+    """Token ids of each text, long ones by segments."""
+    out = []
+    for text, key in zip(texts, keys, strict=True):
+        if len(text) > BLOCK_BYTES:
+            out.append(np.concatenate([sampled([part], [key], vocabulary, [at])[0] for at, part in segments(text)]))
+        else:
+            out.append(None)
+    short = [i for i, x in enumerate(out) if x is None]
+    for i, x in zip(short, sampled([texts[i] for i in short], [keys[i] for i in short], vocabulary) if short else [], strict=True):
+        out[i] = x
+    return out
+
+
 def row_key(doc_id: int | None, seed: int) -> int:
     return xxhash.xxh64_intdigest(str(doc_id), seed)
 
@@ -238,7 +302,7 @@ def encoded(docs: DataFrame, model: str = MODEL, theta: float = THETA, seed: int
         vocabulary = pieces(model, theta)
         for batch in batches:
             for ids, texts in blocks(batch):
-                rows = sampled(texts, [row_key(d, seed) for d in ids], vocabulary)
+                rows = tokens_of(texts, [row_key(d, seed) for d in ids], vocabulary)
                 whole = [vocabulary.decode(r.tolist()) == t for r, t in zip(rows, texts, strict=True)]
                 cuts = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([np.empty(0, np.int32), *rows])))

@@ -135,15 +135,10 @@ def _tested(distance: int):
             lists = batch.column(3)
             starts, rows = lists.offsets.to_numpy(), lists.values
             prints, block, known = rows.field(0).to_numpy().view(np.uint64), rows.field(1).to_numpy(), rows.field(2).to_numpy(zero_copy_only=False)
-            sizes = np.diff(starts)
-            # Cells of two rows are most of all and are tested together.
-            two = starts[:-1][sizes == 2]
-            two = two[linked(prints[two], prints[two + 1], distance)]
-            found = [np.stack([prints[two], prints[two + 1]]).view(np.int64)]
-            for k in np.flatnonzero(sizes > 2).tolist():
-                at = slice(starts[k], starts[k + 1])
-                if edges := cell(i[k], j[k], blocks[k], prints[at], block[at], known[at]):
-                    found.append(prints[at][np.array(edges).T].view(np.int64))
+            found = [np.empty((2, 0), np.int64)]
+            for k, (low, high) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+                if edges := cell(i[k], j[k], blocks[k], prints[low:high], block[low:high], known[low:high]):
+                    found.append(prints[low:high][np.array(edges).T].view(np.int64))
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
@@ -161,16 +156,17 @@ def _dealt(members: DataFrame) -> DataFrame:
 def grid_edges(prints: DataFrame, distance: int, groups: int) -> DataFrame:
     """Edges (a, b) that connect what is connected among fingerprints (id, distinct) of at most distance differing bits."""
     entries = prints.select("id", F.explode(cells_of(F.col("id"), distance, groups)).alias("cell"))
-    shared = entries.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
+    shared = written(entries.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "cells")
     # Shared cells grow with the data, so they are never broadcast.
-    members = written(entries.join(written(shared, "cells").hint("merge"), "cell"), "members")
-    members = members.withColumn("known", F.bit_count(F.col("id").bitwiseXOR(F.col("hub"))) <= distance)
+    members = entries.join(shared.hint("merge"), "cell")
+    counts = F.bit_count(image(F.col("id")).bitwiseXOR(image(F.col("hub"))))
+    known = (counts <= distance) & (F.bit_count(F.col("id").bitwiseXOR(F.col("hub"))) <= distance)
+    members = written(members.select("id", "cell", "hub", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), known.alias("known"), (F.col("n") > 2).alias("more")), "members")
     near = members.where("known and id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    # A cell of which all members are within reach of the smallest is done.
-    open_cells = members.where("not known").groupBy("cell").agg(F.min(F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"))
-    rest = _dealt(members.select("id", "cell", "known").join(written(open_cells, "open").hint("merge"), "cell"))
-    met = rest.groupBy("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "blocks").agg(F.collect_list(F.struct("id", "own", "known")).alias("rows"))
-    met = met.where("size(rows) > 1").select("i", "j", "blocks", "rows").mapInArrow(_tested(distance), "a long, b long")
+    # Two rows have met; in larger cells those that the smallest doesn't reach meet the others.
+    rest = _dealt(members.where("more").select("id", "cell", "known", "blocks"))
+    met = rest.groupBy("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "blocks").agg(F.collect_list(F.struct("id", "own", "known")).alias("rows"), F.bool_and("known").alias("done"))
+    met = met.where("size(rows) > 1 and not done").select("i", "j", "blocks", "rows").mapInArrow(_tested(distance), "a long, b long")
     return near.union(met).distinct()
 
 

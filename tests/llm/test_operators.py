@@ -295,7 +295,7 @@ def test_toxicity_learns_words_and_places(spark):
         rows.append((i, " ".join(w)))
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
     docs = docs_frame(spark, [*rows, (1000, ""), (1001, None)])
-    found = {r.doc_id: r for r in toxicity.scored(docs, toxicity.fit(toxicity.sample(docs, labels))).collect()}
+    found = {r.doc_id: r for r in toxicity.scored(docs, toxicity.learnt(docs, labels)).collect()}
     held = [r.doc_id for r in labels.where(toxicity.held_out(labels.doc_id)).collect()]
     assert len(held) > 50 and all((found[i].score >= toxicity.THRESHOLD) == (i % 4 == 0) for i in held)
     text = dict(rows)[0]
