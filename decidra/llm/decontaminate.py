@@ -3,12 +3,12 @@
 The index is stored in shards. A shard holds the texts of one batch of a task: for each term of the benchmark its
 positions in the shard, where texts follow each other with a gap wider than a window, so that no match crosses a
 text. Other terms can't be part of a match and have no postings. A window is looked up from its rarest term (by
-the count over the whole index): its postings, moved by its offset, are the candidate starts, and the postings of
+the count over the whole index), in the shards that hold this term: its postings, moved by its offset, are the candidate starts, and the postings of
 the other terms, rarest first, are intersected with them. The windows are sent to the shards in blocks of bounded
 size, so the postings never move and no list of a frequent term meets in one task.
 
 Defined cases: null and empty texts have no words; an item without words has no window; repeated items are matched
-each; rows with the same doc_id are separate rows; an empty benchmark hits nothing.
+each; rows with the same doc_id are separate rows; an empty benchmark hits nothing. A near match counts once for an item.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ WINDOW = 10
 #: Words by which the terms of a window may stand further apart in the registered query's proximity matches.
 REACH = 5
 #: Words of benchmark text in one block of windows, and words of training text in one shard.
-BLOCK_WORDS, SHARD_WORDS = 2_000_000, 1_500_000
+BLOCK_WORDS, SHARD_WORDS = 500_000, 1_500_000
 
 _INDEX = "rids array<long>, docs array<long>, sizes array<int>, terms binary, counts binary, postings binary"
 
@@ -39,7 +39,7 @@ def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
 
 
 class Block:
-    """Windows of some benchmark items: distinct windows as term numbers, and the items of each."""
+    """Windows of some benchmark items: distinct windows as term numbers (-1 after a short one's end), and the items of each."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int) -> None:
         found: dict[tuple[bytes, ...], set[str]] = {}
@@ -47,12 +47,28 @@ class Block:
             for window in windows_of(alnum_words(text), size):
                 found.setdefault(window, set()).add(item)
         self.terms = {w: i for i, w in enumerate(sorted({w for window in found for w in window}))}
-        self.windows = [[self.terms[w] for w in window] for window in found]
-        self.items = [sorted(x) for x in found.values()]
+        self.windows = np.full((len(found), size), -1, np.int32)
+        for row, window in zip(self.windows, found, strict=True):
+            row[: len(window)] = [self.terms[w] for w in window]
+        self.items = [tuple(sorted(x)) for x in found.values()]
 
-    def plans(self, counts: np.ndarray) -> list[tuple[list[tuple[int, int]], int, int]]:
-        """For each window: (term, offset) from the rarest on, its length, and its number."""
-        return [(sorted(((t, k) for k, t in enumerate(w)), key=lambda x: (counts[x[0]], x)), len(w), i) for i, w in enumerate(self.windows)]
+
+class Plans:
+    """Windows by their rarest term."""
+
+    def __init__(self, block: Block, counts: np.ndarray) -> None:
+        self.counts = counts
+        shown = np.append(counts, np.iinfo(np.int64).max)[block.windows]  # a number of -1 is the last
+        rarest = block.windows[np.arange(len(shown)), np.lexsort((block.windows.T, shown.T), axis=0)[0]] if len(shown) else np.empty(0, np.int32)
+        order = np.argsort(rarest, kind="stable")
+        self.rarest, self.windows, self.items = rarest[order], block.windows[order], [block.items[i] for i in order.tolist()]
+
+    def of(self, term: int) -> Iterator[tuple[list[tuple[int, int]], int, tuple[str, ...]]]:
+        """For each window with this rarest term: (term, offset) from the rarest on, its length, and its items."""
+        a, b = np.searchsorted(self.rarest, (term, term + 1)).tolist()
+        for k in range(a, b):
+            own = [(t, i) for i, t in enumerate(self.windows[k].tolist()) if t >= 0]
+            yield sorted(own, key=lambda x: (self.counts[x[0]], x)), len(own), self.items[k]
 
 
 def blocks_of(benchmark: DataFrame, size: int, limit: int = BLOCK_WORDS) -> Iterator[Block]:
@@ -137,9 +153,9 @@ def proximity(lists: dict[int, np.ndarray], plan: list[tuple[int, int]], reach:
     return places
 
 
-def _searched(plans, items, gap: int, reach: int):
+def _searched(plans, gap: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, names = plans.value, items.value
+        plan = plans.value
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = np.array(row["sizes"], np.int64)
@@ -148,16 +164,16 @@ def _searched(plans, items, gap: int, reach: int):
                 cuts = np.concatenate(([0], np.cumsum(counts)))
                 lists = {t: places[cuts[i] : cuts[i + 1]] for i, t in enumerate(np.frombuffer(row["terms"], np.int32).tolist())}
                 edge, found, near = np.zeros(base[-1] + 1, np.int32), {}, {}
-                for terms, length, window in plan:
+                for terms, length, names in (window for term in lists for window in plan.of(term)):
                     starts = phrase(lists, terms)
                     if len(starts):
                         np.add.at(edge, starts, 1)
                         np.add.at(edge, starts + length, -1)
                         for d in np.unique(np.searchsorted(base, starts, "right") - 1).tolist():
-                            found.setdefault(d, set()).update(names[window])
+                            found.setdefault(d, set()).update(names)
                     if reach and len(starts := proximity(lists, terms, length - 1 + reach)):
                         for d in np.unique(np.searchsorted(base, starts, "right") - 1).tolist():
-                            near.setdefault(d, set()).update(names[window])
+                            near.setdefault(d, set()).update(names)
                 hit = np.cumsum(edge) > 0
                 flips = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False]))))
                 spans: dict[int, list[int]] = {}
@@ -196,12 +212,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach: in
         totals = np.zeros(len(block.terms), np.int64)
         for term, n in _frequencies(index).toLocalIterator():
             totals[term] = n
-        plans, items = (spark.sparkContext.broadcast(x) for x in (block.plans(totals), block.items))
-        out.append(index.mapInArrow(_searched(plans, items, size + reach, reach), _FOUND))
+        plans = spark.sparkContext.broadcast(Plans(block, totals))
+        out.append(index.mapInArrow(_searched(plans, size + reach, reach), _FOUND))
     if not out:
         empty = Block([], size)
-        terms, plans, items = (spark.sparkContext.broadcast(x) for x in (empty.terms, [], []))
-        return docs.select("_rid", "doc_id", "text").mapInArrow(_indexed(terms, size, shard_words), _INDEX).mapInArrow(_searched(plans, items, size, 0), _FOUND)
+        terms, plans = (spark.sparkContext.broadcast(x) for x in (empty.terms, Plans(empty, np.zeros(0, np.int64))))
+        return docs.select("_rid", "doc_id", "text").mapInArrow(_indexed(terms, size, shard_words), _INDEX).mapInArrow(_searched(plans, size, 0), _FOUND)
     if len(out) == 1:
         return out[0]
     every = out[0]

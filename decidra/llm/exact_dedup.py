@@ -3,7 +3,8 @@
 Each task puts its texts into a Patricia trie, so that of a text that occurs many times in a task one copy
 goes on. These copies are dealt by length and content hash, and the trie of each partition compares whole byte
 strings. A terminal node keeps the smallest (or largest) identifier and the number of rows. A trie that outgrows
-its memory writes its largest subtree to a file of the task and finishes it later by itself.
+its memory writes its largest subtree to a file of the task and finishes it later by itself. A text that very many
+tasks hold goes through tries of fewer tasks first, so that no task gets a copy of it from each.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; of rows with the same doc_id the
 one read later counts as larger; a null doc_id counts as smallest; an empty table gives an empty table.
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, bytes_of, unused, with_row_id, written
 
 TRIE_BYTES = 48 << 20
+#: Copies of one size and hash, one from each task, up to which they go to one task; more are dealt to this many first.
+COPIES = 64
+#: Sizes and hashes of more copies that are sent to all executors; beyond, they are joined by a shuffle.
+HOT = 100_000
 _LOWEST = -(1 << 63)
 
 
@@ -115,9 +120,10 @@ class Owners:
         spilled[1] = key if shared is None else os.path.commonprefix([shared, key])
         spilled[0].write(struct.pack(f"<qqqqq{len(parts)}q", len(key), *owner, rows, len(parts), *parts) + key)
 
-    def results(self) -> Iterator[tuple[tuple[int, int], int, list[int]]]:
-        for _, value in self.trie.items():
-            yield tuple(value)
+    def results(self, prefix: bytes = b"") -> Iterator[tuple[bytes, tuple[int, int], int, list[int]]]:
+        """String, owner, number of rows and parts; prefix: the skipped bytes."""
+        for tail, value in self.trie.items():
+            yield prefix + tail, *value
         self.trie = PatriciaTrie()
         for file, shared in self.files.values():
             below = Owners(self.larger, self.limit, len(shared))
@@ -127,7 +133,7 @@ class Owners:
                 parts = list(struct.unpack(f"<{n}q", file.read(8 * n)))
                 below.add(file.read(size), tuple(owner), rows, parts)
             file.close()
-            yield from below.results()
+            yield from below.results(shared)
 
 
 _LOCAL = "rid long, doc_id long, part long, sha string, owner long, owner_rid long, n long, size long, hash long, body binary"
@@ -186,7 +192,7 @@ def _merged(larger: bool, limit: int):
             for part, owner, rid, n, key in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 owners.add(key, (owner, rid), n, [part])
         out: list[tuple] = []
-        for (owner, rid), n, parts in owners.results():
+        for _, (owner, rid), n, parts in owners.results():
             out += [(p, None if owner == _LOWEST else owner, rid, n) for p in parts]
             if len(out) >= 50_000:
                 yield _long_batch(out)
@@ -197,17 +203,51 @@ def _merged(larger: bool, limit: int):
     return run
 
 
-def exact_owners(docs: DataFrame, keep: str = "smallest", trie_bytes: int = TRIE_BYTES) -> DataFrame:
+_REGROUPED = "part long, into long, owner long, owner_rid long, n long, size long, hash long, body binary"
+
+
+def _regrouped(larger: bool, limit: int):
+    """Rows of two kinds: the new number of each part, and one group with its text for each new number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners = Owners(larger, limit)
+        names = [x.split()[0] for x in _REGROUPED.split(", ")]
+        for batch in batches:
+            for part, owner, rid, n, key in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                owners.add(key, (owner, rid), n, [part])
+        for key, owner, n, parts in owners.results():
+            into = min(parts)
+            rows = [(p, into, None, None, None, None, None, None) for p in parts]
+            rows.append((None, into, *owner, n, len(key), struct.unpack("<q", hashlib.sha256(key).digest()[:8])[0], key))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if name == "body" else pa.int64()) for name, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
+    return run
+
+
+def exact_owners(docs: DataFrame, keep: str = "smallest", trie_bytes: int = TRIE_BYTES, copies: int = COPIES) -> DataFrame:
     """One row per row of docs (_rid, doc_id, text): the row of its group of equal texts that stays.
 
     Texts are equal when identical after lower-casing A-Z. Columns: _rid, doc_id, keep_id, keep_rid, group_size,
-    kept, text_sha256. Text is dealt once, and only one copy of it per task.
+    kept, text_sha256. Text is dealt once, and only one copy of it per task; twice where more than `copies` tasks hold it.
     """
     larger = {"smallest": False, "largest": True}[keep]
     local = written(docs.select("_rid", "doc_id", "text").mapInArrow(_local(larger, trie_bytes), _LOCAL), "exact")
-    groups = local.where("body is not null").repartition("size", "hash").select("part", "owner", "owner_rid", "n", "body")
+    groups = local.where("body is not null").select("part", "owner", "owner_rid", "n", "body", "size", "hash")
+    hot = written(groups.groupBy("size", "hash").agg(F.count("*").alias("copies")).where(F.col("copies") > copies).select("size", "hash"), "hot")
+    few = hot.count()
+    again = None
+    if few:
+        known = F.broadcast(hot) if few <= HOT else hot.hint("merge")
+        dealt = groups.join(known, ["size", "hash"], "left_semi").repartition("size", "hash", F.pmod(F.xxhash64("part"), F.lit(copies)))
+        again = written(dealt.select("part", "owner", "owner_rid", "n", "body").mapInArrow(_regrouped(larger, trie_bytes), _REGROUPED), "regrouped")
+        fewer = again.where("body is not null").select(F.col("into").alias("part"), "owner", "owner_rid", "n", "body", "size", "hash")
+        groups = groups.join(known, ["size", "hash"], "left_anti").select(*fewer.columns).union(fewer)
+    groups = groups.repartition("size", "hash").select("part", "owner", "owner_rid", "n", "body")
     merged = groups.mapInArrow(_merged(larger, trie_bytes), "part long, keep_id long, keep_rid long, group_size long")
     rows = local.where("body is null").select(F.col("rid").alias("_rid"), "doc_id", "part", F.col("sha").alias("text_sha256"))
+    if again is not None:
+        into = again.where("body is null").select("part", "into")
+        rows = rows.join(into, "part", "left").withColumn("part", F.coalesce("into", "part"))
     return rows.join(merged, "part").select("_rid", "doc_id", "keep_id", "keep_rid", "group_size", (F.col("_rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
 
 

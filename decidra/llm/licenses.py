@@ -3,9 +3,10 @@
 The postings of the licence templates (word, template, position) are held by every task; they are fixed. A first
 pass over all texts counts in how many of them each licence word occurs. A second pass takes each text's licence words
 with the highest inverse document frequency, looks up their postings, and intersects them by relative position: word
-positions that agree in position minus template position support one alignment. Alignments that enough of the looked
-up words support are scored by the share of template words that stand at their places, and a label is given where a
-mandatory phrase of the template is there too.
+positions whose places minus template positions lie in one band support one alignment, so a word more or less between
+them doesn't part it. Where the rarest words find none although a mandatory phrase is there, all words of the template
+vote. An alignment is scored by the share of template words that stand within the band of their places, and a label is
+given where the share is enough and a mandatory phrase of the template stands inside the alignment.
 
 Defined cases: null and empty texts have no words, no labels and score 0; rows with the same doc_id are separate rows.
 """
@@ -25,26 +26,53 @@ from .common import alnum_words, bytes_of
 
 # The phrases of the contract, the licences' own words and their mandatory phrases.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
+_MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the
+software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute
+sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other
+liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"""
+_APACHE = """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing
+software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+see the license for the specific language governing permissions and limitations under the license"""
+_GPL = """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by
+the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it
+will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general
+public license for more details you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses"""
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to
+endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and
+contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a
+particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary
+or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption
+however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of
+the use of this software even if advised of the possibility of such damage"""
+_ISC = """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the
+above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard
+to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect
+or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other
+tortious action arising out of or in connection with the use or performance of this software"""
+_UNLICENSE = """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"""
+_CC0 = """to the extent possible under law the author has waived all copyright and related or neighboring rights to this work this work is published from"""
+_MPL = """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this
+file you can obtain one at https mozilla org mpl 2 0"""
+#: Whole notices and the sentences by which texts name a licence.
 TEMPLATES = {
-    "mit": [
-        "released under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    ],
-    "apache": [
-        "licensed under the apache license version 2 0",
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
-    ],
-    "gpl": [
-        "this work is licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    ],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "mit": ["released under the mit license", _MIT, _MIT.partition(" and to permit")[0]],
+    "apache": ["licensed under the apache license version 2 0", _APACHE, _APACHE.partition(" unless")[0]],
+    "gpl": ["this work is licensed under the gnu general public license version 3", _GPL, _GPL.partition(" this program is distributed")[0]],
+    "bsd": [_BSD, _BSD.partition(" this software is provided")[0], _BSD.partition("\n")[0]],
     "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc-by": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "cc0": [_CC0, _CC0.partition(" this work is published")[0]],
+    "mpl": [_MPL, _MPL.partition(" if a copy")[0]],
+    "isc": [_ISC, _ISC.partition(" provided")[0]],
+    "unlicense": [_UNLICENSE, _UNLICENSE.partition(" anyone")[0]],
 }
 MANDATORY = {
     "mit": ["mit license", "permission is hereby granted free of charge"],
@@ -59,8 +87,9 @@ MANDATORY = {
     "unlicense": ["released into the public domain"],
 }
 
-#: Licence words that are looked up for each alignment, and the share of template words that must be in place.
-RARE, SHARE = 6, 0.7
+#: Licence words that are looked up for each alignment, the share of template words that must be in place, and the band:
+#: words by which places may shift, for each this many words of the template.
+RARE, SHARE, SHIFT = 6, 0.7, 8
 
 
 class Index:
@@ -70,6 +99,7 @@ class Index:
         self.templates = [(label, t.encode().split()) for label, texts in TEMPLATES.items() for t in texts]
         self.number = {w: i for i, w in enumerate(sorted({w for _, t in self.templates for w in t}))}
         self.coded = [np.array([self.number[w] for w in t]) for _, t in self.templates]
+        self.own = [set(t.tolist()) for t in self.coded]
         self.postings = defaultdict(list)
         for k, t in enumerate(self.coded):
             for place, w in enumerate(t.tolist()):
@@ -96,30 +126,59 @@ def places(codes: np.ndarray, phrase: list[int]) -> np.ndarray:
     return starts
 
 
+def voted(known: np.ndarray, codes: np.ndarray, template: int, words: list[int], least: int, band: int) -> np.ndarray:
+    """Starts at which at least this many of the words support an alignment: one for each band of them."""
+    offsets = [(known[codes[known] == w] - p, w) for w in words for k, p in INDEX.postings[w] if k == template]
+    starts = np.concatenate([x for x, _ in offsets]) if offsets else np.empty(0, np.int64)
+    who = np.concatenate([np.full(len(x), w) for x, w in offsets]) if offsets else starts
+    out = []
+    for shift in (0, band):  # two grids of bands, so that no alignment is cut by a border
+        cell = (starts + shift) // (2 * band + 1)
+        pairs = np.unique(np.stack([cell, who]), axis=1)
+        cells, votes = np.unique(pairs[0], return_counts=True)
+        for c in cells[votes >= least].tolist():
+            inside = np.sort(starts[cell == c])
+            out.append(int(inside[len(inside) // 2]))
+    return np.unique(np.array(out, np.int64))
+
+
+def in_place(codes: np.ndarray, template: np.ndarray, start: int, band: int) -> float:
+    """Share of the template's words that stand within band words of their places."""
+    at = start + np.arange(len(template)) + np.arange(-band, band + 1)[:, None]
+    same = (codes[np.clip(at, 0, len(codes) - 1)] == template) & (at >= 0) & (at < len(codes))
+    return float(same.any(axis=0).mean())
+
+
 def aligned(codes: np.ndarray, idf: np.ndarray) -> dict[str, float]:
-    """Label -> share of template words in place, for the alignments that rare words support and a phrase verifies."""
+    """Label -> share of template words in place, for the alignments that rare words support and a phrase inside verifies."""
     known = np.flatnonzero(codes >= 0)
     if not len(known):
         return {}
-    present = np.unique(codes[known])
-    wanted = set(present.tolist())
+    wanted = set(np.unique(codes[known]).tolist())
     best: dict[str, float] = {}
+    phrases: dict[str, np.ndarray] = {}
     for k, template in enumerate(INDEX.coded):
-        label = INDEX.templates[k][0]
-        rare = sorted(wanted.intersection(template.tolist()), key=lambda w: (-idf[w], w))[:RARE]
-        if len(rare) < min(2, len(set(template.tolist()))):
+        label, own = INDEX.templates[k][0], INDEX.own[k]
+        present = wanted & own
+        if len(present) < SHARE * len(own):
             continue
-        offsets = [known[codes[known] == w] - p for w in rare for j, p in INDEX.postings[w] if j == k]
-        starts, votes = np.unique(np.concatenate(offsets), return_counts=True)
-        starts = starts[votes >= max(2, len(rare) // 2)]
-        if not len(starts):
+        band = len(template) // SHIFT
+        rare = sorted(present, key=lambda w: (-idf[w], w))[:RARE]
+        starts = voted(known, codes, k, rare, max(2, len(rare) // 2), band)
+        if label not in phrases:
+            phrases[label] = np.unique(np.concatenate([places(codes, p) for p in INDEX.mandatory[label]]))
+        if not len(phrases[label]):
             continue
-        at = starts[:, None] + np.arange(len(template))
-        inside = (at >= 0) & (at < len(codes))
-        same = (codes[np.clip(at, 0, len(codes) - 1)] == template) & inside
-        share = float(same.mean(axis=1).max())
-        if share >= SHARE and share > best.get(label, 0) and any(len(places(codes, p)) for p in INDEX.mandatory[label]):
-            best[label] = share
+        for more in (False, True):
+            if more:  # all words of the template vote
+                starts = voted(known, codes, k, sorted(present), max(2, len(present) // 2), band)
+            for start in starts.tolist():
+                if ((phrases[label] >= start - band) & (phrases[label] < start + len(template) + band)).any():
+                    share = in_place(codes, template, start, band)
+                    if share >= SHARE and share > best.get(label, 0):
+                        best[label] = share
+            if label in best:
+                break
     return best
 
 

@@ -10,9 +10,16 @@ i AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s + 1:s
 x AS (SELECT doc_id, n, s, array_to_string(w[s + 1:s + n], ' ') AS k FROM d, (SELECT DISTINCT n FROM i), unnest(range(greatest(len(w) - n + 1, 0))) AS r(s)),
 h AS (SELECT doc_id, item_id, x.n, s FROM x JOIN i ON i.k = x.k AND i.n = x.n),
 p AS (SELECT doc_id, count(DISTINCT s + o)::BIGINT AS n_hit FROM h, unnest(range(n)) AS r(o) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id),
+wt AS (SELECT DISTINCT k, n, term FROM i, unnest(string_split(k, ' ')) AS r(term)),
+o AS (SELECT doc_id, s, w[s + 1] AS term FROM d, unnest(range(len(w))) AS r(s) WHERE w[s + 1] IN (SELECT term FROM wt)),
+c AS (SELECT term, count(*) AS n FROM o GROUP BY term),
+q AS (SELECT k, wt.n, count(*) AS terms, count(c.n) AS there, arg_min(term, {{'n': c.n, 'term': term}}) AS rarest FROM wt LEFT JOIN c USING (term) GROUP BY k, wt.n HAVING count(*) = count(c.n)),
+e AS (SELECT q.k, q.n, q.terms, o.doc_id, o.s FROM q JOIN o ON o.term = q.rarest),
+g AS (SELECT DISTINCT e.k, e.n, e.doc_id FROM (SELECT e.k, e.n, e.terms, e.doc_id, e.s, wt.term FROM e JOIN wt ON wt.k = e.k AND wt.n = e.n) e JOIN o ON o.doc_id = e.doc_id AND o.term = e.term AND o.s BETWEEN e.s - (e.n + 4) AND e.s + (e.n + 4) GROUP BY e.k, e.n, e.doc_id, e.s, e.terms HAVING count(DISTINCT e.term) = e.terms),
+f AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM g JOIN i ON i.k = g.k AND i.n = g.n) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near, coalesce(near_items, '') AS near_items
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN f USING (doc_id)"""
 
 CHAT = r"""
 WITH own AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

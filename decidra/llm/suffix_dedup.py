@@ -6,7 +6,7 @@ Construction: texts are inserted one symbol each per round, from the last column
 symbols of its column stably within the order so far, which gives the order of the suffixes that begin one column
 earlier, and derives their common prefixes with their neighbours from the last ones: one more where the symbols are
 equal and the minimum over the rows in between, else none. Columns are written to a file of the task and read back
-one after another; in memory are only the order and the prefixes. Neighbours that share SIZE symbols hold the same
+one after another; in memory are only the order and the prefixes, of some neighbouring cores at a time. Neighbours that share SIZE symbols hold the same
 string, and of each such class the earliest place is kept.
 
 Whole texts would need as many rounds as the longest has bytes, and one order of all bytes. So what is inserted are pieces
@@ -205,17 +205,44 @@ def construct(columns, n: int, width: int) -> Iterator[tuple[int, np.ndarray, np
         yield c, order, prefix
 
 
+#: Pieces that are ordered together at least, if a task has so many; whole cores, which have HOT pieces at most.
+TOGETHER = 100_000
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of a task's pieces that have an earlier equal one: per piece, runs of window starts of its first place."""
-    store, parts = Columns(), []
+    """Windows of pieces that have an earlier equal one: per piece, runs of window starts of its first place.
+
+    Pieces come sorted by core; only those of some neighbouring cores are held at once.
+    """
+    store, parts, held, last = Columns(), [], 0, None
     for batch in batches:
-        if batch.num_rows:
-            column = np.array(batch.column(0).to_pylist(), np.int64)
-            pieces = batch.column(1).to_pylist()
-            store.add(pieces, column)
-            parts.append((column, np.array([len(p) for p in pieces]) - SIZE + 1, *(np.array(batch.column(c).to_pylist(), np.int64) for c in range(2, 5))))
-    if not parts:
-        return
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        at = 0
+        if held >= TOGETHER:
+            change = np.flatnonzero(keys != np.append(last, keys[:-1]))
+            if len(change):
+                at = int(change[0])
+                held += _add(store, parts, batch.slice(0, at))
+                yield _repeated(store, parts)
+                store, parts, held = Columns(), [], 0
+        held += _add(store, parts, batch.slice(at))
+        last = keys[-1]
+    if parts:
+        yield _repeated(store, parts)
+
+
+def _add(store: Columns, parts: list, batch: pa.RecordBatch) -> int:
+    if batch.num_rows:
+        column = np.array(batch.column(1).to_pylist(), np.int64)
+        pieces = batch.column(2).to_pylist()
+        store.add(pieces, column)
+        parts.append((column, np.array([len(p) for p in pieces]) - SIZE + 1, *(np.array(batch.column(c).to_pylist(), np.int64) for c in range(3, 6))))
+    return batch.num_rows
+
+
+def _repeated(store: Columns, parts: list) -> pa.RecordBatch:
     column, windows, doc, rid, start = (np.concatenate(x) for x in zip(*parts, strict=True))
     n = len(column)
     rank = np.empty(n, np.int64)
@@ -232,12 +259,13 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.where(valid, (rank << 32 | start + (c - column))[order], top)
         least = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.append(heads, n)))
         gone[c, order] = valid & (place > least)
+    store.file.close()
     some = np.flatnonzero(gone.any(axis=0))
     edge = np.diff(np.pad(gone[:, some].astype(np.int8), ((1, 1), (0, 0))), axis=0)
     who, at = np.nonzero(edge.T == 1)
     _, to = np.nonzero(edge.T == -1)
     base = (start - column)[some][who]
-    yield pa.RecordBatch.from_arrays([pa.array(rid[some][who]), pa.array((base + at).astype(np.int32)), pa.array((base + to).astype(np.int32))], names=["rid", "start", "stop"])
+    return pa.RecordBatch.from_arrays([pa.array(rid[some][who]), pa.array((base + at).astype(np.int32)), pa.array((base + to).astype(np.int32))], names=["rid", "start", "stop"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +331,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     contents = written(contents.select("key", *names, "column", "piece", "first.doc", "first.rid", "first.start", "n"), "contents")
     hot = written(contents.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("key"), "hot")
     cold = contents.join(hot, "key", "left_anti")
-    inner = cold.repartition("key").select("column", "piece", "doc", "rid", "start").mapInArrow(_classes, "rid long, start int, stop int")
+    inner = cold.repartition("key").sortWithinPartitions("key").select("key", "column", "piece", "doc", "rid", "start").mapInArrow(_classes, "rid long, start int, stop int")
     inner = inner.union(_single_windows(contents.join(hot, "key", "left_semi")))
     many = written(contents.where("n > 1").select("g1", "g2", F.col("rid").alias("first_rid"), F.col("start").alias("first_start")), "many")
     copies = pieces.select(*names, "rid", "start", (F.col("start") + F.octet_length("piece") - (SIZE - 1)).alias("stop")).join(many, ["g1", "g2"])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import html
+import math
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -149,3 +153,99 @@ def repeats(docs, size=100):
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out[doc] = (len(b), sum(gone), spans, sha(kept))
     return out
+
+
+# ---- Pages, by patterns over the whole page.
+
+HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|main|aside|blockquote|pre|td|th|hr|form|title|body|html)\b[^>]*>", re.I)
+
+
+def page_text(page: str) -> str:
+    text = html.unescape(re.sub(r"</?[a-zA-Z!?][^>]*>", "", BLOCK.sub("\n", HIDDEN.sub(" ", page))))
+    return "\n".join(line for x in text.split("\n") if (line := " ".join(x.split())))
+
+
+def warc(pages):
+    """(page_id, kind) -> record ids, digests, length and the record's hash, for pages of (page_id, url, html)."""
+
+    def named(*names):
+        return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(names))}>"
+
+    def digest(b):
+        return "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+
+    out = []
+    for page, url, body in pages:
+        url, body = url or "", body or ""
+        own = digest(body.encode())
+        source = named("response", str(page), url, own)
+        title = re.search(r"<title\b[^>]*>(.*?)</title\s*>", body, re.S | re.I)
+        lang = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", body, re.I)
+        links = [html.unescape(a or b or c) for a, b, c in re.findall(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", body, re.I)]
+        text = page_text(body)
+        headers = ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body.encode())}"]
+        conversion = named("conversion", source)
+        lines = [f"title: {page_text(title[1]) if title else ''}", f"language: {lang[1] if lang else ''}", f"conversion: {conversion}", f"characters: {len(text)}", f"links: {len(links)}"]
+        lines += [f"source-header: {x}" for x in headers] + [f"outlink: {' '.join(x.split())}" for x in links]
+        lines = [" ".join(x.replace("\n", " ").split(" ")) for x in lines]
+        for kind, name, mime, block in (("metadata", named("metadata", source), "application/warc-fields", "".join(f"{x}\r\n" for x in lines)), ("conversion", conversion, "text/plain", text)):
+            raw = block.encode()
+            head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\nWARC-Refers-To: {source}\r\nWARC-Target-URI: {' '.join(url.split())}\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Block-Digest: {digest(raw)}\r\nX-Source-Payload-Digest: {own}\r\nContent-Type: {mime}\r\nContent-Length: {len(raw)}\r\n\r\n"
+            out.append((page, kind, name, source, own, digest(raw), len(raw), sha(head.encode() + raw + b"\r\n\r\n")))
+    return sorted(out, key=repr)
+
+
+# ---- Sampled pieces and chain scores, step by step.
+
+
+def sampled(text, key, vocabulary, uniform):
+    """Tokens of one text: forward sums over each unit's lattice, then one draw per step from its end."""
+    out, place, mask = [], 0, (1 << 64) - 1
+    for unit in re.findall(rb"\n| *[^ \n]+| +", text):
+        edges = defaultdict(list)
+        chars = [i for i in range(len(unit)) if unit[i] & 0xC0 != 0x80] + [len(unit)]
+        for length in range(1, vocabulary.longest + 1):
+            for i in chars[:-1]:
+                if i + length <= len(unit) and (piece := vocabulary.ids.get(unit[i : i + length])) is not None:
+                    edges[i + length].append((i, piece))
+        for a, b in zip(chars[:-1], chars[1:], strict=True):
+            if unit[a:b] not in vocabulary.ids:
+                for i in range(a, b):
+                    edges[i + 1].append((i, int(vocabulary.bytes[unit[i]])))
+        total = {0: 0.0}
+        for end in range(1, len(unit) + 1):
+            ways = [total[i] + vocabulary.weight[p] for i, p in edges[end] if i in total]
+            if ways:
+                total[end] = max(ways) + math.log(sum(math.exp(x - max(ways)) for x in ways))
+        drawn, at, step = [], len(unit), 0
+        while at:
+            step += 1
+            u = float(uniform(np.array([(key + (place + step) * 0x9E3779B97F4A7C15) & mask], np.uint64))[0])
+            for i, p in edges[at]:
+                u -= math.exp(total[i] + vocabulary.weight[p] - total[at]) if i in total else 0.0
+                if u < 0:
+                    break
+            drawn.append(p)
+            at = i
+        out += drawn[::-1]
+        place += len(unit)
+    return out
+
+
+def chain_score(chain, text):
+    """The score by forward and backward sums over every word, none left out."""
+    from decidra.llm.toxicity import around, evidence
+
+    w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text).encode())
+    own = [chain.feature(x) for x in w]
+    up = [np.array([1.0, math.exp(chain.bias + (chain.weights[f] + sum(chain.context.get(c, 0.0) for c in around(w, i)) if f else 0.0))]) for i, f in enumerate(own)]
+    ahead, behind, moves = [], [np.ones(2)], np.exp(chain.moves)
+    for x in up:
+        m = x if not ahead else (ahead[-1] @ moves) * x
+        ahead.append(m / m.sum())
+    for x in reversed(up[1:]):
+        m = moves @ (x * behind[-1])
+        behind.append(m / m.sum())
+    both = [a * b for a, b in zip(ahead, reversed(behind), strict=True)] if w else []
+    return chain.score([x[1] / x.sum() for x, f in zip(both, own, strict=True) if f])
