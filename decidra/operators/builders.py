@@ -17,6 +17,8 @@ DONE = ["Is the task already complete on this screen?", "Has the goal been fully
 SKIP = ["Can this element be skipped because it already satisfies the task?", "Has this element already been handled for the task (no action needed on it)?"]
 GROUND = "Which numbered element should be acted on next to make progress on the task?"
 NONE = "none of the marked elements is the right target"
+#: Rows that are ordered together to find partners.
+PARTNERS = 100_000
 
 
 def question(qid: str, qtype: str, instructions: Column, criteria: Column | None = None) -> Column:
@@ -166,14 +168,25 @@ def valid_generated(items: DataFrame) -> DataFrame:
 
 
 def with_partner(rows: DataFrame, key: str, seed: str) -> DataFrame:
-    """Each row with a random other row's columns as b_..., by rank in hashed order within a shard of keys."""
-    shard = F.pmod(F.crc32(N.hash_order(F.col(key), f"{seed}/s").cast("binary")), F.lit(1024))
+    """Each row with a random other row's columns as b_..., by rank in hashed order within a shard of keys.
+
+    Shards are as many as keep about PARTNERS rows in each; only the row of a table of one is its own partner.
+    """
+    shards = max(1, -(-rows.count() // PARTNERS))
+    shard = F.floor(N.hash_unit(F.col(key), f"{seed}/s") * shards)
     ranked = rows.withColumn("_s", shard).withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy(N.hash_order(F.col(key), seed), key)))
     sizes = ranked.groupBy("_s").agg(F.count("*").alias("_n"))
     other = ranked.select("_s", F.col("_r").alias("_next"), *[F.col(c).alias(f"b_{c}") for c in rows.columns])
     return ranked.join(sizes, "_s").withColumn("_next", F.col("_r") % F.col("_n") + 1).join(other, ["_s", "_next"]).drop("_s", "_r", "_n", "_next")
 
 
+def merged_maps(a: Column, b: Column) -> Column:
+    """Entries of two maps; of an equal key the right one's value."""
+    a, b = (F.coalesce(F.map_entries(x), F.array()) for x in (a, b))
+    keys = F.transform(b, lambda e: e["key"])
+    return F.map_from_entries(F.concat(F.filter(a, lambda e: ~F.array_contains(keys, e["key"])), b))
+
+
 def merged_questions(a: Column, b: Column) -> Column:
     """Questions of two rows, told apart by a prefix of their ids."""
     named = lambda qs, p: F.transform(qs, lambda q: q.withField("qid", F.concat(F.lit(p), q["qid"])))

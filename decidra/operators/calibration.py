@@ -63,6 +63,6 @@ def escalation(student: DataFrame, teacher: DataFrame, student_ms: float, teache
 
 def calibrated(rows: DataFrame, fitted: DataFrame, by: list[str]) -> DataFrame:
     """rows (p, y) with p, conf and hit at the fitted temperature of their group; yes from 0.5 on."""
-    hot = rows.join(F.broadcast(fitted.select(*by, "temperature")), by)  # a row per question
+    hot = rows.join(fitted.select(*by, "temperature"), by)  # adaptive execution broadcasts it where it is small
     p = N.sigmoid(N.logit(F.col("p")) / F.col("temperature"))
     return hot.withColumn("p", p).withColumn("conf", N.top_confidence(F.col("p"))).withColumn("hit", ((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from decidra.functions.numeric import log_odds
 
-from .metrics import nth_percentile, upper_median
+from .metrics import lower_middle, percentile_place, upper_middle, with_nth_values
 
 
 def latency_slopes(trials: DataFrame) -> DataFrame:
@@ -81,18 +81,29 @@ def loop_summary(runs: DataFrame) -> DataFrame:
 
 def throughput(requests: DataFrame) -> DataFrame:
     """Per concurrency: requests, requests per second, and the median and 90th percentile of the time of one."""
-    return requests.groupBy("concurrency").agg(F.count("*").alias("n"), (F.count("*") / F.max("wall_s")).alias("req_s"), F.median("ms").alias("p50"), nth_percentile("ms", 0.9).alias("p90"))
+    sums = requests.groupBy("concurrency").agg(F.count("*").alias("n"), (F.count("*") / F.max("wall_s")).alias("req_s"))
+    out = with_nth_values(sums, requests, ["concurrency"], "ms", {"low": lower_middle, "high": upper_middle, "p90": percentile_place(0.9)})
+    return out.select("concurrency", "n", "req_s", ((F.col("low") + F.col("high")) / 2).alias("p50"), "p90")
 
 
 def tiers(rows: DataFrame) -> DataFrame:
-    """Accuracy of each tier and of each type in it, in one pass; type null is the whole tier."""
-    sets = rows.groupingSets([("tier", "type"), ("tier",)], "tier", "type")
-    return sets.agg(F.count("*").alias("n"), F.avg("hit").alias("acc"), upper_median("ms").alias("p50"))
+    """Accuracy and upper median time of each tier and of each type in it; type null is the whole tier."""
+    sums = rows.groupingSets([("tier", "type"), ("tier",)], "tier", "type").agg(F.count("*").alias("n"), F.avg("hit").alias("acc"))
+    both = rows.select("tier", F.explode(F.array("type", F.lit(None))).alias("type"), "ms")
+    return with_nth_values(sums, both, ["tier", "type"], "ms", {"p50": upper_middle})
 
 
 def forms(rows: DataFrame) -> DataFrame:
     """Overlapping groups of form items: all, each action, and each kind."""
-    return rows.select(F.explode(F.array_distinct(F.array(F.lit("all"), "action", "kind"))).alias("group"), "hit", "conf", "ms").groupBy("group").agg(F.count("*").alias("n"), F.avg("hit").alias("acc"), upper_median("ms").alias("p50"))
+    grouped = rows.select(F.explode(F.array_distinct(F.array(F.lit("all"), "action", "kind"))).alias("group"), "hit", "conf", "ms")
+    return with_nth_values(grouped.groupBy("group").agg(F.count("*").alias("n"), F.avg("hit").alias("acc")), grouped, ["group"], "ms", {"p50": upper_middle})
+
+
+def capability(rows: DataFrame, split: str, at: int) -> DataFrame:
+    """Accuracy, mean top share and mean share of the right answer by family; one family also by position before and from at on."""
+    variant = F.when(F.col("position") < at, f"{split} 0-{at - 1}").otherwise(f"{split} {at}-{2 * at - 1}")
+    named = rows.select(F.explode(F.when(F.col("family") == split, F.array("family", variant)).otherwise(F.array("family"))).alias("family"), "hit", "top", "right")
+    return named.groupBy("family").agg(F.count("*").alias("n"), F.avg("hit").alias("acc"), F.avg("top").alias("top"), F.avg("right").alias("right"))
 
 
 def confidence_buckets(rows: DataFrame, edges: list[float]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import numbered
+
 
 def resumed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not done yet."""
@@ -38,9 +40,8 @@ def prior_adjusted(scores: DataFrame, priors: DataFrame, keys: list[str]) -> Dat
 
 
 def positional(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
-    """Rows at equal places of two ordered tables."""
-    place = lambda df, o, n: df.withColumn(n, F.row_number().over(Window.orderBy(o)))
-    return place(a, order_a, "_i").join(place(b, order_b, "_i"), "_i").drop("_i")
+    """Rows at equal places of two tables ordered by a number or a time."""
+    return numbered(a, [], order_a, "_i").join(numbered(b, [], order_b, "_i"), "_i").drop("_i")
 
 
 def round_robin(rows: DataFrame, by: str, ordinal: str, pool: DataFrame, order: str) -> DataFrame:

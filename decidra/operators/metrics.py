@@ -6,6 +6,8 @@ the few buckets of a group give each bucket's offset, and only rows inside a buc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,16 +141,76 @@ def audit(answers: DataFrame) -> DataFrame:
     return answers.agg(F.count_if(sure).alias("n"), F.avg(F.when(sure, (F.col("answer") == F.col("expected")).cast("int"))).alias("agreement"), F.count_if(~sure).alias("unsure"))
 
 
-def upper_median(value: str) -> Column:
-    """The element in the middle, of an even number the upper one."""
-    return _nth(value, lambda n: F.floor(n / 2))
+#: Parts of a group by approximate quantiles, of which each is ordered by itself.
+PARTS = 64
+
+
+def _parted(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """rows with _g, a key of the group that nulls don't part, and _b, the part that order falls into."""
+    keyed = rows.withColumn("_g", F.struct(F.lit(0), *by))
+    cuts = keyed.groupBy("_g").agg(F.percentile_approx(F.col(order).cast("double"), [k / PARTS for k in range(1, PARTS)], F.lit(20 * PARTS)).alias("_cuts"))
+    return keyed.join(cuts, "_g").withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order).cast("double")))).drop("_cuts")
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """Places of the rows of each group by a number or a time, from 0 on; a part of a group is ordered in one task, not all of it."""
+    parted = _parted(rows, by, order)
+    sums = parted.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
+    before = sums.select("_g", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_g", "_b").orderBy(order)) - 1
+    return parted.withColumn("_in", inside).join(before, ["_g", "_b"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_g", "_b", "_in", "_before")
+
+
+def nth_values(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Values at places (0-based, of the number of rows) of each group's sorted values, as columns of these names.
+
+    Equal values are one row after a partial aggregate; only those of the part that holds a place are ordered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    parted = _parted(counts, by, "_v")
+    sums = parted.groupBy("_g", "_b").agg(F.sum("_c").alias("_n"))
+    window = Window.partitionBy("_g")
+    sums = sums.select("*", F.sum("_n").over(window).alias("_all"), F.coalesce(F.sum("_n").over(window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("_all")).cast("long").alias("k")) for k, f in places.items()]))
+    cuts = sums.select("_g", "_b", "_n", "_before", wanted.alias("x")).where("_before <= x.k and x.k < _before + _n").select("_g", "_b", F.col("x.name").alias("_name"), (F.col("x.k") - F.col("_before")).alias("_k"))
+    upto = F.sum("_c").over(Window.partitionBy("_g", "_b", "_name").orderBy("_v"))
+    found = parted.join(cuts, ["_g", "_b"]).withColumn("_upto", upto).where("_upto > _k").groupBy("_g", "_name").agg(F.min("_v").alias("_v"))
+    out = found.groupBy("_g").agg(*[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in places])
+    return out.select(*[F.col(f"_g.{c}").alias(c) for c in by], *places)
+
+
+def with_nth_values(report: DataFrame, rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """report, of a row for each group, with columns of nth_values."""
+    keys = [F.col(f"o.{c}").eqNullSafe(F.col(f"x.{c}")) for c in by]
+    return report.alias("o").join(nth_values(rows, by, value, places).alias("x"), keys, "left").select("o.*", *[F.col(f"x.{c}") for c in places])
+
+
+def upper_middle(n: Column) -> Column:
+    """The place in the middle, of an even number the upper one."""
+    return F.floor(n / 2)
+
+
+def lower_middle(n: Column) -> Column:
+    return F.floor((n - 1) / 2)
+
+
+def percentile_place(share: float) -> Callable[[Column], Column]:
+    """The place int(share * n) - 1, the first at least."""
+    return lambda n: F.greatest(F.lit(0), F.floor(n * share) - 1)
+
+
+def vote_shares(votes: DataFrame, by: list[str], vote: str, keys: list[str]) -> DataFrame:
+    """Share of each key among a group's votes, 0 for keys without one; other votes count in none."""
+    valid = votes.where(F.col(vote).isin(keys))
+    counts = valid.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(F.col(vote) == k).alias(f"_{i}") for i, k in enumerate(keys)])
+    return counts.select(*by, "n", *[(F.col(f"_{i}") / F.col("n")).alias(k) for i, k in enumerate(keys)])
 
 
-def nth_percentile(value: str, share: float) -> Column:
-    """The element at int(share * n) - 1 of the sorted values, the first at least."""
-    return _nth(value, lambda n: F.greatest(F.lit(0), F.floor(n * share) - 1))
+def crosstab(rows: DataFrame, row: str, column: str, values: list, value: Column) -> DataFrame:
+    """A row for each value of row, a column for each of the given values of column, 0 where there is none."""
+    return rows.groupBy(row).pivot(column, values).agg(value).na.fill(0)
 
 
-def _nth(value: str, place) -> Column:
-    values = F.sort_array(F.collect_list(value))
-    return F.element_at(values, (place(F.size(values)) + 1).cast("int"))
+def ordered_groups(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Groups in order of their keys, with size and place; there are as many rows as groups, so the sort is of a report."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in by]))).orderBy("place")

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from decidra.functions.numeric import hash_order, hash_unit
 
+from .metrics import numbered
+
+#: Rows of a table of options, which every task gets.
+MOST_OPTIONS = 10_000
+
 
 def bernoulli(rows: DataFrame, key: str, share: float, seed: str) -> DataFrame:
     return rows.where(hash_unit(F.col(key), seed) < share)
@@ -61,11 +66,11 @@ def bootstrap(rows: DataFrame, by: list[str], value: str, order: str, rounds: in
     A draw is a place in the group; values at places are looked up by a join, and each round is a mean, so rows of a
     round never meet but as partial sums.
     """
-    placed = rows.select(*by, value, order).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    placed = numbered(rows.select(*by, value, order), by, order, "_i")
     sizes = placed.groupBy(*by).agg(F.count("*").alias("_n"))
-    draws = placed.join(F.broadcast(sizes), by).select(*by, F.col("_i").alias("_slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_b"))
+    draws = placed.join(sizes, by).select(*by, F.col("_i").alias("_slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_b"))
     drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("_b").cast("string"), F.col("_slot").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("_n"))
-    means = draws.withColumn("_i", drawn.cast("int")).join(placed, [*by, "_i"]).groupBy(*by, "_b").agg(F.avg(value).alias("m"))
+    means = draws.withColumn("_i", drawn).join(placed, [*by, "_i"]).groupBy(*by, "_b").agg(F.avg(value).alias("m"))
     low, high = int(0.025 * rounds), int(0.975 * rounds)
     ranked = means.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("m"))  # rounds values
     return ranked.select(*by, F.element_at("m", low + 1).alias("low"), F.element_at("m", high + 1).alias("high"))
@@ -87,7 +92,9 @@ def chosen(options: Column, key: Column, seed: str) -> Column:
 
 
 def distractors(rows: DataFrame, key: str, gold: str, options: DataFrame, option: str, n: int, seed: str) -> DataFrame:
-    """The right option and n others of a small fixed table, in hashed order; options must be a bounded dimension."""
+    """The right option and n others of a small table, in hashed order; more than MOST_OPTIONS rows are an error."""
+    if options.limit(MOST_OPTIONS + 1).count() > MOST_OPTIONS:
+        raise ValueError(f"options must have at most {MOST_OPTIONS} rows")
     every = options.agg(F.collect_set(option).alias("_all"))
     with_all = rows.join(F.broadcast(every))
     draw = lambda o, s: F.struct(F.md5(F.concat_ws(":", F.lit(s), F.col(key).cast("string"), o)).alias("h"), o.alias("o"))

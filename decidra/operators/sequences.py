@@ -31,9 +31,9 @@ def previous(rows: DataFrame, episode: list[str], step: str, columns: list[str])
 
 
 def later_values(rows: DataFrame, episode: list[str], step: str, value: str, name: str) -> DataFrame:
-    """Distinct values of the steps after each one."""
-    after = Window.partitionBy(*episode).orderBy(step).rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn(name, F.array_sort(F.array_distinct(F.collect_list(value).over(after))))
+    """Distinct values of the steps after each one: a set that grows from the last step back."""
+    after = Window.partitionBy(*episode).orderBy(F.desc(step)).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(name, F.array_sort(F.collect_set(value).over(after)))
 
 
 def running_mean(rows: DataFrame, series: list[str], step: str, value: str, n: int) -> DataFrame:
@@ -69,35 +69,41 @@ def attends(rows: DataFrame, key: list[str], segments: str) -> DataFrame:
 def length_batches(rows: DataFrame, shard: str, key: str, size: str, budget: int, most: int) -> DataFrame:
     """Batches within a shard, filled in order of size while padded tokens stay under the budget.
 
-    Filling is sequential, so each shard is one task; shards must be of bounded size.
+    Filling is sequential, so a shard is read by one task, in order and in Arrow batches; four numbers are its state.
     """
 
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([size, key], kind="stable")
-        out, batch, count, longest = [], 0, 0, 0
-        for n in frame[size].tolist():
-            if count and (count >= most or max(longest, n) * (count + 1) > budget):
-                batch, count, longest = batch + 1, 0, 0
-            count, longest = count + 1, max(longest, n)
-            out.append(batch)
-        return frame.assign(batch=out)
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, batch, count, longest = object(), 0, 0, 0
+        for frame in frames:
+            out = []
+            for s, n in zip(frame[shard].tolist(), frame[size].tolist(), strict=True):
+                if s != last:
+                    last, batch, count, longest = s, 0, 0, 0
+                if count and (count >= most or max(longest, n) * (count + 1) > budget):
+                    batch, count, longest = batch + 1, 0, 0
+                count, longest = count + 1, max(longest, n)
+                out.append(batch)
+            yield frame.assign(batch=out)
 
     frame = rows.select(shard, key, size)
-    return frame.groupBy(shard).applyInPandas(fill, f"{frame._jdf.schema().toDDL()}, batch long")
+    return frame.repartition(shard).sortWithinPartitions(shard, size, key).mapInPandas(fill, f"{frame._jdf.schema().toDDL()}, batch long")
 
 
 def balanced(rows: DataFrame, shard: str, group: str, order: str, label: str, per_group: int, slack: int) -> DataFrame:
     """Rows kept in order while neither answer is more than slack ahead and a group has room.
 
-    A kept row changes later decisions, so a shard is read in order, in batches; the state is two counts and the groups'.
+    A kept row changes later decisions, so a shard is read by one task, in order and in Arrow batches; its state is two
+    counts and the groups'.
     """
     frame = rows.select(shard, group, order, label)
 
-    def keep(_: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, taken = {0: 0, 1: 0}, {}
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, counts, taken = object(), {0: 0, 1: 0}, {}
         for frame in batches:
             flags = []
-            for g, y in zip(frame[group].tolist(), frame[label].tolist(), strict=True):
+            for s, g, y in zip(frame[shard].tolist(), frame[group].tolist(), frame[label].tolist(), strict=True):
+                if s != last:
+                    last, counts, taken = s, {0: 0, 1: 0}, {}
                 ok = counts[y] <= counts[1 - y] + slack and taken.get(g, 0) < per_group
                 if ok:
                     counts[y] += 1
@@ -105,7 +111,4 @@ def balanced(rows: DataFrame, shard: str, group: str, order: str, label: str, pe
                 flags.append(ok)
             yield frame[flags]
 
-    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(keep(key, iter([frame.sort_values(order, kind="stable")]))))
-
-    return frame.groupBy(shard).applyInPandas(whole, frame.schema)
+    return frame.repartition(shard).sortWithinPartitions(shard, order).mapInPandas(keep, frame.schema)

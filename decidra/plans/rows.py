@@ -20,9 +20,9 @@ from .standins import STEPS_SQL, episodes, table
 _UNIT = "(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-@query(f"WITH {STEPS_SQL} SELECT event_id, array_to_string(coalesce(list(kind) OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []), ',') AS history FROM steps WHERE step < 12")
+@query(f"WITH {STEPS_SQL} SELECT event_id, array_to_string(coalesce(list(kind) OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []), ',') AS history FROM steps")
 def episode_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Q.history(episodes(spark, sf_dir).where("step < 12"), ["episode"], "step", "kind")
+    rows = Q.history(episodes(spark, sf_dir), ["episode"], "step", "kind")
     return rows.select("event_id", F.array_join("history", ",").alias("history"))
 
 
@@ -39,16 +39,17 @@ def first_done_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.first_step(episodes(spark, sf_dir), ["episode"], "step", F.col("kind") == "purchase")
 
 
-@query(f"WITH {STEPS_SQL}, s AS (SELECT * FROM steps WHERE event_id % 7 <> 0) SELECT a.event_id, b.kind AS prev_kind, round(b.value, 6) AS prev_value FROM s a LEFT JOIN s b ON a.episode = b.episode AND b.step = a.step - 1")
+@query(f"WITH {STEPS_SQL}, s AS (SELECT event_id, episode, step + step // 6 AS step, kind, value FROM steps) SELECT a.event_id, b.kind AS prev_kind, round(b.value, 6) AS prev_value FROM s a LEFT JOIN s b ON a.episode = b.episode AND b.step = a.step - 1")
 def previous_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh event is left out, so there are gaps."""
-    rows = Q.previous(episodes(spark, sf_dir).where("event_id % 7 <> 0"), ["episode"], "step", ["kind", "value"])
+    """Every seventh number of a step is left out, so there are gaps."""
+    steps = episodes(spark, sf_dir).withColumn("step", F.col("step") + F.floor(F.col("step") / 6))
+    rows = Q.previous(steps, ["episode"], "step", ["kind", "value"])
     return rows.select("event_id", "prev_kind", F.round("prev_value", 6).alias("prev_value"))
 
 
-@query(f"WITH {STEPS_SQL}, s AS (SELECT * FROM steps WHERE step < 12) SELECT event_id, array_to_string(list_sort(list_distinct(coalesce(list(kind) OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), []))), ',') AS later FROM s")
+@query(f"WITH {STEPS_SQL} SELECT event_id, array_to_string(list_sort(list_distinct(coalesce(list(kind) OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), []))), ',') AS later FROM steps")
 def later_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Q.later_values(episodes(spark, sf_dir).where("step < 12"), ["episode"], "step", "kind", "later")
+    rows = Q.later_values(episodes(spark, sf_dir), ["episode"], "step", "kind", "later")
     return rows.select("event_id", F.array_join("later", ",").alias("later"))
 
 
@@ -162,10 +163,10 @@ def candidate_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("page_id", "k", "e.tag", "e.type", "e.label", "e.value", "e.typeable")
 
 
-@query(r"SELECT conv_id, turn, regexp_replace('Last action: ' || role || ' on ' || left(text, 20) || chr(10) || 'end', 'Last action: (\w+) on [^\n]*', 'Last action: \1 at the red marker') AS state FROM conversations")
+@query(r"SELECT conv_id, turn, regexp_replace('Last action: ' || role || ' on ' || text || chr(10) || 'end', 'Last action: (\w+) on [^\n]*', 'Last action: \1 at the red marker') AS state FROM conversations")
 def state_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    state = F.concat(F.lit("Last action: "), "role", F.lit(" on "), F.left("text", F.lit(20)), F.lit("\nend"))
+    state = F.concat(F.lit("Last action: "), "role", F.lit(" on "), "text", F.lit("\nend"))
     return c.select("conv_id", "turn", X.marked_state(state).alias("state"))
 
 
@@ -293,12 +294,12 @@ def soft_targets_and_hard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return soft.join(hard, "id", "left").select("id", F.round(F.element_at("soft", 1)["p"], 6).alias("p0"), F.round("top", 6).alias("top"), F.coalesce("hard", F.lit(False)).alias("hard"))
 
 
-@query("""WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(left(text, 12) ORDER BY turn) AS texts, count(*) AS n, max(len(text)) AS m FROM conversations GROUP BY conv_id)
+@query("""WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS roles, count(*) AS n, max(len(text)) AS m FROM conversations GROUP BY conv_id)
 SELECT conv_id, m >= 20 AND n BETWEEN 1 AND 4 AND n BETWEEN 2 AND 64 AND conv_id % 5 <> 0 AS valid FROM c""")
 def validate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation as a generated item: its turns are choice questions with the turns as options; every fifth repeats an id."""
     c = table(spark, sf_dir, "conversations")
-    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.left("text", F.lit(12)).alias("t")))).alias("ts"), F.max_by("text", F.length("text")).alias("state"))
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("t")))).alias("ts"), F.max_by("text", F.length("text")).alias("state"))
     options = F.transform("ts", lambda t: F.struct(t["turn"].cast("string").alias("key"), t["t"].alias("descr")))
     qid = lambda t: F.when(F.col("conv_id") % 5 == 0, F.lit("same")).otherwise(t["turn"].cast("string"))
     asked = F.transform("ts", lambda t: F.struct(qid(t).alias("qid"), F.lit("choice").alias("qtype"), t["role"].alias("instructions"), options.alias("criteria")))
@@ -319,10 +320,10 @@ def pack_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("segments").cast("long").alias("length"), F.size("reads").alias("reads"), last.cast("long").alias("last_read"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS k, list(seg ORDER BY l_linenumber) AS s FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN 0 ELSE (l_linenumber - 1) // 2 END AS seg FROM lineitem WHERE l_orderkey % 50 = 0) GROUP BY 1),
+@query("""WITH s AS (SELECT l_orderkey AS k, list(seg ORDER BY l_linenumber) AS s FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN 0 ELSE (l_linenumber - 1) // 2 END AS seg FROM lineitem) GROUP BY 1),
 a AS (SELECT k, unnest(s) AS si, generate_subscripts(s, 1) - 1 AS i FROM s) SELECT x.k, count(*) AS allowed FROM a x JOIN a y ON x.k = y.k AND y.i <= x.i AND (x.si = y.si OR y.si = 0) GROUP BY x.k""")
 def tree_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")  # noqa: E741  the stand-in's sequences are these orders
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741  the stand-in's sequences are orders
     seg = F.when(F.col("l_linenumber") <= 2, 0).otherwise(F.floor((F.col("l_linenumber") - 1) / 2)).cast("int")
     g = l.groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", seg.alias("s")))), lambda x: x["s"]).alias("segments"))
     return Q.attends(g, ["k"], "segments").groupBy("k").agg(F.count("*").alias("allowed"))
@@ -337,12 +338,12 @@ def schema_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.schema_targets(rows)
 
 
-@query("SELECT 'a_' || doc_id AS id, 'a' AS source, left(text, 30) AS state, quality::VARCHAR AS target FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' UNION ALL SELECT 'b_' || conv_id || '.' || turn, 'b', left(text, 30), role FROM conversations WHERE role <> ''")
+@query("SELECT 'a_' || doc_id AS id, 'a' AS source, text AS state, quality::VARCHAR AS target FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'b_' || conv_id || '.' || turn, 'b', text, role FROM conversations WHERE role <> ''")
 def converters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").join(table(spark, sf_dir, "labels"), "doc_id")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     c = table(spark, sf_dir, "conversations")
-    a = B.converted(d, "a", F.col("doc_id"), F.left("text", F.lit(30)), B.question("q", "noul", F.lit("Good?")), F.col("quality"))
-    b = B.converted(c, "b", F.concat_ws(".", "conv_id", "turn"), F.left("text", F.lit(30)), B.question("r", "choice", F.lit("Who?")), F.col("role"))
+    a = B.converted(d, "a", F.col("doc_id"), F.col("text"), B.question("q", "noul", F.lit("Good?")), F.col("quality"))
+    b = B.converted(c, "b", F.concat_ws(".", "conv_id", "turn"), F.col("text"), B.question("r", "choice", F.lit("Who?")), F.col("role"))
     return B.mixed([(a, None, 1), (b, None, 1)], "13").select("id", "source", "state", "target")
 
 
@@ -351,20 +352,30 @@ def dom_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.candidates(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source, lang, doc_id, toxic, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents JOIN labels USING (doc_id)),
+g AS (SELECT source, NULL::VARCHAR AS lang, NULL::BIGINT AS doc_id, NULL::BIGINT AS toxic, 0::BIGINT AS r, FALSE AS kept, 0 AS c0, 0 AS c1, []::VARCHAR[] AS taken FROM d GROUP BY source
+ UNION ALL SELECT source, lang, doc_id, toxic, r, ok, c0 + (ok AND toxic = 0)::INT, c1 + (ok AND toxic = 1)::INT, CASE WHEN ok THEN list_append(taken, lang) ELSE taken END
+ FROM (SELECT d.*, c0, c1, taken, CASE toxic WHEN 0 THEN c0 <= c1 + 5 ELSE c1 <= c0 + 5 END AND len(list_filter(taken, lambda x: x = d.lang)) < 50 AS ok FROM (SELECT source, r, c0, c1, taken FROM g) g JOIN d ON d.source = g.source AND d.r = g.r + 1))
+SELECT source, lang, doc_id, toxic FROM g WHERE kept""")
 def balance_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source is a shard of its own."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("source", "lang", "doc_id", "toxic")
     return Q.balanced(d, "source", "lang", "doc_id", "toxic", 50, 5)
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT floor({_UNIT.format(seed='15', key='doc_id')} * 64)::BIGINT AS shard, doc_id, n_chars FROM documents), d AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY n_chars, doc_id) AS r FROM s),
+g AS (SELECT shard, NULL::BIGINT AS doc_id, NULL::BIGINT AS n_chars, 0::BIGINT AS r, 0::BIGINT AS batch, 0::BIGINT AS size, 0::BIGINT AS longest FROM d GROUP BY shard
+ UNION ALL SELECT shard, doc_id, n_chars, r, batch + full::INT, CASE WHEN full THEN 1 ELSE size + 1 END, CASE WHEN full THEN n_chars ELSE greatest(longest, n_chars) END
+ FROM (SELECT d.shard, d.doc_id, d.n_chars, d.r, batch, size, longest, size > 0 AND (size >= 32 OR greatest(longest, d.n_chars) * (size + 1) > 200000) AS "full" FROM g JOIN d ON d.shard = g.shard AND d.r = g.r + 1))
+SELECT shard, doc_id, n_chars, batch FROM g WHERE r > 0""".replace("batch + full::INT", 'batch + "full"::INT').replace("WHEN full THEN", 'WHEN "full" THEN'))
 def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards of documents by hash, so that they are even."""
-    d = table(spark, sf_dir, "documents").select(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("shard"), "doc_id", "n_chars")
+    d = table(spark, sf_dir, "documents").select(F.floor(N.hash_unit(F.col("doc_id"), "15") * 64).alias("shard"), "doc_id", "n_chars")
     return Q.length_batches(d, "shard", "doc_id", "n_chars", 200_000, 32)
 
 
-@query()
+@query(f"""WITH n AS (SELECT greatest(1, ceil(count(*) / 100000.0)) AS shards FROM documents), s AS (SELECT doc_id, lang, floor({_UNIT.format(seed='14/s', key='doc_id')} * shards) AS s FROM documents, n),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('14:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY s) AS n FROM s)
+SELECT a.doc_id, a.lang, b.doc_id AS b_doc_id, b.lang AS b_lang FROM r a JOIN r b ON a.s = b.s AND b.r = a.r % a.n + 1""")
 def partner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.with_partner(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "14")

@@ -16,14 +16,14 @@ from .registry import query
 from .standins import CHOICES_SQL, choices, table
 
 
-@query("SELECT conv_id || '.' || turn || ':said:' || ':' || role AS id, 'said' AS question, left(text, 10) AS state, role AS label, 'f' || turn || '.png' AS image FROM conversations")
+@query("SELECT conv_id || '.' || turn || ':said:' || ':' || role AS id, 'said' AS question, text AS state, role AS label, 'f' || turn || '.png' AS image FROM conversations")
 def items_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to items, to rows and to items again."""
     c = table(spark, sf_dir, "conversations")
     step = F.concat_ws(".", "conv_id", "turn")
     meta = F.struct(step.alias("step_id"), F.lit("s").alias("site"), F.lit(None).cast("string").alias("candidate"), F.col("role").alias("which"))
     target = F.array(F.struct(F.lit("said").alias("qid"), F.col("role").alias("hard"), F.lit(None).cast("double").alias("p_yes")))
-    rows = c.select(F.left("text", F.lit(10)).alias("state"), F.array(F.concat(F.lit("/a/b/f"), F.col("turn").cast("string"), F.lit(".png"))).alias("images"), F.array(B.question("said", "choice", F.lit("Who?"))).alias("questions"), target.alias("targets"), meta.alias("meta"))
+    rows = c.select(F.col("text").alias("state"), F.array(F.concat(F.lit("/a/b/f"), F.col("turn").cast("string"), F.lit(".png"))).alias("images"), F.array(B.question("said", "choice", F.lit("Who?"))).alias("questions"), target.alias("targets"), meta.alias("meta"))
     again = I.to_rows(B.to_items(rows), "/img").withColumn("targets", F.transform("targets", lambda t: F.struct(t["qid"].alias("qid"), t["hard"].alias("hard"), F.lit(None).cast("double").alias("p_yes"))))
     return B.to_items(again).select("id", "question", "state", "label", F.element_at("images", 1).alias("image"))
 
@@ -51,13 +51,13 @@ def element_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", I.described(F.lit("part"), {"name": F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_name")), "brand": F.col("p_brand")}).alias("descr"))
 
 
-@query("""WITH v AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'effect' ELSE 'done' END AS q, CASE WHEN doc_id % 2 = 0 THEN 'after' ELSE 'before' END AS w, left(text, 5) AS b, right(text, 5) AS a FROM documents)
+@query("""WITH v AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'effect' ELSE 'done' END AS q, CASE WHEN doc_id % 2 = 0 THEN 'after' ELSE 'before' END AS w, text AS b, lang || text AS a FROM documents)
 SELECT doc_id, 's' || 'Elements:' || chr(10) || CASE WHEN q = 'effect' THEN 'Before:' || chr(10) || b || chr(10) || 'After:' || chr(10) || a WHEN w = 'after' THEN a ELSE b END AS view FROM v""")
 def text_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     q = F.when(F.col("doc_id") % 3 == 0, "effect").otherwise("done")
     w = F.when(F.col("doc_id") % 2 == 0, "after").otherwise("before")
-    return d.select("doc_id", I.text_view(q, w, F.lit("s"), F.left("text", F.lit(5)), F.right("text", F.lit(5))).alias("view"))
+    return d.select("doc_id", I.text_view(q, w, F.lit("s"), F.col("text"), F.concat("lang", "text")).alias("view"))
 
 
 _NEAR = """d AS (SELECT a.p_partkey AS part, b.p_partkey AS other, abs(a.p_size - b.p_size) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey),

@@ -70,8 +70,8 @@ def ratio_to_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH v AS (SELECT event_type, list_sort(list(value)) AS v, count(*)::BIGINT AS n, median(value) AS m FROM events GROUP BY event_type)
 SELECT event_type, round(m, 6) AS median, round(v[n // 2 + 1], 6) AS upper_median, round(v[greatest(0, floor(n * 0.9)::BIGINT - 1) + 1], 6) AS p90 FROM v""")
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.median("value").alias("median"), M.upper_median("value").alias("upper_median"), M.nth_percentile("value", 0.9).alias("p90"))
-    return rounded(e, "median", "upper_median", "p90")
+    e = M.nth_values(table(spark, sf_dir, "events"), ["event_type"], "value", {"low": M.lower_middle, "upper_median": M.upper_middle, "p90": M.percentile_place(0.9)})
+    return rounded(e.select("event_type", ((F.col("low") + F.col("upper_median")) / 2).alias("median"), "upper_median", "p90"), "median", "upper_median", "p90")
 
 
 @query("""WITH c AS (SELECT event_type AS tokenizer, 'f' || (user_id % 3) AS family, (event_id % 10)::INT AS expected, [(event_id % 9)::INT, (event_id % 8)::INT] AS cand FROM events),
