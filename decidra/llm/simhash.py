@@ -202,6 +202,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, groups:
 
 PARITY = 8
 _SLACK = 1e-9
+#: Members of a cell beyond which its components first meet by their nearest pairs, which spares most of the others.
+CROWDED = 32
 #: Counters of shingles by hash: about this many for each row, as a power of two between these bounds (16 MB at most).
 COUNTERS, LEAST_BITS, MOST_BITS, SLICES = 4, 16, 22, 16
 
@@ -389,8 +391,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dist
     Rows are linked if the Jaccard similarity of their shingle sets is at least similarity; groups are what links reach.
     The first candidates are SimHash links of the shingles within distance, and each row with the smallest of every cell
     it shares. A cell is a shingle of least count; each pair of at least this similarity shares one, so none is missed
-    when members of a cell that are in different components so far meet: first the two nearest of each two components,
-    last all of them. Every link is verified on the sets.
+    when members of a cell that are in different components so far meet: in cells of very many first the two nearest of
+    each two components, last all of them. Every link is verified on the sets.
     Texts without words stay.
     """
     key = unused(docs, "_rid")
@@ -418,7 +420,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dist
     texts = plain.select(F.col("rid").alias("id"), "text")
 
     entries = nodes.select("id", F.col("n").cast("int").alias("n"), F.explode("cells").alias("cell"))
-    shared = entries.groupBy("cell").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("hub")).where("m > 1").select("cell", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    shared = entries.groupBy("cell").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("hub")).where("m > 1").select("cell", "m", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
     shared = written(shared, "shared")
     members = written(entries.join(shared.hint("merge"), "cell"), "members")
     hubs = members.where((F.col("id") != F.col("hub")) & _sizes(similarity, "n", "hub_n")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
@@ -428,7 +430,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dist
     tried = written(tried.where(_sizes(similarity, "an", "bn") & _possible(similarity, "a", "b")).select("a", "b"), "tried")
     parts = merged(written(nodes.select("id", F.col("id").alias("root")), "parts"), alike(tried, texts, shingle, similarity))
     for best in (True, False):
-        rest = written(other_pairs(members, nodes, parts, similarity, best).join(tried, ["a", "b"], "left_anti"), "rest")
+        met = members.where(F.col("m") > CROWDED) if best else members
+        rest = written(other_pairs(met, nodes, parts, similarity, best).join(tried, ["a", "b"], "left_anti"), "rest")
         parts, tried = merged(parts, alike(rest, texts, shingle, similarity)), tried.union(rest)
     discard(members, nodes, shared)
 

@@ -36,7 +36,7 @@ from .simhash import mixed, shingle_hashes
 SAMPLE, SAMPLE_BYTES, THRESHOLD = 3000, 32 << 20, 0.7
 #: Least texts of a feature, as a number and as a share of toxic ones; share of unlike ones; log odds and G-test of a feature.
 TEXTS, SHARE, UNLIKE, LOG_ODDS, CHANCE = 6, 0.002, 0.6, 1.5, 30.0
-SAME, CLEARER, WINDOW, STEPS, RATE, L2 = 0.8, 2.5, 24, 100, 0.3, 1e-3
+SAME, CLEARER, WINDOW, STEPS, RATE, L2 = 0.8, 2.5, 24, 60, 0.3, 1e-3
 #: Minimal hashes by which unlike texts are told; bytes of the beginnings of words that can be features; words whose
 #: features a worker remembers; neighbouring words with a weight.
 WIDTH, BEGINNINGS, REMEMBERED, COMMON = 4, range(3, 10), 300_000, 200
@@ -106,29 +106,34 @@ def candidates(rows: list[tuple[bytes, int]]) -> set[bytes]:
 
 
 def counted(docs: DataFrame, known: DataFrame, features: set[bytes]) -> tuple[tuple[int, int], dict[bytes, tuple[int, int]]]:
-    """Clean and toxic labelled texts, and how many of either hold each feature; only sums for the features return."""
-    wanted = docs.sparkSession.sparkContext.broadcast(features)
+    """Clean and toxic labelled texts, and how many of either hold each feature.
+
+    Texts stay where they are: the numbers of a text's features meet its label, and only sums for the features return.
+    """
+    names = sorted(features)
+    wanted = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, sums, memo = wanted.value, defaultdict(lambda: [0, 0]), {}
+        numbers, memo = wanted.value, {}
         for batch in batches:
-            for text, y in zip(bytes_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                sums[b""][y] += 1
-                own: set[bytes] = set()
+            own = []
+            for text in bytes_of(batch.column(1)):
+                held: set[int] = set()
                 for w in set(alnum_words(text)):
                     if (fs := memo.get(w)) is None:
                         if len(memo) >= REMEMBERED:
                             memo.clear()
-                        fs = memo[w] = tuple(f for f in features_of(w) if f in features)
+                        fs = memo[w] = tuple(numbers[f] for f in features_of(w) if f in numbers)
                     if fs:
-                        own.update(fs)
-                for f in own:
-                    sums[f][y] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), *(pa.array([x[y] for x in sums.values()], pa.int64()) for y in (0, 1))], names=["f", "clean", "toxic"])
+                        held.update(fs)
+                own.append(sorted(held))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "f"])
 
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic").mapInArrow(run, "f binary, clean long, toxic long")
-    out = {bytes(r["f"]): (r["c"], r["t"]) for r in rows.groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).collect()}
-    return out.pop(b"", (0, 0)), out
+    rows = docs.select("doc_id").join(known, "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()
+    n = {r["toxic"]: r["n"] for r in rows}
+    held = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f array<int>").where("size(f) > 0").join(known, "doc_id")
+    sums = held.select(F.explode("f").alias("f"), "toxic").groupBy("f").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).collect()
+    return (n.get(0, 0), n.get(1, 0)), {names[r["f"]]: (r["clean"], r["toxic"]) for r in sums}
 
 
 def log_odds(toxic: int, clean: int, n: tuple[int, int]) -> float:
@@ -281,7 +286,7 @@ def fit(rows: list[tuple[bytes, int]], telling: set[bytes]) -> Chain:
     for text, y in rows:
         words = alnum_words(text)
         marks = [i for i, w in enumerate(words) if feature(w)]
-        for at in marks[:4] if marks else [0] if words else []:
+        for at in marks[:2] if marks else [0] if words else []:
             low = max(0, at - WINDOW // 2)
             found = [(f, *(c for c in around(words, i) if c[:1] == b"#" or c[1:] in often)) if (f := feature(words[i])) else () for i in range(low, min(len(words), low + WINDOW))]
             windows.append((found, y))
