@@ -55,6 +55,13 @@ def choice_confidence(p: Column) -> Column:
     return F.when(F.size(p) <= 1, F.lit(1.0)).otherwise((F.array_max(p) - chance) / (1 - chance))
 
 
+def power_mod(base: Column, exponent: Column, modulus: Column) -> Column:
+    """base ** exponent % modulus by squaring; for moduli below 2 ** 31 and exponents from 0 on."""
+    start = F.struct((F.lit(1).cast("long") % modulus).alias("out"), (base % modulus).cast("long").alias("square"), exponent.cast("long").alias("left"))
+    step = lambda a, _: F.struct(F.when(a["left"] % 2 == 1, a["out"] * a["square"] % modulus).otherwise(a["out"]).alias("out"), (a["square"] * a["square"] % modulus).alias("square"), F.floor(a["left"] / 2).alias("left"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, step, lambda a: a["out"])
+
+
 def arg_max(p: Column) -> Column:
     """Place of the largest value from 0 on; of equal ones the first."""
     return F.array_position(p, F.array_max(p)) - 1

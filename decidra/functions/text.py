@@ -180,3 +180,14 @@ def signature(elements: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     return F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double"))
+
+
+def digit_pieces(text: Column) -> Column:
+    """Number of pieces where each digit stands alone and what is between digits is one piece."""
+    return F.regexp_count(text, F.lit(r"\d")) + F.regexp_count(text, F.lit(r"\D+"))
+
+
+def byte_codes(text: Column, n: int) -> Column:
+    """The first n bytes of a text in UTF-8, with zeros after a shorter one."""
+    digits = F.rpad(F.substring(F.hex(F.encode(F.left(F.coalesce(text, F.lit("")), F.lit(n)), "UTF-8")), 1, 2 * n), 2 * n, "0")
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))

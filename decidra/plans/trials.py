@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from decidra.streaming import logs
 
 from .registry import query
 from .scoring import rounded, scored
-from .standins import SCORED_SQL, episodes, table
+from .standins import SCORED_SQL, episodes, scratch, table
 
 _TRIALS = """t AS (SELECT event_type AS family, (user_id % 8) AS target, (user_id % 8) * 100 + event_id % 13 AS billed, (user_id % 8) * 90 + event_id % 7 AS qwen, ((user_id % 8) * 3 + value)::DOUBLE AS ms, CASE WHEN event_id % 29 = 0 THEN 500 ELSE 200 END AS status FROM events)"""
 
@@ -164,8 +162,7 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT event_type, sum(value) AS v, count(*) AS n FROM events GROUP BY 1) SELECT event_type, n, round(v, 2) AS total FROM t""")
 def log_tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a file stream: drained into a table once, then summed."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="decidra-")
-    path = f"{base}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{spark.sparkContext._jvm.System.nanoTime()}"
+    path = scratch(spark)
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     logs.drained(stream.select("event_type", "value"), f"{path}/out", f"{path}/state")

@@ -48,20 +48,23 @@ class _Elements(HTMLParser):
                 if element and element["own"]:
                     element["text"] += data
 
-    def elements(self) -> list[dict]:
+    def elements(self, most: int | None, text: int | None) -> list[dict]:
         out = []
         for e in self.found:
-            text = " ".join(e["text"].split())[:TEXT]
-            if text or e["tag"] in _FIELDS:
-                out.append(e | {"text": text})
-        return out[:MOST]
+            words = " ".join(e["text"].split())[:text]
+            if words or e["tag"] in _FIELDS:
+                out.append(e | {"text": words})
+        return out[:most]
 
 
 _SCHEMA = "page_id long, idx int, tag string, type string, text string, href string, value string"
 
 
-def candidates(pages: DataFrame) -> DataFrame:
-    """Elements of pages (page_id, html) in order, numbered from 1; a null page has none."""
+def candidates(pages: DataFrame, most: int | None = MOST, text: int | None = TEXT) -> DataFrame:
+    """Elements of pages (page_id, html) in order, numbered from 1; a null page has none.
+
+    As a chooser reads them, a page has `most` elements and a name `text` characters; None stands for all.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [x.split()[0] for x in _SCHEMA.split(", ")]
@@ -70,7 +73,7 @@ def candidates(pages: DataFrame) -> DataFrame:
             for page, html in zip(frame["page_id"].tolist(), frame["html"].tolist(), strict=True):
                 parser = _Elements()
                 parser.feed(html or "")
-                rows += [(page, i, e["tag"], e["type"], e["text"], e["href"], e["value"]) for i, e in enumerate(parser.elements(), 1)]
+                rows += [(page, i, e["tag"], e["type"], e["text"], e["href"], e["value"]) for i, e in enumerate(parser.elements(most, text), 1)]
             yield pd.DataFrame(rows, columns=columns)
 
     return pages.select("page_id", "html").mapInPandas(run, _SCHEMA)

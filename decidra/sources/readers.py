@@ -57,8 +57,11 @@ def log_fields(lines: DataFrame, pattern: str, names: dict[str, str], column: st
 
 
 def with_order(df: DataFrame, name: str = "ord") -> DataFrame:
-    """The place of a row in the order in which a stored table is read, for first-wins and last-wins rules."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """The file of a row of a stored table and its place in it, for first-wins and last-wins rules.
+
+    They are the same however the files are split and however many cores read them.
+    """
+    return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name))
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+#: Rows of a report, which become one text.
+MOST_LINES = 10_000
+
 
 def json_lines(rows: DataFrame, path: str, by: str | None = None, mode: str = "errorifexists") -> None:
     """Null fields are left out; with by a folder per value."""
@@ -49,7 +52,9 @@ def moved(images: Column, old: str, new: str) -> Column:
 
 
 def report_json(report: DataFrame) -> DataFrame:
-    """One JSON text of a small report, a row per line in the order of its first column."""
+    """One JSON text of a report in the order of its first column; more than MOST_LINES rows are an error."""
+    if report.limit(MOST_LINES + 1).count() > MOST_LINES:
+        raise ValueError(f"a report must have at most {MOST_LINES} rows")
     rows = report.select(F.struct(*report.columns).alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
     return rows.select(F.to_json("rows").alias("json"))
 

@@ -253,3 +253,42 @@ def test_pack_layout_takes_all_turns(spark, tmp_path):
     spark.range(1200).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "'one two' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
     got = plans.pack_layout(spark, str(tmp_path)).first()
     assert (got.length, got.reads) == (2 + 1199 * (2 + 2 + 2 * 3), 1199)
+
+
+def test_order_of_a_stored_table_is_the_same_at_each_read(spark, tmp_path):
+    spark.range(3000).repartition(4).write.parquet(f"{tmp_path}/t")
+    seen = []
+    for size in ("134217728", "2048"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        seen.append({r.id: tuple(r.ord) for r in readers.with_order(spark.read.parquet(f"{tmp_path}/t")).collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == 3000
+
+
+def test_places_of_sorted_values(spark):
+    """Ties, nulls, a group of one and a null group, against sorting."""
+
+    rng = random.Random(1)
+    rows = [(g, rng.choice([None, rng.randint(0, 40) / 4, rng.random() * 1e6])) for g in ["a", "b", None] for _ in range(700)] + [("one", 3.5)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r for r in metrics.nth_values(frame, ["g"], "v", {"low": metrics.lower_middle, "high": metrics.upper_middle, "p90": metrics.percentile_place(0.9)}).collect()}
+    for g in ("a", "b", None, "one"):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert (got[g].low, got[g].high, got[g].p90) == (v[(len(v) - 1) // 2], v[len(v) // 2], v[max(0, int(len(v) * 0.9) - 1)])
+    places = [(r.v, r.i) for r in metrics.numbered(frame.where("v is not null"), [], "v", "i").orderBy("i").collect()]
+    assert [i for _, i in places] == list(range(len(places))) and [v for v, _ in places] == sorted(v for _, v in rows if v is not None)
+
+
+def test_elements_without_bounds(spark):
+    page = "".join(f"<a href=x{i}>{'word ' * 30}{i}</a>" for i in range(200))
+    pages = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    bound, every = dom.candidates(pages).collect(), dom.candidates(pages, None, None).collect()
+    assert (len(bound), len(every)) == (120, 200) and max(len(r.text) for r in bound) == 60 and every[-1].text.endswith(" 199")
+
+
+def test_large_options_and_reports_are_errors(spark):
+
+    with pytest.raises(ValueError):
+        writers.report_json(spark.range(writers.MOST_LINES + 1))
+    with pytest.raises(ValueError):
+        sampling.distractors(spark.range(1).withColumn("gold", F.lit("1")), "id", "gold", spark.range(sampling.MOST_OPTIONS + 1).withColumn("o", F.col("id").cast("string")), "o", 3, "1")
