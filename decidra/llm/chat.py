@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import running
 from .common import written
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
@@ -77,9 +78,9 @@ def formatted(nodes: DataFrame, best: int | None = None) -> DataFrame:
     rows = steps.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     turn = F.concat(F.lit(START), escaped(F.col("role")), F.lit(SEP), escaped(F.col("text")), F.lit(END))
     parts = rows.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("role") == "assistant").alias("learned"), F.length(escaped(F.col("text"))).alias("size"), turn.alias("turn")))).alias("turns"))
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,size:int>>").alias("spans"))
-    tail = len(END)
-    loss = F.aggregate("turns", zero, lambda a, x: F.struct((a["end"] + F.length(x["turn"])).alias("end"), F.when(x["learned"], F.concat(a["spans"], F.array(F.struct((a["end"] + F.length(x["turn"]) - tail - x["size"] + 1).alias("start"), x["size"].alias("size"))))).otherwise(a["spans"]).alias("spans")), lambda a: a["spans"])
+    ends = running(F.transform("turns", lambda x: F.length(x["turn"])), lambda a, b: a + b)
+    placed = F.zip_with("turns", ends, lambda x, end: F.struct(x["learned"].alias("learned"), (end - len(END) - x["size"] + 1).alias("start"), x["size"].alias("size")))
+    loss = F.transform(F.filter(placed, lambda x: x["learned"]), lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size")))
     return parts.select("tree", "leaf", "rank", F.size("turns").cast("long").alias("turns"), F.array_join(F.transform("turns", lambda x: x["turn"]), "").alias("output"), loss.alias("loss"))
 
 

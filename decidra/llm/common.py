@@ -66,6 +66,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    _delete(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables of written() that nothing reads any more, not even to compute lost parts again."""
     for t in tables:
@@ -73,6 +78,25 @@ def discard(*tables: DataFrame) -> None:
         _written.remove((t.sparkSession, t._scratch))
 
 
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Scratch tables that are written inside go at the end; what reads them must be stored before."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[before:]:
+            with contextlib.suppress(Exception):
+                _delete(spark, path)
+        del _written[before:]
+
+
+def kept_until_exit(spark: SparkSession, path: str) -> str:
+    """path, which is removed when the process ends."""
+    _written.append((spark, path))
+    return path
+
+
 def drop_written() -> None:
     """Removes the scratch tables of this process; results that still read them must be stored first."""
     while _written:

@@ -22,11 +22,11 @@ Defined cases: null counts as empty; rows with the same doc_id are separate rows
 from __future__ import annotations
 
 import string
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import let, running
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -76,36 +76,11 @@ def _test(kind: str):
     return lambda span: _holds(kind, span["value"])
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def plain_lower(text: Column) -> Column:
     """A-Z in lower case."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
-    """combine over all values up to each one (integers, at least 0), block by block.
-
-    An array grows by copying, so blocks have about as many values as there are blocks.
-    """
-    none = F.array().cast("array<int>")
-    last = lambda a: F.when(F.size(a) > 0, F.element_at(a, -1)).otherwise(F.lit(0))
-    grown = lambda a, x: F.concat(a, F.array(combine(last(a), x)))
-
-    def blocks(v: Column) -> Column:
-        size = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), size), lambda at: F.aggregate(F.slice(v, at + 1, size), none, grown))
-
-    def joined(b: Column) -> Column:
-        before = F.aggregate(b, F.array(F.lit(0)), lambda a, block: F.concat(a, F.array(combine(F.element_at(a, -1), last(block)))))
-        return F.flatten(F.zip_with(b, before, lambda block, x: F.transform(F.coalesce(block, none), lambda y: combine(x, y))))
-
-    return let(let(values, blocks), joined)
-
-
 def found(text: Column, pattern: str, rank: int) -> Column:
     """Spans of all matches: the texts between them, split off by the same pattern, give their places."""
 
