@@ -173,7 +173,8 @@ def aligned(codes: np.ndarray, idf: np.ndarray) -> dict[str, float]:
             if more:  # all words of the template vote
                 starts = voted(known, codes, k, sorted(present), max(2, len(present) // 2), band)
             for start in starts.tolist():
-                if ((phrases[label] >= start - band) & (phrases[label] < start + len(template) + band)).any():
+                # A place within the band on each side of where the alignment can lie.
+                if ((phrases[label] >= start - 2 * band) & (phrases[label] < start + len(template) + 2 * band)).any():
                     share = in_place(codes, template, start, band)
                     if share >= SHARE and share > best.get(label, 0):
                         best[label] = share

@@ -249,3 +249,18 @@ def chain_score(chain, text):
         behind.append(m / m.sum())
     both = [a * b for a, b in zip(ahead, reversed(behind), strict=True)] if w else []
     return chain.score([x[1] / x.sum() for x, f in zip(both, own, strict=True) if f])
+
+
+def license_labels(text, templates, mandatory, share, shift):
+    """Label -> best share over every place at which a template could begin, with a mandatory phrase inside."""
+    w, best = words(text), {}
+    for label, texts in templates.items():
+        starts = [i for p in mandatory[label] for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        for t in (x.split() for x in texts):
+            band = len(t) // shift
+            for at in range(-len(t), len(w)) if starts else ():
+                if any(at - band <= s < at + len(t) + band for s in starts):
+                    hit = sum(any(0 <= at + j + d < len(w) and w[at + j + d] == x for d in range(-band, band + 1)) for j, x in enumerate(t)) / len(t)
+                    if hit >= share and hit > best.get(label, 0):
+                        best[label] = hit
+    return best

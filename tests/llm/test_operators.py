@@ -411,6 +411,26 @@ def test_license_words_more_or_less(spark):
     assert {r.doc_id: r.labels for r in licenses.scan(docs_frame(spark, rows)).collect()} == {1: ["isc"], 2: ["mit"], 3: [], 4: ["gpl"]}
 
 
+def test_license_labels_equal_plain_version(spark):
+    """Labels of the sample documents and of notices with words changed, against every possible place."""
+    rng = random.Random(12)
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    for k, (label, texts) in enumerate(licenses.TEMPLATES.items()):
+        words = texts[-1].split()
+        for share in (0.1, 0.5):
+            changed = [f"c{rng.randint(0, 99)}" if rng.random() < share else x for x in words]
+            rows.append((10_000 + 10 * k + int(10 * share), f"{prose(8, rng)} {' '.join(changed)} {prose(8, rng)} {licenses.MANDATORY[label][0]}"))
+    got = {r.doc_id: r for r in licenses.scan(docs_frame(spark, rows)).collect()}
+    seen = set()
+    for doc, text in rows:
+        best = brute.license_labels(text, licenses.TEMPLATES, licenses.MANDATORY, licenses.SHARE, licenses.SHIFT)
+        base = {x for x in brute.licenses([(doc, text)])[doc][4].split(",") if x}
+        assert set(got[doc].labels) == base | set(best)
+        assert got[doc].score <= max([0.5 * bool(base), *best.values()]) and (not set(best) - base or got[doc].score >= licenses.SHARE)
+        seen |= set(best)
+    assert len(seen) >= 8
+
+
 def test_warc_equals_plain_version(spark, data):
     """The sample pages, a page with awkward marks, and the fixture's null and repeated rows."""
     pages = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").collect()]
