@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, bytes_of, discard, unused, with_row_id, written
+from .common import blank_words, bytes_of, discard, small, unused, with_row_id, written
 from .graph import components
 
 SEED, SEGMENTS, BLOCK = 42, 32, 512
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """_rid, doc_id and the fingerprint as a signed long, for rows of _rid, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             prints = [_signed(fingerprint(x, shingle)) for x in bytes_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], names=["_rid", "doc_id", "fp"])
 
@@ -247,7 +247,7 @@ def shingle_counts(texts: DataFrame, shingle: int, bits: int) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
+        for batch in small(batches):
             for text in bytes_of(batch.column(0)):
                 np.add.at(counts, (shingle_set(text, shingle) >> np.uint64(64 - bits)).astype(np.int64), 1)
         yield packed({k: counts[k * width : (k + 1) * width] for k in range(SLICES)})
@@ -351,7 +351,7 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             hashes = [shingle_set(t, shingle) for t in bytes_of(batch.column(1))]
             wide = [parity(h, max(64, 1 << (2 * len(h) - 1).bit_length())).tobytes() for h in hashes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in hashes], pa.int64()), pa.array(wide, pa.binary()), pa.array([h.tobytes() for h in hashes], pa.binary())], names=["id", "n", "wide", "hashes"])
@@ -402,7 +402,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dist
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(plain, shingle, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             every = [shingle_hashes(blank_words(t), shingle) for t in bytes_of(batch.column(2))]
             keep = pa.array([len(s) > 0 for s in every], pa.bool_())
             prints = pa.array([_signed(majority(s)) for s in every if len(s)], pa.int64())

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alnum_words, bytes_of
+from .common import alnum_words, bytes_of, small
 from .simhash import mixed, shingle_hashes
 
 SAMPLE, SAMPLE_BYTES, THRESHOLD = 3000, 32 << 20, 0.7
@@ -39,7 +39,7 @@ TEXTS, SHARE, UNLIKE, LOG_ODDS, CHANCE = 6, 0.002, 0.6, 1.5, 30.0
 SAME, CLEARER, WINDOW, STEPS, RATE, L2 = 0.8, 2.5, 24, 60, 0.3, 1e-3
 #: Minimal hashes by which unlike texts are told; bytes of the beginnings of words that can be features; words whose
 #: features a worker remembers; neighbouring words with a weight.
-WIDTH, BEGINNINGS, REMEMBERED, COMMON = 4, range(3, 10), 300_000, 200
+WIDTH, BEGINNINGS, REMEMBERED, COMMON = 4, range(3, 10), 100_000, 200
 #: A word counts as carrying a weight from here on.
 LEAST_WEIGHT = 1.0
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -115,7 +115,7 @@ def counted(docs: DataFrame, known: DataFrame, features: set[bytes]) -> tuple[tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, memo = wanted.value, {}
-        for batch in batches:
+        for batch in small(batches):
             own = []
             for text in bytes_of(batch.column(1)):
                 held: set[int] = set()
@@ -367,7 +367,7 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = model.value
-        for batch in batches:
+        for batch in small(batches):
             scores, spans = [], []
             for text in bytes_of(batch.column(2)):
                 places, marginals = chain.tagged(alnum_words(text))
@@ -385,7 +385,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = model.value
-        for batch in batches:
+        for batch in small(batches):
             scores = [chain.score(chain.tagged(alnum_words(text))[1]) for text in bytes_of(batch.column(at))]
             yield batch.filter(pa.array([x < threshold for x in scores], pa.bool_()))
 
