@@ -142,11 +142,12 @@ def voted(known: np.ndarray, codes: np.ndarray, template: int, words: list[int],
     return np.unique(np.array(out, np.int64))
 
 
-def in_place(codes: np.ndarray, template: np.ndarray, start: int, band: int) -> float:
-    """Share of the template's words that stand within band words of their places."""
-    at = start + np.arange(len(template)) + np.arange(-band, band + 1)[:, None]
+def shares(codes: np.ndarray, template: np.ndarray, start: int, band: int) -> np.ndarray:
+    """For each start within band of this one the share of the template's words that stand within band words of their places."""
+    at = start + np.arange(len(template)) + np.arange(-2 * band, 2 * band + 1)[:, None]
     same = (codes[np.clip(at, 0, len(codes) - 1)] == template) & (at >= 0) & (at < len(codes))
-    return float(same.any(axis=0).mean())
+    upto = np.concatenate((np.zeros((1, len(template)), np.int64), np.cumsum(same, axis=0)))
+    return (upto[2 * band + 1 :] > upto[: 2 * band + 1]).mean(axis=1)
 
 
 def aligned(codes: np.ndarray, idf: np.ndarray) -> dict[str, float]:
@@ -173,11 +174,11 @@ def aligned(codes: np.ndarray, idf: np.ndarray) -> dict[str, float]:
             if more:  # all words of the template vote
                 starts = voted(known, codes, k, sorted(present), max(2, len(present) // 2), band)
             for start in starts.tolist():
-                # A place within the band on each side of where the alignment can lie.
-                if ((phrases[label] >= start - 2 * band) & (phrases[label] < start + len(template) + 2 * band)).any():
-                    share = in_place(codes, template, start, band)
-                    if share >= SHARE and share > best.get(label, 0):
-                        best[label] = share
+                near = start + np.arange(-band, band + 1)
+                inside = np.searchsorted(phrases[label], near + len(template) + band) > np.searchsorted(phrases[label], near - band)
+                share = float(np.where(inside, shares(codes, template, start, band), 0.0).max())
+                if share >= SHARE and share > best.get(label, 0):
+                    best[label] = share
             if label in best:
                 break
     return best

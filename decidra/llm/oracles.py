@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, over whole tables."""
 
+from .licenses import MANDATORY, PHRASES, SHARE, SHIFT, TEMPLATES
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TEXT = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
 _WORDS = rf"regexp_extract_all({_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -82,4 +84,24 @@ o AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (ran
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, sha256(coalesce(clean, t)) AS sanitised_sha256
 FROM d LEFT JOIN o USING (doc_id)"""
 
-ORACLES = {"op4_pii": PII, "op1_decontamination": DECONTAMINATION, "op2_chat_formatting": CHAT, "op9_exact_dedup": EXACT, "op10_suffix_array_dedup": REPEATS}
+_TEMPLATES = ", ".join(f"({k}, '{label}', '{' '.join(t.split())}')" for k, (label, t) in enumerate((label, t) for label, texts in TEMPLATES.items() for t in texts))
+_MANDATORY = ", ".join(f"('{label}', '{p}')" for label, texts in MANDATORY.items() for p in texts)
+_PHRASES = ", ".join(f"('{label}', '{p}')" for label, p in PHRASES.items())
+
+LICENSES = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT t, label, string_split(body, ' ') AS words, len(string_split(body, ' ')) AS n, len(string_split(body, ' ')) // {SHIFT} AS band FROM (VALUES {_TEMPLATES}) AS v(t, label, body)),
+m AS (SELECT label, string_split(body, ' ') AS words FROM (VALUES {_MANDATORY}) AS v(label, body)), b AS (SELECT label, string_split(body, ' ') AS words FROM (VALUES {_PHRASES}) AS v(label, body)),
+place AS (SELECT doc_id, s, w[s + 1] AS word, w FROM d, unnest(range(len(w))) AS r(s)),
+base AS (SELECT doc_id, label, s FROM place JOIN b ON b.words[1] = word AND w[s + 1:s + len(b.words)] = b.words),
+phrase AS (SELECT DISTINCT doc_id, label, s FROM place JOIN m ON m.words[1] = word AND w[s + 1:s + len(m.words)] = m.words),
+tw AS (SELECT t, label, n, band, j, words[j + 1] AS word FROM t, unnest(range(n)) AS r(j)),
+hit AS (SELECT DISTINCT doc_id, t, j, s - j + o AS start FROM place JOIN tw USING (word), unnest(range(-band, band + 1)) AS r(o) WHERE (doc_id, label) IN (SELECT (doc_id, label) FROM phrase)),
+share AS (SELECT doc_id, t, start, count(*) AS c FROM hit GROUP BY ALL),
+found AS (SELECT share.doc_id, t.label, max(c / t.n) AS share FROM share JOIN t USING (t) JOIN phrase p ON p.doc_id = share.doc_id AND p.label = t.label AND p.s >= start - band AND p.s < start + t.n + band WHERE c / t.n >= {SHARE} GROUP BY ALL),
+x AS (SELECT doc_id, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+y AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION ALL SELECT doc_id, label FROM found) GROUP BY doc_id), z AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, greatest(coalesce(share, 0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)"""
+
+ORACLES = {"op4_pii": PII, "op6_license_scan": LICENSES, "op1_decontamination": DECONTAMINATION, "op2_chat_formatting": CHAT, "op9_exact_dedup": EXACT, "op10_suffix_array_dedup": REPEATS}
