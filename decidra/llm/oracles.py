@@ -104,4 +104,57 @@ y AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FR
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, greatest(coalesce(share, 0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
 FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)"""
 
-ORACLES = {"op4_pii": PII, "op6_license_scan": LICENSES, "op1_decontamination": DECONTAMINATION, "op2_chat_formatting": CHAT, "op9_exact_dedup": EXACT, "op10_suffix_array_dedup": REPEATS}
+_TAGS = "p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|main|aside|blockquote|pre|td|th|hr|form|title|body|html"
+_SKIPPED = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{x}\b[^>]*>.*?(?:</{x}\s*>|\z)" for x in ("script", "style", "template", "noscript", "svg", "head"))
+_ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&amp;": "&", "&amp": "&"}  # those that the sample pages hold
+_HEX = ", ".join(f"'{k:04b}'" for k in range(16))
+_CRLF = "chr(13) || chr(10)"
+_UNQUOTED = "trim(x, '\"''')"
+
+
+def _unescaped(x: str) -> str:
+    for entity, text in _ENTITIES.items():
+        x = f"replace({x}, '{entity}', '{text}')"
+    return x
+
+
+def _squeezed(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def _plain(x: str) -> str:
+    cut = rf"regexp_replace(regexp_replace(regexp_replace({x}, '{_SKIPPED}', ' ', 'g'), '(?i)</?(?:{_TAGS})\b[^>]*>', chr(10), 'g'), '</?[a-zA-Z!?][^>]*>', '', 'g')"
+    return f"array_to_string([y for y in [{_squeezed('line')} for line in string_split({_unescaped(cut)}, chr(10))] if y <> ''], chr(10))"
+
+
+def _digest(x: str) -> str:
+    bits = f"array_to_string([([{_HEX}])[('0x' || c)::INT + 1] for c in string_split(sha1({x}), '')], '')"
+    five = f"[substr({bits}, 5 * i + 1, 5) for i in range(32)]"
+    value = "16 * b[1]::INT + 8 * b[2]::INT + 4 * b[3]::INT + 2 * b[4]::INT + b[5]::INT"
+    return f"'sha1:' || array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {value} + 1, 1) for b in {five}], '')"
+
+
+def _record_id(*names: str) -> str:
+    h = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || " + " || unhex('00') || ".join(f"encode({x})" for x in names) + ")"
+    variant = f"substr('89ab', ('0x' || substr({h}, 17, 1))::INT % 4 + 1, 1)"
+    return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
+
+
+_TITLE = r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)"
+_HREFS = r"""regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1)"""
+_PAGE_LANG = r"""regexp_extract(html, '(?i)<html\b[^>]*?\blang\s*=\s*["'']?([\w-]+)', 1)"""
+
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+s AS (SELECT *, {_digest("html")} AS sha, octet_length(encode(html)) AS size, {_plain("html")} AS text, {_plain(_TITLE)} AS title, {_PAGE_LANG} AS lang, [{_squeezed(_unescaped(_UNQUOTED))} for x in {_HREFS}] AS links FROM p),
+r AS (SELECT *, {_record_id("'response'", "page_id::VARCHAR", "url", "sha")} AS source FROM s),
+c AS (SELECT *, {_record_id("'conversion'", "source")} AS conversion, {_record_id("'metadata'", "source")} AS metadata FROM r),
+b AS (SELECT page_id, 'conversion' AS kind, conversion AS record_id, 'text/plain' AS content_type, text AS block, source, url, sha, size FROM c UNION ALL
+  SELECT page_id, 'metadata', metadata, 'application/warc-fields', 'title: ' || {_squeezed("title")} || {_CRLF} || 'language: ' || lang || {_CRLF} || 'conversion: ' || conversion || {_CRLF} || 'characters: ' || len(text) || {_CRLF} || 'links: ' || len(links) || {_CRLF}
+  || 'source-header: Content-Type: text/html; charset=utf-8' || {_CRLF} || 'source-header: Content-Length: ' || size || {_CRLF} || array_to_string(['outlink: ' || x || {_CRLF} for x in links], ''), source, url, sha, size FROM c),
+o AS (SELECT *, {_digest("encode(block)")} AS block_digest, octet_length(encode(block)) AS n FROM b)
+SELECT page_id, kind, record_id, source AS refers_to, url AS target_uri, '1970-01-01T00:00:00Z' AS date, content_type, 'Content-Type: text/html; charset=utf-8' || chr(10) || 'Content-Length: ' || size AS source_headers, sha AS source_digest, block_digest, n::BIGINT AS content_length,
+  sha256('WARC/1.1' || {_CRLF} || 'WARC-Type: ' || kind || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF} || 'WARC-Refers-To: ' || source || {_CRLF} || 'WARC-Target-URI: ' || {_squeezed("url")} || {_CRLF} || 'WARC-Date: 1970-01-01T00:00:00Z' || {_CRLF}
+  || 'WARC-Block-Digest: ' || block_digest || {_CRLF} || 'X-Source-Payload-Digest: ' || sha || {_CRLF} || 'Content-Type: ' || content_type || {_CRLF} || 'Content-Length: ' || n || {_CRLF} || {_CRLF} || block || {_CRLF} || {_CRLF}) AS record_sha256 FROM o"""
+
+ORACLES = {"op4_pii": PII, "op7_warc": WARC, "op6_license_scan": LICENSES, "op1_decontamination": DECONTAMINATION, "op2_chat_formatting": CHAT, "op9_exact_dedup": EXACT, "op10_suffix_array_dedup": REPEATS}
