@@ -157,4 +157,52 @@ SELECT page_id, kind, record_id, source AS refers_to, url AS target_uri, '1970-0
   sha256('WARC/1.1' || {_CRLF} || 'WARC-Type: ' || kind || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF} || 'WARC-Refers-To: ' || source || {_CRLF} || 'WARC-Target-URI: ' || {_squeezed("url")} || {_CRLF} || 'WARC-Date: 1970-01-01T00:00:00Z' || {_CRLF}
   || 'WARC-Block-Digest: ' || block_digest || {_CRLF} || 'X-Source-Payload-Digest: ' || sha || {_CRLF} || 'Content-Type: ' || content_type || {_CRLF} || 'Content-Length: ' || n || {_CRLF} || {_CRLF} || block || {_CRLF} || {_CRLF}) AS record_sha256 FROM o"""
 
-ORACLES = {"op4_pii": PII, "op7_warc": WARC, "op6_license_scan": LICENSES, "op1_decontamination": DECONTAMINATION, "op2_chat_formatting": CHAT, "op9_exact_dedup": EXACT, "op10_suffix_array_dedup": REPEATS}
+_M = "18446744073709551615::UHUGEINT"
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+
+
+def _times(x: str, prime: int, more: int = 0) -> str:
+    return f"(({x}) * {prime}::UHUGEINT + {more}::UHUGEINT & {_M})"
+
+
+def _turned(x: str, bits: int) -> str:
+    return f"((({x}) << {bits} & {_M}) | (({x}) >> {64 - bits}))"
+
+
+def _little(offset: str, size: int) -> str:
+    """A little-endian number of size bytes from a place in the hexadecimal digits h."""
+    return "('0x' || " + " || ".join(f"substr(h, {offset} + {2 * k + 1}, 2)" for k in reversed(range(size))) + ")::UHUGEINT"
+
+
+def _reduced(first: str, rest: str, step: str) -> str:
+    return f"list_reduce(list_concat([{first}], {rest}), lambda x, y: {step})"
+
+
+_SEED = 42
+_STRIPES = [(k, (_SEED + add) % 2**64) for k, add in enumerate((_P1 + _P2, _P2, 0, -_P1))]
+_ROUND = _times(_turned("x + " + _times("y", _P2) + f" & {_M}", 31), _P1)
+_LANE = _times(_turned(f"xor(x, {_times(_turned(_times('y', _P2), 31), _P1)})", 27), _P1, _P4)
+_MERGED = [f"a{k + 1} AS (SELECT *, CASE WHEN ns > 0 THEN {_times(f'xor(a{k}, {_times(_turned(_times(f"v{k}", _P2), 31), _P1)})', _P1, _P4)} ELSE a{k} END AS a{k + 1} FROM {'a' + str(k)})" for k in range(4)]
+
+SIMHASH = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_TEXT}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, array_to_string(w[s + 1:s + 4], ' ') AS s FROM d, unnest(range(greatest(len(w) - 3, 1))) AS r(s) WHERE len(w) > 0),
+u AS (SELECT s, hex(encode(s)) AS h, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM g)),
+l AS (SELECT *, n // 32 AS ns, [{_little("16 * i", 8)} for i in range(n // 8)] AS lanes FROM u),
+v AS (SELECT *, {", ".join(f"CASE WHEN ns > 0 THEN {_reduced(f'{start}::UHUGEINT', f'[lanes[4 * i + {k + 1}] for i in range(ns)]', _ROUND)} END AS v{k}" for k, start in _STRIPES)} FROM l),
+a0 AS (SELECT *, CASE WHEN ns > 0 THEN ({" + ".join(_turned(f"v{k}", bits) for k, bits in enumerate((1, 7, 12, 18)))}) & {_M} ELSE {(_SEED + _P5) % 2**64}::UHUGEINT END AS a0 FROM v),
+{", ".join(_MERGED)},
+b AS (SELECT *, {_reduced(f"a4 + n::UHUGEINT & {_M}", "lanes[4 * ns + 1:n // 8]", _LANE)} AS b FROM a4),
+c AS (SELECT *, CASE WHEN n % 8 >= 4 THEN {_times(_turned(f"xor(b, {_times(_little('16 * (n // 8)', 4), _P1)})", 23), _P2, _P3)} ELSE b END AS c FROM b),
+e AS (SELECT *, {_reduced("c", "[('0x' || substr(h, 2 * i + 1, 2))::UHUGEINT for i in range(n // 4 * 4, n)]", _times(_turned(f"xor(x, {_times('y', _P5)})", 11), _P1))} AS e FROM c),
+f AS (SELECT s, {_times("xor(e, e >> 33)", _P2)} AS f FROM e), k AS (SELECT s, {_times("xor(f, f >> 29)", _P3)} AS k FROM f),
+hashed AS (SELECT s, xor(k, k >> 32)::UBIGINT AS x FROM k),
+prints AS (SELECT doc_id, {" + ".join(f"CASE WHEN 2 * sum((x >> {i} & 1)::INT) > count(*) THEN {1 << i}::UBIGINT ELSE 0::UBIGINT END" for i in range(64))} AS fp FROM g JOIN hashed USING (s) GROUP BY doc_id),
+every AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM d LEFT JOIN prints USING (doc_id)), p AS (SELECT fp, min(doc_id) AS first FROM every GROUP BY fp),
+links AS (SELECT x.fp AS one, y.fp AS two FROM p x JOIN p y ON bit_count(xor(x.fp, y.fp)) <= 4),
+reach(fp, other) AS (SELECT fp, fp FROM p UNION SELECT reach.fp, two FROM reach JOIN links ON one = other),
+named AS (SELECT reach.fp, min(first) AS component_id FROM reach JOIN p ON p.fp = other GROUP BY reach.fp)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM every JOIN named USING (fp)"""
+
+ORACLES = {"op4_pii": PII, "op5_simhash": SIMHASH, "op7_warc": WARC, "op6_license_scan": LICENSES, "op1_decontamination": DECONTAMINATION, "op2_chat_formatting": CHAT, "op9_exact_dedup": EXACT, "op10_suffix_array_dedup": REPEATS}
