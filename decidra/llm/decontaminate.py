@@ -1,11 +1,11 @@
 """Benchmark decontamination with a positional inverted index over the training texts.
 
-The index is stored in shards. A shard holds the texts of one batch of a task: for each term of the benchmark its
-positions in the shard, where texts follow each other with a gap wider than a window, so that no match crosses a
-text. Other terms can't be part of a match and have no postings. A window is looked up from its rarest term (by
-the count over the whole index), in the shards that hold this term: its postings, moved by its offset, are the candidate starts, and the postings of
-the other terms, rarest first, are intersected with them. The windows are sent to the shards in blocks of bounded
-size, so the postings never move and no list of a frequent term meets in one task.
+The index is stored in shards, once for all benchmarks. A shard holds the texts of one batch of a task: its words, and for
+each its positions in the shard, where texts follow each other with a gap wider than a window, so that no match crosses
+a text. A window of a benchmark is looked up from its rarest term (by the count over the whole index), in the shards that
+hold this term: its postings, moved by its offset, are the candidate starts, and the postings of the other terms, rarest
+first, are intersected with them. The windows are sent to the shards in blocks of bounded size, so the postings never
+move and no list of a frequent term meets in one task.
 
 Defined cases: null and empty texts have no words; an item without words has no window; repeated items are matched
 each; rows with the same doc_id are separate rows; an empty benchmark hits nothing. A near match counts once for an item.
@@ -29,7 +29,7 @@ REACH = 5
 #: Words of benchmark text in one block of windows, and words of training text in one shard.
 BLOCK_WORDS, SHARD_WORDS = 500_000, 1_500_000
 
-_INDEX = "rids array<long>, docs array<long>, sizes array<int>, terms binary, counts binary, postings binary"
+_INDEX = "rids array<long>, docs array<long>, sizes array<int>, words binary, counts binary, postings binary"
 
 
 def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
@@ -54,10 +54,10 @@ class Block:
 
 
 class Plans:
-    """Windows by their rarest term."""
+    """Windows by their rarest term, and the numbers of all terms."""
 
     def __init__(self, block: Block, counts: np.ndarray) -> None:
-        self.counts = counts
+        self.terms, self.counts = block.terms, counts
         shown = np.append(counts, np.iinfo(np.int64).max)[block.windows]  # a number of -1 is the last
         rarest = block.windows[np.arange(len(shown)), np.lexsort((block.windows.T, shown.T), axis=0)[0]] if len(shown) else np.empty(0, np.int32)
         order = np.argsort(rarest, kind="stable")
@@ -85,37 +85,35 @@ def blocks_of(benchmark: DataFrame, size: int, limit: int = BLOCK_WORDS) -> Iter
         yield Block(items, size)
 
 
-def _indexed(terms, gap: int, shard: int):
-    """Shards of (texts, term numbers, counts, positions)."""
+def _indexed(gap: int, shard: int):
+    """Shards of texts: their words, counts and positions (as differences, by word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = terms.value.get
+        types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+        names = [x.split()[0] for x in _INDEX.split(", ")]
 
-        def closed(rids: list, docs: list, sizes: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+        def closed(rids: list, docs: list, sizes: list, parts: list[np.ndarray], number: dict[bytes, int]) -> pa.RecordBatch:
             at = np.concatenate(([0], np.cumsum(np.array(sizes, np.int64) + gap)[:-1]))
             ids = np.concatenate([np.empty(0, np.int32), *parts])
             place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(x)) + a for x, a in zip(parts, at, strict=True))])
-            known = np.flatnonzero(ids >= 0)
-            order = known[np.argsort(ids[known], kind="stable")]
-            seen, counts = np.unique(ids[order], return_counts=True)
-            row = [[rids], [docs], [sizes], [seen.astype(np.int32).tobytes()], [counts.astype(np.int32).tobytes()], [place[order].astype(np.int32).tobytes()]]
-            types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["rids", "docs", "sizes", "terms", "counts", "postings"])
-
-        rids, docs, sizes, parts, held = [], [], [], [], 0
+            steps = np.diff(place[np.argsort(ids, kind="stable")], prepend=0).astype(np.int32)
+            row = [[rids], [docs], [sizes], [b" ".join(number)], [np.bincount(ids, minlength=len(number)).astype(np.int32).tobytes()], [steps.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=names)
+
+        rids, docs, sizes, parts, held, number = [], [], [], [], 0, {}
         for batch in batches:
             for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch.column(2)), strict=True):
                 words = alnum_words(text)
                 rids.append(rid)
                 docs.append(doc)
                 sizes.append(len(words))
-                parts.append(np.fromiter((number(w, -1) for w in words), np.int32, len(words)))
+                parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
                 held += len(words) + gap
                 if held >= shard:
-                    yield closed(rids, docs, sizes, parts)
-                    rids, docs, sizes, parts, held = [], [], [], [], 0
+                    yield closed(rids, docs, sizes, parts, number)
+                    rids, docs, sizes, parts, held, number = [], [], [], [], 0, {}
         if rids:
-            yield closed(rids, docs, sizes, parts)
+            yield closed(rids, docs, sizes, parts, number)
 
     return run
 
@@ -156,13 +154,14 @@ def proximity(lists: dict[int, np.ndarray], plan: list[tuple[int, int]], reach:
 def _searched(plans, gap: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = plans.value
+        number = plan.terms.get
         for batch in batches:
             for row in batch.to_pylist():
                 sizes = np.array(row["sizes"], np.int64)
                 base = np.concatenate(([0], np.cumsum(sizes + gap)))
-                counts, places = np.frombuffer(row["counts"], np.int32), np.frombuffer(row["postings"], np.int32).astype(np.int64)
-                cuts = np.concatenate(([0], np.cumsum(counts)))
-                lists = {t: places[cuts[i] : cuts[i + 1]] for i, t in enumerate(np.frombuffer(row["terms"], np.int32).tolist())}
+                places = np.cumsum(np.frombuffer(row["postings"], np.int32), dtype=np.int64)
+                cuts = np.concatenate(([0], np.cumsum(np.frombuffer(row["counts"], np.int32), dtype=np.int64)))
+                lists = {t: places[cuts[i] : cuts[i + 1]] for i, w in enumerate(row["words"].split()) if (t := number(w)) is not None}
                 edge, found, near = np.zeros(base[-1] + 1, np.int32), {}, {}
                 for terms, length, names in (window for term in lists for window in plan.of(term)):
                     starts = phrase(lists, terms)
@@ -206,18 +205,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach: in
     rarest term, at most reach words further apart than in the window.
     """
     spark, out = docs.sparkSession, []
+    index = written(docs.select("_rid", "doc_id", "text").mapInArrow(_indexed(size + reach, shard_words), _INDEX), "postings")
     for block in blocks_of(benchmark, size, block_words):
-        terms = spark.sparkContext.broadcast(block.terms)
-        index = written(docs.select("_rid", "doc_id", "text").mapInArrow(_indexed(terms, size + reach, shard_words), _INDEX), "postings")
         totals = np.zeros(len(block.terms), np.int64)
-        for term, n in _frequencies(index).toLocalIterator():
+        for term, n in _frequencies(index, spark.sparkContext.broadcast(block.terms)).toLocalIterator():
             totals[term] = n
         plans = spark.sparkContext.broadcast(Plans(block, totals))
         out.append(index.mapInArrow(_searched(plans, size + reach, reach), _FOUND))
     if not out:
-        empty = Block([], size)
-        terms, plans = (spark.sparkContext.broadcast(x) for x in (empty.terms, Plans(empty, np.zeros(0, np.int64))))
-        return docs.select("_rid", "doc_id", "text").mapInArrow(_indexed(terms, size, shard_words), _INDEX).mapInArrow(_searched(plans, size, 0), _FOUND)
+        plans = spark.sparkContext.broadcast(Plans(Block([], size), np.zeros(0, np.int64)))
+        return index.mapInArrow(_searched(plans, size + reach, 0), _FOUND)
     if len(out) == 1:
         return out[0]
     every = out[0]
@@ -226,15 +223,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, reach: in
     return _joined(every)
 
 
-def _frequencies(index: DataFrame) -> DataFrame:
-    """Occurrences of each term of the block over all shards."""
+def _frequencies(index: DataFrame, terms) -> DataFrame:
+    """Occurrences of each term of the block over all shards; only words and counts are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = terms.value.get
         for batch in batches:
-            for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int32)), pa.array(np.frombuffer(counts, np.int32).astype(np.int64))], names=["term", "n"])
+            for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = [(t, i) for i, w in enumerate(words.split()) if (t := number(w)) is not None]
+                counts = np.frombuffer(counts, np.int32).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int32()), pa.array(counts[[i for _, i in found]])], names=["term", "n"])
 
-    return index.select("terms", "counts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return index.select("words", "counts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _joined(found: DataFrame) -> DataFrame:
