@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import alnum_words, bytes_of, small
@@ -62,8 +62,13 @@ def sample(docs: DataFrame, known: DataFrame) -> list[tuple[bytes, int]]:
         return []
     chosen = docs.sparkSession.createDataFrame(sorted(ids.items()), "doc_id long, toxic int")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.withColumn("size", F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)))
-    return sorted({(r["text"].encode(), r["toxic"]) for r in rows.where(F.col("size") <= SAMPLE_BYTES).select("text", "toxic").toLocalIterator()})
+    out, held = set(), 0
+    for text, toxic in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "toxic").toLocalIterator():
+        held += len(text.encode())
+        if held > SAMPLE_BYTES:
+            break
+        out.add((text.encode(), toxic))
+    return sorted(out)
 
 
 def features_of(word: bytes) -> list[bytes]:
