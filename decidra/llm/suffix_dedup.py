@@ -312,18 +312,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     whole = docs.select(F.col("_rid").alias("rid"), "doc_id", F.coalesce("doc_id", F.lit(_LOWEST)).alias("doc"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     keys = written(whole, "keys")
     first = written(keys.groupBy("sha", "n_bytes").agg(F.min(F.struct("doc", "rid")).alias("x")).select("x.rid", "x.doc"), "first")
-    anchors = docs.select("_rid", "text").mapInArrow(_anchors, "h long, rid long, at int")
+    anchors = written(docs.select("_rid", "text").mapInArrow(_anchors, "h long, rid long, at int"), "places")
     again = written(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
     places = anchors.join(again, "h").groupBy("rid").agg(F.collect_list("at").alias("at")).join(first, "rid")
     texts = docs.select(F.col("_rid").alias("rid"), "text").join(places, "rid").select("rid", "doc", "text", "at")
     texts = written(texts, "texts")
-    found = texts.mapInArrow(_occurrences, _OCCURRENCES)
+    discard(anchors)
+    found = written(texts.mapInArrow(_occurrences, _OCCURRENCES), "occurrences")
     groups = found.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.min(F.struct("doc", "rid", "start")).alias("x"), F.count("*").alias("n"))
     groups = written(groups.where("n > 1").select("h", (F.col("low") != F.col("high")).alias("mixed"), F.col("x.rid").alias("first_rid"), F.col("x.start").alias("first_start")), "groups")
     later = F.col("mixed") | (F.col("rid") != F.col("first_rid")) | (F.col("start") != F.col("first_start"))
     marks = found.join(groups, "h").where(later).groupBy("rid").agg(F.collect_list(F.when(F.col("mixed"), F.col("at"))).alias("at"), F.collect_list(F.when(~F.col("mixed"), F.struct("start", "stop"))).alias("covered"))
     marked = written(texts.drop("at").join(marks, "rid").select("rid", "doc", "text", "at", "covered"), "marked")
-    discard(again, texts, groups)
+    discard(again, texts, groups, found)
     texts = marked
     pieces = texts.where("size(at) > 0").select("rid", "doc", "text", "at").mapInArrow(_pieces, _PIECES)
     contents = pieces.groupBy("key", "column", "piece").agg(F.min(F.struct("doc", "rid", "start")).alias("first"), F.count("*").alias("n"))
