@@ -81,7 +81,8 @@ runs AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start,
 o AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
   string_agg({_KIND} || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4) AS b, string_agg({_KIND} || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS a,
   string_agg(CASE WHEN start >= since THEN substr(t, since + 1, start - since) || '[' || upper({_KIND}) || ']' ELSE '' END, '' ORDER BY start, rank) || substr(any_value(t), max(stop) + 1) AS clean FROM runs JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, sha256(coalesce(clean, t)) AS sanitised_sha256
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, sha256(coalesce(clean, t)) AS sanitised_sha256,
+  coalesce(n_email + n_ip + n_card + n_phone, 0) AS n_base, coalesce(n_email + n_ip + n_card + n_phone, 0) > 0 AS private
 FROM d LEFT JOIN o USING (doc_id)"""
 
 _TEMPLATES = ", ".join(f"({k}, '{label}', '{' '.join(t.split())}')" for k, (label, t) in enumerate((label, t) for label, texts in TEMPLATES.items() for t in texts))

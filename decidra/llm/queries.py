@@ -40,7 +40,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_row_id(table(spark, sf_dir, "documents"))
     found = pii.sanitised_documents(docs, pii.spans(docs))
     counts = [pii.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"), pii.named(F.col("spans")).alias("spans"), F.sha2("text", 256).alias("sanitised_sha256"))
+    return found.select("doc_id", *counts, F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"), pii.named(F.col("spans")).alias("spans"), F.sha2("text", 256).alias("sanitised_sha256"), F.size("base").cast("long").alias("n_base"), (F.size("base") > 0).alias("private"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -385,7 +385,7 @@ def test_pii_terms_go_wherever_they_stand(spark):
 def test_pii_in_a_text_of_very_many_entities(spark):
     import time
 
-    n = 20_000
+    n = 10_000
     text = " ".join(f"user{i}@site{i % 7}.org wrote on day {i}" for i in range(n))
     docs = docs_frame(spark, [(1, text)])
     began = time.perf_counter()
