@@ -206,4 +206,20 @@ reach(fp, other) AS (SELECT fp, fp FROM p UNION SELECT reach.fp, two FROM reach
 named AS (SELECT reach.fp, min(first) AS component_id FROM reach JOIN p ON p.fp = other GROUP BY reach.fp)
 SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM every JOIN named USING (fp)"""
 
-ORACLES = {"op4_pii": PII, "op5_simhash": SIMHASH, "op7_warc": WARC, "op6_license_scan": LICENSES, "op1_decontamination": DECONTAMINATION, "op2_chat_formatting": CHAT, "op9_exact_dedup": EXACT, "op10_suffix_array_dedup": REPEATS}
+TRIE = """
+WITH t AS (SELECT list(list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) ORDER BY n) AS crc FROM range(256) r(n)),
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, n, c - c % 100 AS base, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)])), 4294967295) % 6 AS h FROM (SELECT c, count(*) AS n FROM o GROUP BY c), t),
+f AS (SELECT s.*, least(s.h, coalesce(b.n, 0)) AS shared FROM s LEFT JOIN s b ON b.c = s.base),
+r AS (SELECT c, i - h + shared AS pos, role, text FROM o JOIN f USING (c) WHERE i >= h UNION ALL SELECT f.c, i, role, text FROM f JOIN o ON o.c = f.base WHERE i < shared),
+k AS (SELECT c, pos + 1 AS depth, len(text) AS size, md5(string_agg(len(role) || ':' || role || len(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY pos)) AS k FROM r),
+w AS (SELECT *, coalesce(lag(k) OVER (PARTITION BY c ORDER BY depth), '') AS up FROM k UNION ALL SELECT c, 0, 0, '', NULL FROM s),
+n AS (SELECT depth, k, any_value(up) AS up, min(c) AS c, count(*) AS n_convs, max(size) AS size FROM w GROUP BY depth, k),
+m AS (SELECT up AS k, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN m USING (depth, k)),
+a AS (SELECT w.depth, w.k, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * v.size)::BIGINT AS saved_tokens FROM v JOIN w ON w.c = v.c AND w.depth <= v.depth GROUP BY w.depth, w.k),
+e AS (SELECT depth, k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ends FROM w JOIN (SELECT c, max(depth) AS depth FROM w GROUP BY c) USING (c, depth) GROUP BY depth, k)
+SELECT v.c AS conv_id, v.depth, p.c AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM v JOIN a USING (depth, k) LEFT JOIN e USING (depth, k) LEFT JOIN v p ON p.depth = v.depth - 1 AND p.k = v.up"""
+
+ORACLES = {"op4_pii": PII, "op5_simhash": SIMHASH, "op7_warc": WARC, "op6_license_scan": LICENSES, "op1_decontamination": DECONTAMINATION, "op2_chat_formatting": CHAT, "op9_exact_dedup": EXACT, "op10_suffix_array_dedup": REPEATS, "op12_prefix_trie": TRIE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, licenses, pieces, pii, simhash, suffix_dedup, toxicity, warc
+from . import chat, decontaminate, exact_dedup, licenses, pieces, pii, prefix_trie, simhash, suffix_dedup, tokens, toxicity, warc
 from .common import table, with_row_id
 from .oracles import ORACLES
 
@@ -73,6 +73,15 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.counted(with_row_id(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.forked(prefix_trie.turns(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0])) if name.startswith("op")}
 
