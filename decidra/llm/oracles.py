@@ -222,4 +222,21 @@ e AS (SELECT depth, k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ends FROM w JOI
 SELECT v.c AS conv_id, v.depth, p.c AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
 FROM v JOIN a USING (depth, k) LEFT JOIN e USING (depth, k) LEFT JOIN v p ON p.depth = v.depth - 1 AND p.k = v.up"""
 
-ORACLES = {"op4_pii": PII, "op5_simhash": SIMHASH, "op7_warc": WARC, "op6_license_scan": LICENSES, "op1_decontamination": DECONTAMINATION, "op2_chat_formatting": CHAT, "op9_exact_dedup": EXACT, "op10_suffix_array_dedup": REPEATS, "op12_prefix_trie": TRIE}
+COLLOCATIONS = rf"""
+WITH p AS (SELECT doc_id, lang, row_number() OVER () AS p, w FROM (SELECT doc_id, lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM (SELECT doc_id, coalesce(lang, 'und') AS lang, {_TEXT} AS t FROM documents))),
+t AS (SELECT lang, p, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM p),
+g AS (SELECT lang, w1, lead(w1) OVER x AS w2, lead(w1, 2) OVER x AS w3 FROM t WINDOW x AS (PARTITION BY p ORDER BY i)),
+f1 AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, w1 || ' ' || w2 AS phrase, f2.f AS a, l.f AS l, r.f AS r, 1 AS k FROM f2 JOIN f1 l USING (lang, w1) JOIN f1 r ON r.lang = f2.lang AND r.w1 = w2 WHERE f2.f >= 10
+  UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, l.f, r.f, 1 FROM f3 JOIN f1 l ON l.lang = f3.lang AND l.w1 = f3.w1 JOIN f2 r ON r.lang = f3.lang AND r.w1 = f3.w2 AND r.w2 = f3.w3
+  UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, l.f, r.f, 2 FROM f3 JOIN f2 l ON l.lang = f3.lang AND l.w1 = f3.w1 AND l.w2 = f3.w2 JOIN f1 r ON r.lang = f3.lang AND r.w1 = f3.w3),
+s AS (SELECT *, ((1000000 * a * a) // (l * r))::BIGINT AS score FROM c),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(f) AS of FROM (SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL),
+d AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE i.of IS NULL OR 100 * i.of < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score
+FROM d JOIN (SELECT lang, count(*) AS n FROM t GROUP BY lang) USING (lang) QUALIFY rank <= 2000"""
+
+ORACLES = {"op4_pii": PII, "op5_simhash": SIMHASH, "op7_warc": WARC, "op6_license_scan": LICENSES, "op1_decontamination": DECONTAMINATION, "op2_chat_formatting": CHAT, "op9_exact_dedup": EXACT, "op10_suffix_array_dedup": REPEATS, "op12_prefix_trie": TRIE, "op13_collocations": COLLOCATIONS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, licenses, pieces, pii, prefix_trie, simhash, suffix_dedup, tokens, toxicity, warc
+from . import chat, collocations, decontaminate, exact_dedup, licenses, pieces, pii, prefix_trie, simhash, suffix_dedup, tokens, toxicity, warc
 from .common import table, with_row_id
 from .oracles import ORACLES
 
@@ -82,6 +82,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.forked(prefix_trie.turns(table(spark, sf_dir, "conversations"))))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0])) if name.startswith("op")}
 

@@ -47,7 +47,7 @@ def data(spark, tmp_path_factory):
     from pyspark.sql import functions as F
 
     base = str(tmp_path_factory.mktemp("tables"))
-    docs = spark.createDataFrame(DOCS, "doc_id long, text string").withColumn("_rid", F.lit("mine")).withColumn("fp", F.lit(1)).withColumn("key", F.lit(None).cast("string"))
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string").withColumn("_rid", F.lit("mine")).withColumn("fp", F.lit(1)).withColumn("key", F.lit(None).cast("string")).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en"))
     docs.write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
     spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i, _ in DOCS], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
