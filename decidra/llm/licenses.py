@@ -4,9 +4,10 @@ The postings of the licence templates (word, template, position) are held by eve
 pass over all texts counts in how many of them each licence word occurs. A second pass takes each text's licence words
 with the highest inverse document frequency, looks up their postings, and intersects them by relative position: word
 positions whose places minus template positions lie in one band support one alignment, so a word more or less between
-them doesn't part it. Where the rarest words find none although a mandatory phrase is there, all words of the template
-vote. An alignment is scored by the share of template words that stand within the band of their places, and a label is
-given where the share is enough and a mandatory phrase of the template stands inside the alignment.
+them doesn't part it. An alignment is scored by the share of template words that stand within the band of their places, and a
+label is given where the share is enough and a mandatory phrase of the template stands inside the alignment. Where the
+rarest words support no whole alignment although such a phrase is there, the postings of all words near it are
+intersected, which gives the share of every start.
 
 Defined cases: null and empty texts have no words, no labels and score 0; rows with the same doc_id are separate rows.
 """
@@ -90,6 +91,8 @@ MANDATORY = {
 #: Licence words that are looked up for each alignment, the share of template words that must be in place, and the band:
 #: words by which places may shift, for each this many words of the template.
 RARE, SHARE, SHIFT = 6, 0.7, 8
+#: Words of a text whose phrases are looked at together.
+REACH = 1 << 16
 
 
 class Index:
@@ -99,7 +102,7 @@ class Index:
         self.templates = [(label, t.encode().split()) for label, texts in TEMPLATES.items() for t in texts]
         self.number = {w: i for i, w in enumerate(sorted({w for _, t in self.templates for w in t}))}
         self.coded = [np.array([self.number[w] for w in t]) for _, t in self.templates]
-        self.own = [set(t.tolist()) for t in self.coded]
+        self.at = [{w: np.flatnonzero(t == w) for w in dict.fromkeys(t.tolist())} for t in self.coded]
         self.postings = defaultdict(list)
         for k, t in enumerate(self.coded):
             for place, w in enumerate(t.tolist()):
@@ -150,8 +153,39 @@ def shares(codes: np.ndarray, template: np.ndarray, start: int, band: int) -> np
     return (upto[2 * band + 1 :] > upto[: 2 * band + 1]).mean(axis=1)
 
 
+def covered(known: np.ndarray, codes: np.ndarray, k: int, phrases: np.ndarray, band: int) -> float:
+    """The largest share of template k over all starts whose alignment holds a phrase.
+
+    Each posting of the template supports the starts within band of its relative position; those of one place in the template
+    count once. Sums over where support begins and ends give every start's share. Words out of reach of a phrase don't
+    matter, so phrases go in groups by where they stand.
+    """
+    n, best = len(INDEX.coded[k]), 0
+    reach = n + 2 * band
+    for group in np.split(phrases, np.flatnonzero(np.diff(phrases // REACH)) + 1):
+        near = known[np.searchsorted(known, group[0] - reach) : np.searchsorted(known, group[-1] + reach + 1)]
+        near = near[np.searchsorted(group, near - reach) < np.searchsorted(group, near + reach + 1)]
+        pairs = [np.stack(np.broadcast_arrays((near[codes[near] == w][:, None] - at), at)).reshape(2, -1) for w, at in INDEX.at[k].items()]
+        start, place = np.concatenate(pairs, axis=1)
+        order = np.lexsort((start, place))
+        start, place = start[order], place[order]
+        low, high = start - band, start + band + 1
+        again = np.flatnonzero(place[1:] == place[:-1]) + 1
+        low[again] = np.maximum(low[again], high[again - 1])
+        at, count = np.concatenate((low, high)), np.repeat((1, -1), len(low))
+        order = np.argsort(at, kind="stable")
+        at, count = at[order], np.cumsum(count[order])
+        last = np.flatnonzero(np.append(at[1:] != at[:-1], False))
+        holds = np.searchsorted(group, at[last] - band) < np.searchsorted(group, at[last + 1] + n + band - 1)
+        best = max(best, int(np.where(holds, count[last], 0).max(initial=0)))
+    return best / n
+
+
 def aligned(codes: np.ndarray, idf: np.ndarray) -> dict[str, float]:
-    """Label -> share of template words in place, for the alignments that rare words support and a phrase inside verifies."""
+    """Label -> share of template words in place, for the best alignment that a phrase inside verifies.
+
+    An alignment that rare words support and that is whole can't be beaten; else the postings of all words near a phrase decide.
+    """
     known = np.flatnonzero(codes >= 0)
     if not len(known):
         return {}
@@ -159,28 +193,24 @@ def aligned(codes: np.ndarray, idf: np.ndarray) -> dict[str, float]:
     best: dict[str, float] = {}
     phrases: dict[str, np.ndarray] = {}
     for k, template in enumerate(INDEX.coded):
-        label, own = INDEX.templates[k][0], INDEX.own[k]
-        present = wanted & own
-        if len(present) < SHARE * len(own):
+        label, n = INDEX.templates[k][0], len(template)
+        present = [w for w in INDEX.at[k] if w in wanted]
+        if sum(len(INDEX.at[k][w]) for w in present) < SHARE * n:  # as many places can be filled at most
             continue
-        band = len(template) // SHIFT
-        rare = sorted(present, key=lambda w: (-idf[w], w))[:RARE]
-        starts = voted(known, codes, k, rare, max(2, len(rare) // 2), band)
         if label not in phrases:
             phrases[label] = np.unique(np.concatenate([places(codes, p) for p in INDEX.mandatory[label]]))
-        if not len(phrases[label]):
+        if not len(phrases[label]) or best.get(label, 0) == 1:
             continue
-        for more in (False, True):
-            if more:  # all words of the template vote
-                starts = voted(known, codes, k, sorted(present), max(2, len(present) // 2), band)
-            for start in starts.tolist():
-                near = start + np.arange(-band, band + 1)
-                inside = np.searchsorted(phrases[label], near + len(template) + band) > np.searchsorted(phrases[label], near - band)
-                share = float(np.where(inside, shares(codes, template, start, band), 0.0).max())
-                if share >= SHARE and share > best.get(label, 0):
-                    best[label] = share
-            if label in best:
-                break
+        band, share = n // SHIFT, 0.0
+        rare = sorted(present, key=lambda w: (-idf[w], w))[:RARE]
+        for start in voted(known, codes, k, rare, max(2, len(rare) // 2), band).tolist():
+            near = start + np.arange(-band, band + 1)
+            inside = np.searchsorted(phrases[label], near + n + band) > np.searchsorted(phrases[label], near - band)
+            share = max(share, float(np.where(inside, shares(codes, template, start, band), 0.0).max()))
+        if share < 1:
+            share = max(share, covered(known, codes, k, phrases[label], band))
+        if share >= SHARE:
+            best[label] = max(share, best.get(label, 0))
     return best
 
 
