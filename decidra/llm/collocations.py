@@ -33,7 +33,7 @@ from .common import bytes_of, written
 
 DEPTH, LEAST, CONTAINED, TOP = 3, 10, 50, 2000
 #: Nodes of a shard's trie, of a serialised piece, of a merge and of a range; word numbers of a trie; bytes that are read at once.
-LIMIT, PIECE, HELD, RANGE, WORDS, CHUNK = 3_000_000, 1 << 15, 2_000_000, 1_000_000, 1_000_000, 1 << 21
+LIMIT, PIECE, HELD, RANGE, WORDS, CHUNK = 1_500_000, 1 << 15, 1_000_000, 1_000_000, 600_000, 1 << 21
 #: Documents that the cuts of the ranges are taken from, and nodes for each key that comes to the driver.
 SAMPLE, STEP = 4000, 128
 BITS = 21
