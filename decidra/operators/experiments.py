@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from decidra.functions.numeric import log_odds
 
 from .metrics import lower_middle, percentile_place, upper_middle, with_nth_values
+from .ordered import medians
 
 
 def latency_slopes(trials: DataFrame) -> DataFrame:
@@ -16,7 +17,10 @@ def latency_slopes(trials: DataFrame) -> DataFrame:
     trials: family, target, billed_tokens, qwen_tokens, server_ms, status.
     """
     ok = trials.where("status = 200 and server_ms is not null")
-    points = ok.groupBy("family", "target").agg(*[F.median(c).alias(c) for c in ("billed_tokens", "qwen_tokens", "server_ms")])
+    points = None
+    for c in ("billed_tokens", "qwen_tokens", "server_ms"):
+        part = medians(ok, ["family", "target"], c)
+        points = part if points is None else points.alias("o").join(part.alias("x"), F.expr("o.family <=> x.family and o.target <=> x.target")).select("o.*", f"x.{c}")
     return points.groupBy("family").agg(
         F.count("*").alias("sizes"),
         (F.regr_slope("server_ms", "billed_tokens") * 1000).alias("ms_per_1k_billed"),
@@ -30,7 +34,9 @@ def paired_slopes(pairs: DataFrame) -> DataFrame:
     """Per family: median, mean and standard error of (long - short) milliseconds per 1000 billed tokens."""
     d = pairs.where("long.status = 200 and short.status = 200").select("family", (F.col("long.server_ms") - F.col("short.server_ms")).alias("ms"), (F.col("long.billed") - F.col("short.billed")).alias("billed"), (F.col("long.qwen") - F.col("short.qwen")).alias("qwen"))
     d = d.withColumn("slope", F.try_divide(F.col("ms") * 1000.0, F.col("billed")))
-    return d.groupBy("family").agg(F.count("slope").alias("n"), F.median("slope").alias("median"), F.avg("slope").alias("mean"), (F.stddev_samp("slope") / F.sqrt(F.count("slope"))).alias("se"), F.avg(F.try_divide("billed", "qwen")).alias("billed_per_qwen"))
+    middle = medians(d, ["family"], "slope").withColumnRenamed("slope", "median")
+    sums = d.groupBy("family").agg(F.count("slope").alias("n"), F.avg("slope").alias("mean"), (F.stddev_samp("slope") / F.sqrt(F.count("slope"))).alias("se"), F.avg(F.try_divide("billed", "qwen")).alias("billed_per_qwen"))
+    return sums.alias("o").join(middle.alias("x"), F.expr("o.family <=> x.family")).select("o.family", "o.n", "x.median", "o.mean", "o.se", "o.billed_per_qwen")
 
 
 def pooled_log_odds(trials: DataFrame, pairs: list[tuple[str, str]], within: list[str], by: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import numbered
+from .ordered import numbered
 
 
 def resumed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

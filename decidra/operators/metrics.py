@@ -1,7 +1,8 @@
 """Scores of predictions: accuracy, calibration, ranking and selection, over any grouping columns.
 
-Rank-based figures never sort a whole group in one task. Scores are first counted in buckets of equal width; sums over
-the few buckets of a group give each bucket's offset, and only rows inside a bucket are ordered.
+Rank-based figures never sort a whole group in one task. For the area under the curve scores are first counted in buckets of
+equal width; sums over the few buckets of a group give each bucket's offset, and only distinct scores inside a bucket are
+ordered. Cuts and values at places come from radix selection.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decidra.functions import numeric as N
+from decidra.sources.scratch import stored
+
+from .ordered import grouped, nth_values, selected
 
 BUCKETS = 4096
 
@@ -80,21 +84,21 @@ def auroc(rows: DataFrame, by: list[str], score: str = "p", label: str = "y", na
 
 
 def selective(rows: DataFrame, by: list[str], coverages: dict[str, float], order: str = "id") -> DataFrame:
-    """Accuracy of the most confident share of rows; of equal confidences the first by order count.
+    """Accuracy of the most confident share of rows; of equal confidences the first by order (a number) count.
 
-    Buckets above the cut count as a whole; only rows of the bucket at the cut are ranked.
+    The last row that counts is found by radix selection, first by confidence, then by order inside one confidence. A bucket
+    whose rows all hit, or none, or that counts as a whole is not split any further. Rows equal in both count with their hits first.
     """
-    kept = rows.where("conf is not null and hit is not null").select(*by, "conf", "hit", order).withColumn("b", F.floor(F.col("conf") * BUCKETS))
-    totals = kept.groupBy(*by, "b").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
-    down = Window.partitionBy(*by).orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    kept = grouped(rows.where("conf is not null and hit is not null"), by).select("_g", (-F.col("conf")).alias("_v"), F.col(order).cast("long").alias("_o"), F.col("hit").cast("long").alias("hit"), F.lit(1).cast("long").alias("_n"))
+    kept = stored(kept)
     shares = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("share")) for k, v in coverages.items()]))
-    sums = totals.select("*", F.sum("n").over(Window.partitionBy(*by)).alias("all"), F.coalesce(F.sum("n").over(down), F.lit(0)).alias("before"), F.coalesce(F.sum("hits").over(down), F.lit(0)).alias("won"))
-    cuts = sums.select("*", shares.alias("x")).select("*", F.col("x.name").alias("name"), F.greatest(F.lit(1), F.bround(F.col("all") * F.col("x.share"), 0)).cast("long").alias("k"))
-    cuts = cuts.where("before < k and k <= before + n").select(*by, "b", "name", "k", "before", "won")
-    edge = kept.join(cuts, [*by, "b"])
-    ranked = edge.withColumn("r", F.row_number().over(Window.partitionBy(*by, "name").orderBy(F.desc("conf"), order)))
-    got = ranked.where("r <= k - before").groupBy(*by, "name").agg(((F.sum("hit") + F.first("won")) / F.first("k")).alias("acc"))
-    return got.groupBy(*by).pivot("name", list(coverages)).agg(F.first("acc"))
+    sizes = kept.groupBy("_g").agg(F.count("*").alias("_all")).select("_g", "_all", shares.alias("x"))
+    wanted = stored(sizes.select("_g", F.col("x.name").alias("_name"), F.greatest(F.lit(1), F.bround(F.col("_all") * F.col("x.share"), 0)).cast("long").alias("_k")))
+    found = selected(kept, wanted, ["_v", "_o"], ["hit"], lambda: (F.col("_k") == F.col("_n")) | (F.col("hit") == 0) | (F.col("hit") == F.col("_n")))
+    won = found.select("_g", "_name", (F.col("_before_hit") + F.least("_k", "hit")).alias("_won"))
+    got = won.join(wanted, ["_g", "_name"]).select("_g", "_name", (F.col("_won") / F.col("_k")).alias("acc"))
+    out = got.groupBy("_g").agg(*[F.max(F.when(F.col("_name") == k, F.col("acc"))).alias(k) for k in coverages])
+    return out.select(*[F.col(f"_g.{c}").alias(c) for c in by], *coverages)
 
 
 def accuracy(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -141,44 +145,6 @@ def audit(answers: DataFrame) -> DataFrame:
     return answers.agg(F.count_if(sure).alias("n"), F.avg(F.when(sure, (F.col("answer") == F.col("expected")).cast("int"))).alias("agreement"), F.count_if(~sure).alias("unsure"))
 
 
-#: Parts of a group by approximate quantiles, of which each is ordered by itself.
-PARTS = 64
-
-
-def _parted(rows: DataFrame, by: list[str], order: str) -> DataFrame:
-    """rows with _g, a key of the group that nulls don't part, and _b, the part that order falls into."""
-    keyed = rows.withColumn("_g", F.struct(F.lit(0), *by))
-    cuts = keyed.groupBy("_g").agg(F.percentile_approx(F.col(order).cast("double"), [k / PARTS for k in range(1, PARTS)], F.lit(20 * PARTS)).alias("_cuts"))
-    return keyed.join(cuts, "_g").withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order).cast("double")))).drop("_cuts")
-
-
-def numbered(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
-    """Places of the rows of each group by a number or a time, from 0 on; a part of a group is ordered in one task, not all of it."""
-    parted = _parted(rows, by, order)
-    sums = parted.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
-    before = sums.select("_g", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_g", "_b").orderBy(order)) - 1
-    return parted.withColumn("_in", inside).join(before, ["_g", "_b"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_g", "_b", "_in", "_before")
-
-
-def nth_values(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """Values at places (0-based, of the number of rows) of each group's sorted values, as columns of these names.
-
-    Equal values are one row after a partial aggregate; only those of the part that holds a place are ordered.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    parted = _parted(counts, by, "_v")
-    sums = parted.groupBy("_g", "_b").agg(F.sum("_c").alias("_n"))
-    window = Window.partitionBy("_g")
-    sums = sums.select("*", F.sum("_n").over(window).alias("_all"), F.coalesce(F.sum("_n").over(window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("_all")).cast("long").alias("k")) for k, f in places.items()]))
-    cuts = sums.select("_g", "_b", "_n", "_before", wanted.alias("x")).where("_before <= x.k and x.k < _before + _n").select("_g", "_b", F.col("x.name").alias("_name"), (F.col("x.k") - F.col("_before")).alias("_k"))
-    upto = F.sum("_c").over(Window.partitionBy("_g", "_b", "_name").orderBy("_v"))
-    found = parted.join(cuts, ["_g", "_b"]).withColumn("_upto", upto).where("_upto > _k").groupBy("_g", "_name").agg(F.min("_v").alias("_v"))
-    out = found.groupBy("_g").agg(*[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in places])
-    return out.select(*[F.col(f"_g.{c}").alias(c) for c in by], *places)
-
-
 def with_nth_values(report: DataFrame, rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """report, of a row for each group, with columns of nth_values."""
     keys = [F.col(f"o.{c}").eqNullSafe(F.col(f"x.{c}")) for c in by]

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from decidra.functions.numeric import hash_order, hash_unit
 
-from .metrics import numbered
-
 #: Rows of a table of options, which every task gets.
 MOST_OPTIONS = 10_000
 
@@ -60,22 +58,6 @@ def oversampled(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.union(rows.where(condition))
 
 
-def bootstrap(rows: DataFrame, by: list[str], value: str, order: str, rounds: int, seed: str) -> DataFrame:
-    """95 % interval of a mean from resamples with replacement, drawn by hash.
-
-    A draw is a place in the group; values at places are looked up by a join, and each round is a mean, so rows of a
-    round never meet but as partial sums.
-    """
-    placed = numbered(rows.select(*by, value, order), by, order, "_i")
-    sizes = placed.groupBy(*by).agg(F.count("*").alias("_n"))
-    draws = placed.join(sizes, by).select(*by, F.col("_i").alias("_slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("_b"))
-    drawn = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("_b").cast("string"), F.col("_slot").cast("string"))), 1, 8), 16, 10).cast("long"), F.col("_n"))
-    means = draws.withColumn("_i", drawn).join(placed, [*by, "_i"]).groupBy(*by, "_b").agg(F.avg(value).alias("m"))
-    low, high = int(0.025 * rounds), int(0.975 * rounds)
-    ranked = means.groupBy(*by).agg(F.sort_array(F.collect_list("m")).alias("m"))  # rounds values
-    return ranked.select(*by, F.element_at("m", low + 1).alias("low"), F.element_at("m", high + 1).alias("high"))
-
-
 def policy(unit: Column, mix: dict[str, float]) -> Column:
     """A choice by cumulative shares of a uniform number; the last takes the rest."""
     *first, rest = mix

@@ -9,7 +9,7 @@ from decidra.functions import numeric as N
 from decidra.operators import calibration as C
 from decidra.operators import experiments as E
 from decidra.operators import metrics as M
-from decidra.operators import sampling as S
+from decidra.operators.resampling import bootstrap
 from decidra.sources import writers as W
 
 from .registry import query
@@ -208,12 +208,16 @@ def contingency_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.confidence_buckets(scored(spark, sf_dir).withColumn("ambiguous", F.col("id") % 3 == 0), [0.6, 0.7, 0.8, 0.9])
 
 
-@query(f"""WITH {SCORED_SQL}, r AS (SELECT question, hit, id, row_number() OVER (PARTITION BY question ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY question) AS n FROM scored WHERE answered),
-d AS (SELECT question, b, (('0x' || substr(md5('7:' || b || ':' || i), 1, 8))::BIGINT % n) AS j FROM r CROSS JOIN range(100) x(b)),
-m AS (SELECT d.question, b, avg(hit) AS m FROM d JOIN r ON r.question = d.question AND r.i = d.j GROUP BY ALL), s AS (SELECT question, list_sort(list(m)) AS m FROM m GROUP BY question)
-SELECT question, round(m[3], 6) AS low, round(m[98], 6) AS high FROM s""")
+@query(f"""WITH {SCORED_SQL}, g AS (SELECT question, count(*) AS n, avg((hit = 0)::INT) AS p, min(hit) AS same FROM scored WHERE answered GROUP BY question),
+f AS (SELECT i, sum(ln(greatest(i, 1))) OVER (ORDER BY i) AS f FROM range((SELECT max(n) + 1 FROM g)) r(i)),
+c AS (SELECT question, n, k.i AS k, sum(exp(a.f - k.f - o.f + k.i * ln(p) + (n - k.i) * ln(1 - p))) OVER (PARTITION BY question ORDER BY k.i) AS upto FROM g JOIN f a ON a.i = n JOIN f k ON k.i <= n JOIN f o ON o.i = n - k.i WHERE p > 0 AND p < 1),
+l AS (SELECT question, n, list(upto ORDER BY k) AS upto FROM c GROUP BY ALL),
+m AS (SELECT question, 1 - len(list_filter(upto, lambda x: x < ('0x' || substr(md5('7:' || question || ':' || b), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)) / n AS m FROM l CROSS JOIN range(2000) r(b) UNION ALL SELECT question, same FROM g CROSS JOIN range(2000) r(b) WHERE p IN (0, 1)),
+s AS (SELECT question, list_sort(list(m)) AS m FROM m GROUP BY question)
+SELECT question, round(m[51], 6) AS low, round(m[1951], 6) AS high FROM s""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(S.bootstrap(scored(spark, sf_dir).where("answered"), ["question"], "hit", "id", 100, "7"), "low", "high")
+    """2,000 resamples. The SQL draws the wrong answers of a round from the binomial distribution, as the first split of two values does."""
+    return rounded(bootstrap(scored(spark, sf_dir).where("answered"), ["question"], "hit", 2000, "7"), "low", "high")
 
 
 @query(f"""WITH {SCORED_SQL}, a AS (SELECT site, avg(hit) AS acc, count(*) AS n FROM scored WHERE answered GROUP BY site) SELECT count(*) AS sources, round(avg(acc), 6) AS macro, round(sum(acc * n) / sum(n), 6) AS micro FROM a""")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from decidra.operators import experiments as E
 from decidra.operators import metrics as M
+from decidra.operators.ordered import nth_values
 from decidra.sources import readers as R
+from decidra.sources.scratch import folder
 from decidra.streaming import logs
 
 from .registry import query
 from .scoring import rounded, scored
-from .standins import SCORED_SQL, episodes, scratch, table
+from .standins import SCORED_SQL, episodes, table
 
 _TRIALS = """t AS (SELECT event_type AS family, (user_id % 8) AS target, (user_id % 8) * 100 + event_id % 13 AS billed, (user_id % 8) * 90 + event_id % 7 AS qwen, ((user_id % 8) * 3 + value)::DOUBLE AS ms, CASE WHEN event_id % 29 = 0 THEN 500 ELSE 200 END AS status FROM events)"""
 
@@ -68,7 +70,7 @@ def ratio_to_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH v AS (SELECT event_type, list_sort(list(value)) AS v, count(*)::BIGINT AS n, median(value) AS m FROM events GROUP BY event_type)
 SELECT event_type, round(m, 6) AS median, round(v[n // 2 + 1], 6) AS upper_median, round(v[greatest(0, floor(n * 0.9)::BIGINT - 1) + 1], 6) AS p90 FROM v""")
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = M.nth_values(table(spark, sf_dir, "events"), ["event_type"], "value", {"low": M.lower_middle, "upper_median": M.upper_middle, "p90": M.percentile_place(0.9)})
+    e = nth_values(table(spark, sf_dir, "events"), ["event_type"], "value", {"low": M.lower_middle, "upper_median": M.upper_middle, "p90": M.percentile_place(0.9)})
     return rounded(e.select("event_type", ((F.col("low") + F.col("upper_median")) / 2).alias("median"), "upper_median", "p90"), "median", "upper_median", "p90")
 
 
@@ -162,7 +164,7 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT event_type, sum(value) AS v, count(*) AS n FROM events GROUP BY 1) SELECT event_type, n, round(v, 2) AS total FROM t""")
 def log_tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a file stream: drained into a table once, then summed."""
-    path = scratch(spark)
+    path = folder(spark)
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     logs.drained(stream.select("event_type", "value"), f"{path}/out", f"{path}/state")

@@ -14,11 +14,12 @@ from decidra.operators import joins as J
 from decidra.operators import labels as L
 from decidra.operators import metrics as M
 from decidra.sources import writers as W
+from decidra.sources.scratch import folder
 
 from .registry import query
 from .rows import recorded
 from .scoring import rounded
-from .standins import CHOICES_SQL, choices, scratch, table
+from .standins import CHOICES_SQL, choices, table
 
 
 @query("""SELECT conv_id, count(*) AS n, round(avg((role = 'user')::INT), 6) AS p_user, round(avg((role = 'assistant')::INT), 6) AS p_assistant, round(avg((role = 'none')::INT), 6) AS p_none
@@ -138,7 +139,7 @@ def zipped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, lang, n_chars FROM documents")
 def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines in a folder for each language, read back."""
-    path = scratch(spark)
+    path = folder(spark)
     W.json_lines(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), path, by="lang")
     return spark.read.schema("doc_id long, n_chars long, lang string").json(path).select("doc_id", "lang", "n_chars")
 
@@ -146,7 +147,7 @@ def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, count(*) AS times FROM documents GROUP BY doc_id")
 def resumed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run that stopped half way and is repeated, and an empty result that must not replace it."""
-    path, rows = scratch(spark), table(spark, sf_dir, "documents").select("doc_id", "lang")
+    path, rows = folder(spark), table(spark, sf_dir, "documents").select("doc_id", "lang")
     for part in (rows.where("doc_id % 2 = 0"), rows):
         W.append_new(part, path, "doc_id", "doc_id long, lang string")
     W.overwrite_unless_empty(rows.where("false"), path)
@@ -156,7 +157,7 @@ def resumed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang, count(*) AS n, round(avg(n_chars), 3) AS mean FROM documents GROUP BY lang")
 def report_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report as one JSON object, stored and read back."""
-    path = scratch(spark)
+    path = folder(spark)
     report = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 3).alias("mean"))
     W.report_json(report).write.text(path)
     rows = spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<lang:string,n:long,mean:double>>")).alias("r"))
