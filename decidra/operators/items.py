@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decidra import schemas
 from decidra.functions import numeric as N
 from decidra.functions import text as X
 
+from . import joins as J
+
 #: The templates and states of the synthetic pages, and the least confidence of the chooser.
 TEMPLATES = ("booking", "catalog", "help", "index", "search", "settings", "signup")
 VARIANTS = ("base", "checked1", "disabled1", "done1", "filled1", "overlay1", "wrong1")
@@ -72,22 +74,29 @@ def contained(x: Column, y: Column, w: Column, h: Column, top: Column, width: fl
     return (w >= least) & (h >= least) & (x >= 0) & (x + w <= width) & (y >= top) & (y + h <= top + height)
 
 
-def choice_items(pairs: DataFrame, by: str, k: int, distance: Column, seed: str, none_share: float) -> DataFrame:
-    """Items with k - 1 nearest negatives of each positive (columns gold, other), in hashed order; for a share of them gold is none."""
-    near = pairs.withColumn("distance", distance).withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("distance", "other"))).where(F.col("_r") < k)
-    grouped = near.groupBy(by, "gold").agg(F.collect_list("other").alias("others"))
+def choice_items(near: DataFrame, by: str, seed: str, none_share: float) -> DataFrame:
+    """Items of a row (by) and its negatives (other), in hashed order; for a share of them gold is none."""
+    groups = near.groupBy(by).agg(F.collect_list("other").alias("others"))
     lost = N.hash_unit(F.col(by), f"{seed}/none") < none_share
-    options = F.when(lost, F.col("others")).otherwise(F.concat("others", F.array("gold")))
+    options = F.when(lost, F.col("others")).otherwise(F.concat("others", F.array(by)))
     mixed = F.transform(F.array_sort(F.transform(options, lambda o: F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col(by).cast("string"), o.cast("string"))).alias("h"), o.alias("o")))), lambda x: x["o"])
-    place = F.array_position(mixed, F.col("gold"))
-    return grouped.select(by, mixed.alias("options"), F.when(lost, "none").otherwise(place.cast("string")).alias("gold"))
-
-
-def confusable(pairs: DataFrame, by: str, k: int, seed: str) -> DataFrame:
-    """The k elements of an image that are easiest to take for the target: same role first, then length, with a hashed jitter."""
-    jitter = N.hash_unit(F.concat_ws(":", F.col(by).cast("string"), F.col("other").cast("string")), seed) * 3
-    order = [F.col("role") != F.col("other_role"), F.abs(F.length("text") - F.length("other_text")) + jitter, F.col("other")]
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
+    place = F.array_position(mixed, F.col(by))
+    return groups.select(by, mixed.alias("options"), F.when(lost, "none").otherwise(place.cast("string")).alias("gold"))
+
+
+def confusable(rows: DataFrame, keys: list[str], key: str, role: str, text: str, k: int, seed: str) -> DataFrame:
+    """The k elements of an image that are easiest to take for the target: same role first, then length, with a hashed jitter.
+
+    Others of the same role are looked for first; rows that have fewer than k of them fill up with other roles. The jitter
+    differs from pair to pair, so all rows of a cell have to be looked at.
+    """
+    jitter = N.hash_unit(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")), seed) * 3
+    own = rows.select(*keys, key, F.col(role).alias("_role"), F.length(text).alias("_length"))
+    alike = J.nearest(own, [*keys, "_role"], key, {"_length": 1.0}, k, jitter)
+    few = alike.groupBy(key).agg(F.count("*").alias("_n"))
+    short = own.join(few, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).where(F.col("_n") < k)
+    more = J.nearest(own, keys, key, {"_length": 1.0}, k, jitter, others=("_role", short.select(key))).join(short.select(key, "_n"), key)
+    return alike.unionByName(more.where(F.col("rank") + F.col("_n") <= k).withColumn("rank", (F.col("rank") + F.col("_n")).cast("int")).drop("_n"))
 
 
 def augmented(criteria: Column, gold: Column, key: Column, pool: Column, size: int, seed: str) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import numbered
+from decidra.sources.scratch import stored
+
+from .ordered import grouped, numbered
 
 
 def resumed(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -27,10 +32,52 @@ def near(left: DataFrame, right: DataFrame, keys: list[str], value: str, reach:
     return looked.join(placed, [*keys, "_cell"]).where(F.abs(F.col(value) - F.col(f"r_{value}")) < reach).drop("_cell")
 
 
-def nearest(pairs: DataFrame, by: list[str], k: int, distance: Column, *ties: str) -> DataFrame:
-    """The k nearest of each group."""
-    ranked = pairs.withColumn("distance", distance)
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("distance", *ties))).where(F.col("rank") <= k)
+def nearest(rows: DataFrame, keys: list[str], key: str, coordinates: dict[str, float], k: int, jitter: Column | None = None, others: tuple[str, DataFrame] | None = None) -> DataFrame:
+    """The k nearest other rows of each row with equal keys: key, other, distance and rank; key must be unique.
+
+    The distance is the sum of weighted differences of the coordinates, ties by the other's key. Rows look into the cells around
+    their own in a grid with about one row to a cell, and those that don't find k rows nearer than any cell left out look
+    again with cells twice as wide, until a cell is as wide as the group. Of rows at one place only the first k + 1 can be
+    among anyone's nearest, so no more are looked at. jitter (not negative, of `a` and `b`, the keys of a pair) is added to
+    the distance; then all rows at a place are looked at. With others, a column and the rows that ask, only rows with another value there count.
+    """
+    xs = [f"_x{i}" for i in range(len(coordinates))]
+    scaled = [(F.col(c) * w).cast("double").alias(x) for x, (c, w) in zip(xs, coordinates.items(), strict=True)]
+    part = F.col(others[0]).alias("_part") if others else F.lit(None).cast("int").alias("_part")
+    points = stored(grouped(rows, keys).select("_g", F.col(key).alias("a"), part, *scaled))
+    if jitter is None:
+        place = Window.partitionBy("_g", "_part", *xs).orderBy("a")
+        known = stored(points.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k + 1).drop("_r"))
+    else:
+        known = points
+    spread = known.groupBy("_g").agg(F.count("*").alias("_n"), F.greatest(F.lit(0.0), *[F.max(x) - F.min(x) for x in xs]).alias("_range"))
+    side = F.when(F.col("_range") > 0, F.col("_range") / F.ceil(F.pow(F.col("_n"), F.lit(1 / len(xs))))).otherwise(1.0)
+    spread = stored(spread.select("_g", "_range", side.alias("_side")))
+    cells = [f"_c{i}" for i in range(len(xs))]
+    around = F.explode(F.array(*[F.struct(*[F.lit(o).alias(c) for o, c in zip(offset, cells, strict=True)]) for offset in product((-1, 0, 1), repeat=len(xs))]))
+    rest, step, found = points.join(others[1].select(F.col(key).alias("a")), "a", "left_semi") if others else points, 0, []
+    while True:
+        width = F.col("_side") * 2.0**step
+        cell = [F.floor(F.col(x) / width) for x in xs]
+        looked = rest.join(spread, "_g").select("_g", "a", "_part", *xs, *[c.alias(f"_o{n}") for n, c in zip(cells, cell, strict=True)], around.alias("_x"))
+        looked = looked.select("_g", "a", "_part", *xs, *[(F.col(f"_o{c}") + F.col(f"_x.{c}")).alias(c) for c in cells])
+        placed = known.join(spread, "_g").select("_g", F.col("a").alias("b"), F.col("_part").alias("_other"), *[F.col(x).alias(f"_b{x}") for x in xs], *[c.alias(n) for n, c in zip(cells, cell, strict=True)])
+        pairs = looked.join(placed, ["_g", *cells]).where("a <> b")
+        if others:
+            pairs = pairs.where(~F.col("_part").eqNullSafe(F.col("_other")))
+        apart = sum((F.abs(F.col(x) - F.col(f"_b{x}")) for x in xs[1:]), F.abs(F.col(xs[0]) - F.col(f"_b{xs[0]}")))
+        pairs = pairs.select("a", "b", (apart if jitter is None else apart + jitter).alias("distance"))
+        best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("rank") <= k)
+        best = stored(best)
+        last = best.groupBy("a").agg(F.count("*").alias("_k"), F.max("distance").alias("_last"))
+        over = (width >= F.col("_range")) | ((F.col("_k") == k) & (F.col("_last") < width * (1 - 1e-9)))
+        judged = stored(rest.join(spread, "_g").join(last, "a", "left").select("_g", "a", "_part", *xs, F.coalesce(over, F.lit(False)).alias("_over")))
+        found.append(best.join(judged.where("_over").select("a"), "a", "left_semi"))
+        rest, step = judged.where("not _over").drop("_over"), step + 1
+        if not rest.limit(1).count():
+            break
+    out = reduce(DataFrame.union, found)
+    return out.select(F.col("a").alias(key), F.col("b").alias("other"), "distance", "rank")
 
 
 def prior_adjusted(scores: DataFrame, priors: DataFrame, keys: list[str]) -> DataFrame:

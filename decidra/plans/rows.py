@@ -259,11 +259,8 @@ def range_target_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT a.p_partkey AS part, b.p_partkey AS other, abs(a.p_size - b.p_size) * 2 + abs(a.p_retailprice - b.p_retailprice) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY distance, other) AS rank FROM d) SELECT part, other, round(distance, 6) AS distance, rank::INT AS rank FROM r WHERE rank <= 3""")
 def hard_negatives_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey", "p_size", "p_retailprice")
-    other = p.toDF("p_brand", "p_type", "other", "o_size", "o_price")
-    pairs = p.withColumnRenamed("p_partkey", "part").join(other, ["p_brand", "p_type"]).where("part <> other")
-    distance = F.abs(F.col("p_size") - F.col("o_size")) * 2 + F.abs(F.col("p_retailprice") - F.col("o_price"))
-    return J.nearest(pairs, ["part"], 3, distance, "other").select("part", "other", F.round("distance", 6).alias("distance"), "rank")
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "part")
+    return J.nearest(p, ["p_brand", "p_type"], "part", {"p_size": 2.0, "p_retailprice": 1.0}, 3).withColumn("distance", F.round("distance", 6))
 
 
 @query("""WITH pr AS (SELECT lang, source, avg(n_chars) AS prior FROM documents GROUP BY ALL) SELECT doc_id, round(n_chars - prior, 4) AS pmi FROM documents JOIN pr USING (lang, source)""")

@@ -64,16 +64,15 @@ _NEAR = """d AS (SELECT a.p_partkey AS part, b.p_partkey AS other, abs(a.p_size
 n AS (SELECT part, other, row_number() OVER (PARTITION BY part ORDER BY distance, other) AS r FROM d)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_partkey").alias("part"), "p_size", "p_name")
-    return p.join(p.toDF("p_brand", "p_type", "other", "o_size", "o_name"), ["p_brand", "p_type"]).where("part <> other")
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_brand", "p_type", F.col("p_partkey").alias("part"), "p_size", "p_name", (F.col("p_size") % 3).alias("role"))
 
 
 @query(f"""WITH {_NEAR}, o AS (SELECT part, other AS o FROM n WHERE r < 5 UNION ALL SELECT DISTINCT part, part FROM n WHERE (('0x' || substr(md5('21/none:' || part), 1, 8))::BIGINT / 4294967296.0::DOUBLE) >= 0.2),
 g AS (SELECT part, list(o ORDER BY md5('21:' || part || ':' || o), o) AS l FROM o GROUP BY part) SELECT part, array_to_string(l, ',') AS options, CASE WHEN list_contains(l, part) THEN list_position(l, part)::VARCHAR ELSE 'none' END AS gold FROM g""")
 def choice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir).withColumn("gold", F.col("part"))
-    out = I.choice_items(pairs, "part", 5, F.abs(F.col("p_size") - F.col("o_size")), "21", 0.2)
+    near = J.nearest(_parts(spark, sf_dir), ["p_brand", "p_type"], "part", {"p_size": 1.0}, 4)
+    out = I.choice_items(near, "part", "21", 0.2)
     return out.select("part", F.array_join(F.col("options").cast("array<string>"), ",").alias("options"), "gold")
 
 
@@ -81,8 +80,7 @@ def choice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY role, gap, other) AS rank FROM d)
 SELECT part, other, rank::INT AS rank FROM r WHERE rank <= 4""")
 def confusable_distractors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir).select("part", "other", (F.col("p_size") % 3).alias("role"), (F.col("o_size") % 3).alias("other_role"), F.col("p_name").alias("text"), F.col("o_name").alias("other_text"))
-    return I.confusable(p, "part", 4, "22").select("part", "other", "rank")
+    return I.confusable(_parts(spark, sf_dir), ["p_brand", "p_type"], "part", "role", "p_name", 4, "22").select("part", "other", "rank")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, lower(trim(role)) IN ('user', 'assistant') AS ok, role FROM conversations WHERE lower(trim(role)) IN ('user', 'assistant'))
