@@ -32,7 +32,7 @@ def numbered(rows: DataFrame, by: list[str], order: str | list[str], name: str)
     parts = ranged.groupBy("_group", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ranged.join(parts.select("_group", "_part", (before - F.col("_first")).alias("_shift")), ["_group", "_part"])
-    return placed.withColumn(name, F.col("_at") + F.col("_shift")).drop("_group", "_part", "_at", "_shift")
+    return placed.select(*[c for c in rows.columns if c != name], (F.col("_at") + F.col("_shift")).alias(name))
 
 
 def _bucket(v: Column, low: Column, high: Column, whole: bool) -> Column:

@@ -8,11 +8,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from decidra.functions.arrays import running
+from decidra.sources.scratch import stored
 
-def history(rows: DataFrame, episode: list[str], step: str, entry: str, name: str = "history") -> DataFrame:
-    """Entries of the steps before each one."""
-    before = Window.partitionBy(*episode).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.collect_list(entry).over(before))
+from .ordered import grouped, numbered
+
+#: Steps of an episode in one array, and places of a shard in one block.
+BLOCK, SPAN = 4096, 1024
+
+
+def history(rows: DataFrame, episode: list[str], step: str, entry: str, last: int = 10) -> DataFrame:
+    """The steps of an episode before each one as a range: their number, and the last entries themselves.
+
+    `before` counts the steps before, so a history is the entries [0, before) of history_chunks, which are stored once;
+    `recent` holds the last of them. Rows are numbered over sorted parts and looked at in blocks of BLOCK steps, each with
+    the last steps of the block before.
+    """
+    placed = numbered(rows, episode, step, "before")
+    entries = placed.select(F.struct(F.lit(0), *episode).alias("_g"), F.col("before").alias("_at"), F.col(entry).alias("_entry"), F.struct(*rows.columns).alias("_row"))
+    block = F.floor(F.col("_at") / BLOCK)
+    guests = entries.where(F.col("_at") % BLOCK >= BLOCK - last).select("_g", "_at", "_entry", F.lit(None).cast(entries.schema["_row"].dataType).alias("_row"), (block + 1).alias("_block"))
+    both = entries.withColumn("_block", block).unionByName(guests)
+    seen = F.collect_list(F.struct("_entry")).over(Window.partitionBy("_g", "_block").orderBy("_at").rowsBetween(-last, -1))
+    return both.withColumn("recent", F.transform(seen, lambda x: x["_entry"])).where("_row is not null").select("_row.*", F.col("_at").alias("before"), "recent")
+
+
+def history_chunks(rows: DataFrame, episode: list[str], step: str, entry: str) -> DataFrame:
+    """Entries of an episode in order, in arrays of up to BLOCK: episode, chunk and entries. Each entry is stored once."""
+    placed = numbered(rows, episode, step, "_at").withColumn("chunk", F.floor(F.col("_at") / BLOCK))
+    listed = placed.groupBy(*episode, "chunk").agg(F.array_sort(F.collect_list(F.struct("_at", F.col(entry).alias("entry")))).alias("_all"))
+    return listed.select(*episode, "chunk", F.transform("_all", lambda x: x["entry"]).alias("entries"))
 
 
 def sticky(rows: DataFrame, episode: list[str], step: str, flag: str, name: str) -> DataFrame:
@@ -30,10 +55,21 @@ def previous(rows: DataFrame, episode: list[str], step: str, columns: list[str])
     return rows.join(earlier, [*episode, step], "left")
 
 
+def last_seen(rows: DataFrame, episode: list[str], step: str, value: str) -> DataFrame:
+    """The last step of each value of an episode. A value occurs after a step if its last step is later: every set of later values in one table."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*episode, value).agg(F.max(step).alias("last"))
+
+
 def later_values(rows: DataFrame, episode: list[str], step: str, value: str, name: str) -> DataFrame:
-    """Distinct values of the steps after each one: a set that grows from the last step back."""
-    after = Window.partitionBy(*episode).orderBy(F.desc(step)).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.array_sort(F.collect_set(value).over(after)))
+    """Distinct values of the steps after each one, from the last steps of the values: one array per episode, of its distinct values."""
+    last = grouped(last_seen(rows, episode, step, value), episode).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("value"), "last"))).alias("_last"))
+    joined = grouped(rows, episode).join(stored(last), "_g", "left")
+    later = F.transform(F.filter("_last", lambda x: x["last"] > F.col(step)), lambda x: x["value"])
+    return joined.withColumn(name, F.coalesce(later, F.array().cast(later_type(rows, value)))).drop("_g", "_last")
+
+
+def later_type(rows: DataFrame, value: str) -> str:
+    return f"array<{dict(rows.dtypes)[value]}>"
 
 
 def running_mean(rows: DataFrame, series: list[str], step: str, value: str, n: int) -> DataFrame:
@@ -47,53 +83,102 @@ def packed(rows: DataFrame, state: str, questions: str) -> DataFrame:
     each). A question takes one mark, its instructions, two marks and the text for each option, and a readout mark.
     """
     size = lambda q: F.aggregate(q["options"], q["tokens"] + 2, lambda a, o: a + o + 2)
-    sizes = F.transform(questions, size)
-    starts = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i), F.col(state), lambda a, x: a + x))
-    n = F.col(state)
+    add = lambda a, b: a + b
+    sizes, n = F.transform(questions, size), F.col(state)
+    ends = F.transform(running(sizes, add), lambda x: x + n)
+    starts = F.zip_with(ends, sizes, lambda e, s: e - s)
     ranges = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
     segments = F.concat(F.array_repeat(F.lit(0), n), F.flatten(F.transform(sizes, lambda s, i: F.array_repeat(i + 1, s))))
     positions = F.concat(ranges(n), F.flatten(F.transform(sizes, lambda s: F.transform(ranges(s), lambda k: k + n))))
-    reads = F.zip_with(starts, sizes, lambda a, s: a + s - 1)
-    ends = lambda q, start: F.transform(q["options"], lambda _, j: F.aggregate(F.slice(q["options"], 1, j + 1), start + q["tokens"], lambda a, o: a + o + 2))
-    options = F.zip_with(questions, starts, ends)
+    reads = F.transform(ends, lambda e: e - 1)
+    marks = lambda q, start: F.transform(running(F.transform(q["options"], lambda o: o + 2), add), lambda x: x + start + q["tokens"])
+    options = F.zip_with(questions, starts, marks)
     return rows.select("*", segments.alias("segments"), positions.alias("positions"), reads.alias("reads"), options.alias("option_ends"))
 
 
-def attends(rows: DataFrame, key: list[str], segments: str) -> DataFrame:
-    """Pairs (i, j) of places where i may look at j: not later, and of the same segment or the state. For short sequences."""
-    places = rows.select(*key, segments, F.posexplode(segments).alias("i", "si"))
-    pairs = places.select(*key, "i", "si", F.posexplode(segments).alias("j", "sj"))
-    return pairs.where((F.col("j") <= F.col("i")) & ((F.col("si") == F.col("sj")) | (F.col("sj") == 0))).select(*key, "i", "j")
+def segment_ranges(places: DataFrame, key: list[str], place: str, segment: str) -> DataFrame:
+    """Segments of sequences, of which each is a run of places: key, segment, start and stop (excluded). The state is segment 0."""
+    return places.groupBy(*key, segment).agg(F.min(place).alias("start"), (F.max(place) + 1).alias("stop"))
 
 
-def length_batches(rows: DataFrame, shard: str, key: str, size: str, budget: int, most: int) -> DataFrame:
-    """Batches within a shard, filled in order of size while padded tokens stay under the budget.
+def allowed(segments: DataFrame, key: list[str]) -> DataFrame:
+    """How many pairs (i, j) of a sequence are allowed: j not later than i, and of the same segment or the state, which comes first.
 
-    Filling is sequential, so a shard is read by one task, in order and in Arrow batches; four numbers are its state.
+    A place sees the range of the state and that of its own segment up to itself, so a segment of n places adds n (n + 1) / 2
+    pairs and n for each place of the state.
     """
+    size = (F.col("stop") - F.col("start")).cast("long")
+    state = F.sum(F.when(F.col("segment") == 0, size).otherwise(0))
+    others = F.sum(F.when(F.col("segment") == 0, 0).otherwise(size))
+    own = F.sum((size * (size + 1) / 2).cast("long"))
+    return segments.groupBy(*key).agg((own + state * others).alias("allowed"))
+
+
+def mask_ranges(segments: DataFrame, key: list[str]) -> DataFrame:
+    """What each place i may look at, as two ranges (ends excluded): key, i, state_stop, start and stop."""
+    state = segments.where("segment = 0").select(*key, F.col("stop").alias("_state"))
+    joined = segments.alias("s").join(state.alias("t"), [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in key], "left").select("s.*", F.coalesce("t._state", F.lit(0)).alias("_state"))
+    each = joined.withColumn("i", F.explode(F.sequence("start", F.col("stop") - 1)))
+    return each.select(*key, "i", F.when(F.col("segment") == 0, 0).otherwise(F.col("_state")).alias("state_stop"), "start", (F.col("i") + 1).alias("stop"))
 
-    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, batch, count, longest = object(), 0, 0, 0
-        for frame in frames:
-            out = []
-            for s, n in zip(frame[shard].tolist(), frame[size].tolist(), strict=True):
-                if s != last:
-                    last, batch, count, longest = s, 0, 0, 0
-                if count and (count >= most or max(longest, n) * (count + 1) > budget):
-                    batch, count, longest = batch + 1, 0, 0
-                count, longest = count + 1, max(longest, n)
-                out.append(batch)
-            yield frame.assign(batch=out)
 
-    frame = rows.select(shard, key, size)
-    return frame.repartition(shard).sortWithinPartitions(shard, size, key).mapInPandas(fill, f"{frame._jdf.schema().toDDL()}, batch long")
+def attends(ranges: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs (i, j) of mask_ranges, for sequences short enough to be written out."""
+    span = lambda a, b: F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
+    number = lambda c: F.col(c).cast("int")
+    return ranges.select(*key, "i", F.explode(F.concat(span(F.lit(0), number("state_stop")), span(number("start"), number("stop")))).alias("j"))
+
+
+def length_batches(rows: DataFrame, shard: str, key: str, size: str, budget: int, most: int) -> DataFrame:
+    """Batches within a shard, filled in order of size while padded tokens stay under the budget and rows under most.
+
+    Sizes grow within a shard, so where a batch that begins at a row would end depends on the next `most` rows only. Rows lie
+    in blocks of SPAN places (most, if that is more); for each place at which a batch may cross into a block, a fold from the block's end gives the place
+    in the next block and the number of batches on the way. These maps of blocks are composed by doubling joins, which
+    gives every block its first batch, and a fold through the block numbers its rows. No task holds more than a block.
+    """
+    span = max(SPAN, most)
+    placed = stored(numbered(rows.select(shard, key, size), [shard], [size, key], "at").withColumn("_g", F.struct(F.lit(0), shard)))
+    block = F.floor(F.col("at") / span)
+    guests = placed.where(F.col("at") % span < most).where(F.col("at") >= span).select("_g", "at", (block - 1).alias("block"), F.col(size).alias("size"))
+    own = placed.select("_g", "at", block.alias("block"), F.col(size).alias("size"))
+    blocks = own.union(guests).groupBy("_g", "block").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("rows"))
+    end = (F.col("block") + 1) * span
+
+    def following(x: Column, i: Column) -> Column:
+        """The first place of the next batch if one begins at place i of the block."""
+        ahead = F.slice("rows", i + 1, most)
+        n = F.size(F.filter(F.transform(ahead, lambda y, m: y["size"] * (m + 1) <= budget), lambda ok: ok))
+        return x["at"] + F.greatest(F.lit(1), n)
+
+    nexts = F.transform("rows", lambda x, i: F.struct(x["at"].alias("at"), following(x, i).alias("next")))
+    blocks = stored(blocks.select("_g", "block", F.filter(nexts, lambda x: x["at"] < end).alias("rows")))
+    state = "array<struct<out:bigint,n:bigint>>"
+    step = lambda a, x: F.concat(F.array(F.when(x["next"] >= end, F.struct(x["next"].alias("out"), F.lit(1).cast("long").alias("n"))).otherwise(F.struct(F.get(a, (x["next"] - x["at"] - 1).cast("int"))["out"].alias("out"), (F.get(a, (x["next"] - x["at"] - 1).cast("int"))["n"] + 1).alias("n")))), a)
+    exits = F.slice(F.aggregate(F.reverse("rows"), F.array().cast(state), step), 1, most)
+    maps = blocks.select("_g", "block", F.posexplode(exits).alias("entry", "x")).select("_g", "block", F.col("entry").cast("long").alias("entry"), (F.col("block") + 1).alias("to"), (F.col("x.out") - end).alias("into"), F.col("x.n").alias("n"))
+    jumps = stored(maps)
+    known = stored(blocks.where("block = 0").select("_g", "block", F.lit(0).cast("long").alias("entry"), F.lit(0).cast("long").alias("first")))
+    last, reach = placed.agg(F.max(block)).first()[0] or 0, 1
+    while reach <= last:
+        hop = known.join(jumps, ["_g", "block", "entry"]).select("_g", F.col("to").alias("block"), F.col("into").alias("entry"), (F.col("first") + F.col("n")).alias("first"))
+        known = stored(known.union(hop))
+        reach *= 2
+        if reach <= last:
+            then = jumps.select("_g", F.col("block").alias("to"), F.col("entry").alias("into"), F.col("to").alias("_to"), F.col("into").alias("_into"), F.col("n").alias("_n"))
+            jumps = stored(jumps.join(then, ["_g", "to", "into"]).select("_g", "block", "entry", F.col("_to").alias("to"), F.col("_into").alias("into"), (F.col("n") + F.col("_n")).alias("n")))
+    begun = F.struct((F.col("block") * span + F.col("entry")).alias("next"), (F.col("first") - 1).alias("batch"), F.array().cast("array<bigint>").alias("out"))
+    number = lambda a, x: F.when(x["at"] == a["next"], F.struct(x["next"].alias("next"), (a["batch"] + 1).alias("batch"), F.concat(a["out"], F.array(a["batch"] + 1)).alias("out"))).otherwise(F.struct(a["next"].alias("next"), a["batch"].alias("batch"), F.concat(a["out"], F.array(a["batch"])).alias("out")))
+    marked = blocks.join(known, ["_g", "block"]).select("_g", F.explode(F.arrays_zip(F.transform("rows", lambda x: x["at"]).alias("at"), F.aggregate("rows", begun, number)["out"].alias("batch"))).alias("x"))
+    return placed.join(marked.select("_g", "x.at", "x.batch"), ["_g", "at"]).select(shard, key, size, "batch")
 
 
 def balanced(rows: DataFrame, shard: str, group: str, order: str, label: str, per_group: int, slack: int) -> DataFrame:
     """Rows kept in order while neither answer is more than slack ahead and a group has room.
 
     A kept row changes later decisions, so a shard is read by one task, in order and in Arrow batches; its state is two
-    counts and the groups'.
+    counts and the groups'. Maps of blocks, as length_batches composes them, would need an entry for every state that a block
+    may begin with, and with a count for each group those are more than the rows.
     """
     frame = rows.select(shard, group, order, label)
 

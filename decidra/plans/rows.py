@@ -12,6 +12,7 @@ from decidra.operators import joins as J
 from decidra.operators import labels as L
 from decidra.operators import sampling as S
 from decidra.operators import sequences as Q
+from decidra.operators.ordered import numbered
 from decidra.sources import dom
 
 from .registry import query
@@ -20,10 +21,22 @@ from .standins import STEPS_SQL, episodes, table
 _UNIT = "(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-@query(f"WITH {STEPS_SQL} SELECT event_id, array_to_string(coalesce(list(kind) OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []), ',') AS history FROM steps")
+@query(f"WITH {STEPS_SQL} SELECT event_id, count(*) OVER w AS before, array_to_string(coalesce(list(kind) OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []), ',') AS recent FROM steps WINDOW w AS (PARTITION BY episode ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def episode_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step's history as its length, which is a range of the episode's chunks, and the ten entries that a row shows."""
     rows = Q.history(episodes(spark, sf_dir), ["episode"], "step", "kind")
-    return rows.select("event_id", F.array_join("history", ",").alias("history"))
+    return rows.select("event_id", "before", F.array_join("recent", ",").alias("recent"))
+
+
+@query(f"WITH {STEPS_SQL} SELECT episode, step // 4096 AS chunk, string_agg(kind, ',' ORDER BY step) AS entries FROM steps GROUP BY ALL")
+def history_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Q.history_chunks(episodes(spark, sf_dir), ["episode"], "step", "kind")
+    return rows.select("episode", "chunk", F.array_join("entries", ",").alias("entries"))
+
+
+@query(f"WITH {STEPS_SQL} SELECT episode, kind, max(step) AS last FROM steps GROUP BY ALL")
+def last_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.last_seen(episodes(spark, sf_dir), ["episode"], "step", "kind")
 
 
 @query(f"""WITH {STEPS_SQL}, f AS (SELECT *, (kind = 'purchase')::INT AS done FROM steps)
@@ -320,10 +333,11 @@ def pack_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT l_orderkey AS k, list(seg ORDER BY l_linenumber) AS s FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN 0 ELSE (l_linenumber - 1) // 2 END AS seg FROM lineitem) GROUP BY 1),
 a AS (SELECT k, unnest(s) AS si, generate_subscripts(s, 1) - 1 AS i FROM s) SELECT x.k, count(*) AS allowed FROM a x JOIN a y ON x.k = y.k AND y.i <= x.i AND (x.si = y.si OR y.si = 0) GROUP BY x.k""")
 def tree_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem")  # noqa: E741  the stand-in's sequences are orders
-    seg = F.when(F.col("l_linenumber") <= 2, 0).otherwise(F.floor((F.col("l_linenumber") - 1) / 2)).cast("int")
-    g = l.groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", seg.alias("s")))), lambda x: x["s"]).alias("segments"))
-    return Q.attends(g, ["k"], "segments").groupBy("k").agg(F.count("*").alias("allowed"))
+    """The stand-in's sequences are orders, their places the lines."""
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"))
+    seg = F.when(F.col("line") <= 2, 0).otherwise(F.floor((F.col("line") - 1) / 2)).cast("int")
+    places = numbered(line.select("k", "line", seg.alias("segment")), ["k"], "line", "i")
+    return Q.allowed(Q.segment_ranges(places, ["k"], "i", "segment"), ["k"])
 
 
 @query("""WITH m AS (SELECT event_id AS id, (event_id % 6)::INT AS step_index, 6 AS n_steps, list_transform(range(event_id % 7), lambda x: 'h') AS h, CASE WHEN event_id % 3 = 0 THEN 'TYPE' ELSE 'CLICK' END AS op FROM events)
