@@ -84,12 +84,12 @@ def auroc(rows: DataFrame, by: list[str], score: str = "p", label: str = "y", na
 
 
 def selective(rows: DataFrame, by: list[str], coverages: dict[str, float], order: str = "id") -> DataFrame:
-    """Accuracy of the most confident share of rows; of equal confidences the first by order (a number) count.
+    """Accuracy of the most confident share of rows; of equal confidences the first by order (a number or a text) count.
 
     The last row that counts is found by radix selection, first by confidence, then by order inside one confidence. A bucket
     whose rows all hit, or none, or that counts as a whole is not split any further. Rows equal in both count with their hits first.
     """
-    kept = grouped(rows.where("conf is not null and hit is not null"), by).select("_g", (-F.col("conf")).alias("_v"), F.col(order).cast("long").alias("_o"), F.col("hit").cast("long").alias("hit"), F.lit(1).cast("long").alias("_n"))
+    kept = grouped(rows.where("conf is not null and hit is not null"), by).select("_g", (-F.col("conf")).alias("_v"), F.col(order).alias("_o"), F.col("hit").cast("long").alias("hit"), F.lit(1).cast("long").alias("_n"))
     kept = stored(kept)
     shares = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("share")) for k, v in coverages.items()]))
     sizes = kept.groupBy("_g").agg(F.count("*").alias("_all")).select("_g", "_all", shares.alias("x"))

@@ -35,18 +35,26 @@ def numbered(rows: DataFrame, by: list[str], order: str | list[str], name: str)
     return placed.select(*[c for c in rows.columns if c != name], (F.col("_at") + F.col("_shift")).alias(name))
 
 
-def _bucket(v: Column, low: Column, high: Column, whole: bool) -> Column:
+def _bucket(v: Column, low: Column, high: Column, kind: str, skip: Column) -> Column:
     """A number that grows with v from low (0) to high (BUCKETS - 1), which are alone in theirs but for equal values."""
     last = BUCKETS - 2
-    if whole:
-        wide = lambda c: c.cast("decimal(20,0)")
-        inner = F.call_function("div", (wide(v) - wide(low)) * F.lit(last).cast("decimal(5,0)"), wide(high) - wide(low) + 1)
+    if kind == "string":  # the six bytes behind what low and high have in common
+        number = lambda c: F.conv(F.rpad(F.substring(F.hex(F.encode(F.substring(c, skip + 1, F.lit(6)), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("decimal(20,0)")
     else:
+        number = lambda c: c.cast("decimal(20,0)")
+    if kind in ("double", "float"):
         share = F.try_divide(v / 2 - low / 2, high / 2 - low / 2)
         inner = F.floor(F.when(share.between(0, 1), share).otherwise(0.0) * last).cast("long")
+    else:
+        inner = F.call_function("div", (number(v) - number(low)) * F.lit(last).cast("decimal(5,0)"), number(high) - number(low) + 1)
     return F.when(v == low, 0).when(v == high, BUCKETS - 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(last), inner))).cast("int")
 
 
+def _common(low: Column, high: Column) -> Column:
+    """Characters that both begin with."""
+    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(low), F.length(high)))), lambda k: (F.length(low) >= k) & (F.length(high) >= k) & (F.substring(low, F.lit(1), k) == F.substring(high, F.lit(1), k))))
+
+
 def selected(rows: DataFrame, wanted: DataFrame, keys: list[str], sums: list[str], settled: Callable[[], Column] | None = None) -> DataFrame:
     """The bucket of equal keys that holds the k-th row of each group, for rows (_g, keys, _n, sums) of weight _n.
 
@@ -62,21 +70,22 @@ def selected(rows: DataFrame, wanted: DataFrame, keys: list[str], sums: list[str
         same = lambda c: F.col(f"r.{c}") == F.col(f"w.{c}")
         held = [same(c) for c in keys[:number]]
         ends = rows.alias("r").join(now.alias("w"), [same("_g"), *held]).groupBy("w._g", "w._name").agg(F.min(f"r.{key}").alias("_low"), F.max(f"r.{key}").alias("_high"))
-        now = stored(now.join(ends, ["_g", "_name"]))
+        skip = _common(F.col("_low"), F.col("_high")) if kinds[key] == "string" else F.lit(0)
+        now = stored(now.join(ends, ["_g", "_name"]).withColumn("_skip", skip))
         rest = None
         while now.limit(1).count():
             v = F.col(f"r.{key}")
             inside = rows.alias("r").join(now.alias("w"), [same("_g"), *held]).where(v.between(F.col("w._low"), F.col("w._high")))
-            bucket = _bucket(v, F.col("w._low"), F.col("w._high"), kinds[key] in ("bigint", "int", "smallint", "tinyint"))
+            bucket = _bucket(v, F.col("w._low"), F.col("w._high"), kinds[key], F.col("w._skip"))
             counts = inside.groupBy("w._g", "w._name", bucket.alias("_b")).agg(F.min(v).alias("_min"), F.max(v).alias("_max"), F.sum("r._n").alias("_n"), *[F.sum(f"r.{s}").alias(s) for s in sums])
             upto = Window.partitionBy("_g", "_name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
             ahead = counts.select("*", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"_up_{c}") for c in ("_n", *sums)])
-            found = ahead.join(now.drop("_low", "_high", "_n", *sums), ["_g", "_name"]).where("_up__n < _k and _k <= _up__n + _n")
+            found = ahead.join(now.drop("_low", "_high", "_skip", "_n", *sums), ["_g", "_name"]).where("_up__n < _k and _k <= _up__n + _n")
             found = found.withColumns({"_k": F.col("_k") - F.col("_up__n"), **{f"_before_{s}": F.col(f"_before_{s}") + F.col(f"_up_{s}") for s in sums}, key: F.when(F.col("_min") == F.col("_max"), F.col("_min"))})
             found = stored(found.withColumn("_over", F.col(key).isNotNull()).withColumn("_settled", settled()))
             over = found.where("_over or _settled").select(*out, "_settled")
             rest = over if rest is None else rest.union(over)
-            now = found.where("not _over and not _settled").select(*[c for c in now.columns if c not in ("_low", "_high", "_n", *sums)], F.col("_min").alias("_low"), F.col("_max").alias("_high"))
+            now = found.where("not _over and not _settled").select(*[c for c in now.columns if c not in ("_low", "_high", "_skip", "_n", *sums)], F.col("_min").alias("_low"), F.col("_max").alias("_high")).withColumn("_skip", skip)
         if rest is None:
             return done
         if number == len(keys) - 1:

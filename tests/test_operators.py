@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from decidra import schemas
 from decidra.functions import numeric as N
 from decidra.functions import text as X
-from decidra.operators import builders, experiments, joins, labels, metrics, sampling, sequences
+from decidra.operators import builders, experiments, joins, labels, metrics, ordered, sampling, sequences
 from decidra.plans import rows as plans
 from decidra.sources import dom, readers, writers
 from decidra.streaming import logs
@@ -275,7 +275,7 @@ def test_places_of_sorted_values(spark):
     for g in ("a", "b", None, "one"):
         v = sorted(x for k, x in rows if k == g and x is not None)
         assert (got[g].low, got[g].high, got[g].p90) == (v[(len(v) - 1) // 2], v[len(v) // 2], v[max(0, int(len(v) * 0.9) - 1)])
-    places = [(r.v, r.i) for r in metrics.numbered(frame.where("v is not null"), [], "v", "i").orderBy("i").collect()]
+    places = [(r.v, r.i) for r in ordered.numbered(frame.where("v is not null"), [], "v", "i").orderBy("i").collect()]
     assert [i for _, i in places] == list(range(len(places))) and [v for v, _ in places] == sorted(v for _, v in rows if v is not None)
 
 

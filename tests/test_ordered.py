@@ -50,7 +50,14 @@ def test_selection_equals_a_sort(spark, kind):
     rows = [(rng.choice(["a", "b", None]), conf(), rng.choice([0, 1, 1, None]), i * 3 - 500 if rng.random() < 0.9 else 7) for i in range(900)] + [("one", 0.5, 1, 1)]
     frame = spark.createDataFrame(rows, "g string, conf double, hit int, id long").repartition(4)
     out = {r.g: (r.x, r.y, r.z) for r in M.selective(frame, ["g"], {"x": 0.8, "y": 0.0, "z": 1.0}).collect()}
-    assert out == {g: tuple(plain_selective(rows, s)[g] for s in (0.8, 0.0, 1.0)) for g in plain_selective(rows, 0.5)}
+    expected = {g: tuple(plain_selective(rows, s)[g] for s in (0.8, 0.0, 1.0)) for g in plain_selective(rows, 0.5)}
+    assert out == expected
+    if kind == "tied":  # by text, with long common beginnings
+        name = lambda i: "common/" * 3 + ("é" if i % 5 == 0 else "") + f"{i % 7}" * (i % 4) + f"/{i}"
+        rows = [(g, c, h, name(i)) for g, c, h, i in rows]
+        frame = spark.createDataFrame(rows, "g string, conf double, hit int, id string").repartition(4)
+        out = {r.g: r.x for r in M.selective(frame, ["g"], {"x": 0.63}).collect()}
+        assert out == plain_selective([(g, c, h, i.encode()) for g, c, h, i in rows], 0.63)
 
 
 def test_values_at_places(spark):
