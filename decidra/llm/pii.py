@@ -26,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import let, running
+from decidra.functions.arrays import let, running
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone", "term")

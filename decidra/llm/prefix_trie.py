@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import running as running_sums
+from decidra.functions.arrays import running as running_sums
 from .common import written
 
 #: Turns, depths or bytes of text that are held as one.
