@@ -11,6 +11,7 @@ from decidra.operators.ordered import nth_values
 from decidra.sources import readers as R
 from decidra.sources.scratch import folder
 from decidra.streaming import logs
+from decidra.streaming.episodes import closed, state_store
 
 from .registry import query
 from .scoring import rounded, scored
@@ -169,3 +170,17 @@ def log_tail_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     logs.drained(stream.select("event_type", "value"), f"{path}/out", f"{path}/state")
     return spark.read.parquet(f"{path}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""WITH s AS (SELECT *, ts - lag(ts) OVER w >= INTERVAL 12 HOURS AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(coalesce(new, FALSE)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s),
+e AS (SELECT user_id AS episode, min(ts) AS first, max(ts) AS last, count(*) AS n, bool_or(event_type = 'purchase') AS reached, list(event_type ORDER BY ts) AS kinds FROM g GROUP BY user_id, g)
+SELECT episode, first, last, n, reached, array_to_string(kinds[-10:], ',') AS recent FROM e WHERE last + INTERVAL 12 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def closed_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream: episodes that a gap of twelve hours has ended, as far as the watermark has come."""
+    path, schema = folder(spark), table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    steps = stream.select(F.col("user_id").alias("episode"), F.col("ts").cast("timestamp").alias("time"), F.col("event_type").alias("entry"), (F.col("event_type") == "purchase").alias("done"))
+    with state_store(spark):
+        logs.drained(closed(steps, 12 * 3600, "1 day"), f"{path}/out", f"{path}/state")
+    return spark.read.parquet(f"{path}/out").withColumns({"first": F.col("first").cast("timestamp_ntz"), "last": F.col("last").cast("timestamp_ntz"), "recent": F.array_join("recent", ",")})

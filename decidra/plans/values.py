@@ -13,6 +13,7 @@ from decidra.operators import items as I
 from decidra.operators import joins as J
 from decidra.operators import labels as L
 from decidra.operators import metrics as M
+from decidra.sources import commits
 from decidra.sources import writers as W
 from decidra.sources.scratch import folder
 
@@ -149,9 +150,9 @@ def resumed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run that stopped half way and is repeated, and an empty result that must not replace it."""
     path, rows = folder(spark), table(spark, sf_dir, "documents").select("doc_id", "lang")
     for part in (rows.where("doc_id % 2 = 0"), rows):
-        W.append_new(part, path, "doc_id", "doc_id long, lang string")
-    W.overwrite_unless_empty(rows.where("false"), path)
-    return spark.read.schema("doc_id long, lang string").json(path).groupBy("doc_id").agg(F.count("*").alias("times"))
+        commits.append_new(part, path, "doc_id", "doc_id long, lang string")
+    commits.overwrite_unless_empty(rows.where("false"), path)
+    return commits.read(spark, path, "doc_id long, lang string").groupBy("doc_id").agg(F.count("*").alias("times"))
 
 
 @query("SELECT lang, count(*) AS n, round(avg(n_chars), 3) AS mean FROM documents GROUP BY lang")

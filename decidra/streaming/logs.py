@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from decidra import schemas
@@ -18,10 +19,12 @@ def training_log(spark: SparkSession, path: str, files_per_trigger: int = 100) -
     return rows.where("eval is null").select("step", "loss", "lr", "elapsed"), rows.where("eval is not null").select("step", "eval")
 
 
-def drained(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", kind: str = "parquet") -> None:
-    """Writes what is there now and ends; the next call goes on where this one stopped."""
+def drained(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", kind: str = "parquet") -> StreamingQuery:
+    """Writes what is there now and ends; the next call goes on where this one stopped. Returns the query, which has ended."""
     writer = stream.writeStream.outputMode(mode).format(kind).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    writer.start(sink).awaitTermination()
+    query = writer.start(sink)
+    query.awaitTermination()
+    return query
 
 
 def counted_by_window(events: DataFrame, time: str, kind: str, length: str, late: str) -> DataFrame:
@@ -29,11 +32,15 @@ def counted_by_window(events: DataFrame, time: str, kind: str, length: str, late
     return events.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
-def episodes(steps: DataFrame, entries: int = 10) -> DataFrame:
+def episodes(steps: DataFrame, entries: int = 10, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
     """Steps (episode, step, entry, done) of a stream, each with the number of steps before, the last entries and whether
-    the goal was reached up to it. State per episode is bounded: a count, a flag and the last entries."""
+    the goal was reached up to it. State per episode is a count, a flag and the last entries, and it goes when no step has come
+    for idle_ms; streaming.episodes closes episodes by the steps' own time."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, reached, last = state.get if state.exists else (0, False, [])
         last, out = list(last), []
         for step, entry, done in sorted(x for f in frames for x in zip(f["step"].tolist(), f["entry"].tolist(), f["done"].tolist(), strict=True)):
@@ -41,6 +48,7 @@ def episodes(steps: DataFrame, entries: int = 10) -> DataFrame:
             out.append((key[0], step, seen, list(last), reached))
             seen, last = seen + 1, [*last, entry][-entries:]
         state.update((seen, reached, last))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["episode", "step", "before", "recent", "reached"])
 
-    return steps.groupBy("episode").applyInPandasWithState(run, "episode long, step long, before long, recent array<string>, reached boolean", "seen long, reached boolean, last array<string>", "append", GroupStateTimeout.NoTimeout)
+    return steps.groupBy("episode").applyInPandasWithState(run, "episode long, step long, before long, recent array<string>, reached boolean", "seen long, reached boolean, last array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -12,7 +12,7 @@ from decidra.functions import numeric as N
 from decidra.functions import text as X
 from decidra.operators import builders, experiments, joins, labels, metrics, ordered, sampling, sequences
 from decidra.plans import rows as plans
-from decidra.sources import dom, readers, writers
+from decidra.sources import commits, dom, readers, writers
 from decidra.streaming import logs
 
 
@@ -174,10 +174,10 @@ def test_pixel_items_skip_missing_boxes(spark):
 def test_round_trip_of_files(spark, tmp_path):
     path = str(tmp_path / "rows")
     rows = spark.createDataFrame([("a", 0.5, None, None), ("b", None, "k", 2.0)], schemas.PREDICTION)
-    assert writers.append_new(rows, path, "id", schemas.PREDICTION) == 2
-    assert writers.append_new(rows.union(spark.createDataFrame([("c", 1.0, None, None)], schemas.PREDICTION)), path, "id", schemas.PREDICTION) == 1
-    assert sorted(r.id for r in readers.json_lines(spark, path, schemas.PREDICTION).collect()) == ["a", "b", "c"]
-    assert not writers.overwrite_unless_empty(rows.limit(0), path)
+    assert commits.append_new(rows, path, "id", schemas.PREDICTION) == 2
+    assert commits.append_new(rows.union(spark.createDataFrame([("c", 1.0, None, None)], schemas.PREDICTION)), path, "id", schemas.PREDICTION) == 1
+    assert sorted(r.id for r in commits.read(spark, path, schemas.PREDICTION).collect()) == ["a", "b", "c"]
+    assert not commits.overwrite_unless_empty(rows.limit(0), path)
     bad = tmp_path / "log.jsonl"
     bad.write_text('{"id": "x", "p": 1}\n\nbroken\n{"id": "y"}\n')
     assert readers.json_lines(spark, str(bad), schemas.PREDICTION, tolerant=True).count() == 2
