@@ -32,23 +32,29 @@ def counted_by_window(events: DataFrame, time: str, kind: str, length: str, late
     return events.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
-def episodes(steps: DataFrame, entries: int = 10, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def episodes(steps: DataFrame, entries: int = 10, time: str | None = None, late: str = "1 hour", idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
     """Steps (episode, step, entry, done) of a stream, each with the number of steps before, the last entries and whether
-    the goal was reached up to it. State per episode is a count, a flag and the last entries, and it goes when no step has come
-    for idle_ms; streaming.episodes closes episodes by the steps' own time."""
+    the goal was reached up to it. State per episode is a count, a flag and the last entries. With a column of time an episode's
+    state goes once the watermark is idle_ms past its last step; without one it stays, which is for streams that end."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         seen, reached, last = state.get if state.exists else (0, False, [])
-        last, out = list(last), []
-        for step, entry, done in sorted(x for f in frames for x in zip(f["step"].tolist(), f["entry"].tolist(), f["done"].tolist(), strict=True)):
+        last, out, newest = list(last), [], state.getCurrentWatermarkMs() if time else 0
+        for frame in frames:
+            out += zip(frame["step"].tolist(), frame["entry"].tolist(), frame["done"].tolist(), strict=True)
+            newest = max([newest, *frame["_ms"].tolist()])
+        for k, (step, entry, done) in enumerate(sorted(out)):
             reached = bool(reached or done)
-            out.append((key[0], step, seen, list(last), reached))
+            out[k] = (key[0], step, seen, list(last), reached)
             seen, last = seen + 1, [*last, entry][-entries:]
         state.update((seen, reached, last))
-        state.setTimeoutDuration(idle_ms)
+        if time:
+            state.setTimeoutTimestamp(newest + idle_ms)
         yield pd.DataFrame(out, columns=["episode", "step", "before", "recent", "reached"])
 
-    return steps.groupBy("episode").applyInPandasWithState(run, "episode long, step long, before long, recent array<string>, reached boolean", "seen long, reached boolean, last array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = steps.withWatermark(time, late).withColumn("_ms", F.unix_millis(time)) if time else steps.withColumn("_ms", F.lit(0).cast("long"))
+    kind = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    return timed.groupBy("episode").applyInPandasWithState(run, "episode long, step long, before long, recent array<string>, reached boolean", "seen long, reached boolean, last array<string>", "append", kind)

@@ -47,3 +47,14 @@ def test_merged_spans():
     span = lambda t, n=1: {"first": t, "last": t, "n": n, "reached": False, "recent": [[t, str(t)]]}
     out = episodes.merged([span(30), span(1), span(9), span(21)], 10, 2)
     assert [(x["first"], x["last"], x["n"], x["recent"]) for x in out] == [(1, 9, 2, [[1, "1"], [9, "9"]]), (21, 30, 2, [[21, "21"], [30, "30"]])]
+
+
+def test_state_of_idle_episodes_goes(spark, tmp_path):
+    schema = "episode long, step long, entry string, done boolean, time timestamp"
+    for number, rows in enumerate([[(1, 0, "a", False, at(0)), (1, 1, "b", True, at(1))], [(2, 0, "z", False, at(200))], [(2, 1, "y", False, at(201))]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{number}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        last = logs.drained(logs.episodes(stream, 1, "time", "1 minute", 60_000), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {(r.episode, r.step): (r.before, r.recent, r.reached) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 0): (0, [], False), (1, 1): (1, ["a"], True), (2, 0): (0, [], False), (2, 1): (1, ["z"], False)}
+    assert sum(x["numRowsTotal"] for x in last.lastProgress["stateOperators"]) == 1
