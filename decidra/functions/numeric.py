@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 
 def sigmoid(z: Column) -> Column:
     """Logits beyond 30 count as 30; results stay 1e-9 away from 0 and 1."""
@@ -24,19 +26,17 @@ def total(values: Column) -> Column:
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
     """Shares of an array of logits at a temperature; the largest is taken off first."""
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    powers = F.transform(logits, lambda z: F.exp((z - F.array_max(logits)) / t))
-    return F.transform(powers, lambda x: x / total(powers))
+    powers = let(F.array_max(logits), lambda top: F.transform(logits, lambda z: F.exp((z - top) / t)))
+    return let(powers, lambda p: let(total(p), lambda s: F.transform(p, lambda x: x / s)))
 
 
 def log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.ln(total(F.transform(values, lambda x: F.exp(x - top))))
+    return let(F.array_max(values), lambda top: top + F.ln(total(F.transform(values, lambda x: F.exp(x - top)))))
 
 
 def renormalised(p: Column) -> Column:
     """Shares that add up to 1; all zero stays zero."""
-    s = total(p)
-    return F.transform(p, lambda x: x / F.when(s == 0, F.lit(1.0)).otherwise(s))
+    return let(total(p), lambda s: F.transform(p, lambda x: x / F.when(s == 0, F.lit(1.0)).otherwise(s)))
 
 
 def yes_confidence(p: Column) -> Column:
@@ -100,8 +100,7 @@ def binary_loss(z: Column, y: Column) -> Column:
 
 def choice_loss(logits: Column, target: Column) -> Column:
     """Cross-entropy of a distribution over the options."""
-    top = log_sum_exp(logits)
-    return total(F.zip_with(logits, target, lambda z, t: (top - z) * t))
+    return let(log_sum_exp(logits), lambda top: total(F.zip_with(logits, target, lambda z, t: (top - z) * t)))
 
 
 def pointer_score(q: Column, k: Column) -> Column:

@@ -138,9 +138,12 @@ def page_checks(pages: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return out.withColumn("ok", F.forall(F.array(*names), lambda x: x))
 
 
-def synthetic_pages(base: DataFrame) -> DataFrame:
-    """Every template in every state; base is any one-row frame."""
-    return base.select(F.explode(F.array(*map(F.lit, TEMPLATES))).alias("template")).select("template", F.explode(F.array(*map(F.lit, VARIANTS))).alias("variant")).withColumn("url", F.concat_ws("", "template", F.lit("__"), "variant", F.lit(".html")))
+def synthetic_pages(base: DataFrame, prefix: Column | str = "") -> DataFrame:
+    """Every row of base with all templates and states, and their addresses behind a prefix."""
+    start = F.lit(prefix) if isinstance(prefix, str) else prefix
+    rows = base.select(*[c for c in base.columns if c != "url"], start.alias("_start"), F.explode(F.array(*map(F.lit, TEMPLATES))).alias("template"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, VARIANTS))).alias("variant"))
+    return rows.withColumn("url", F.concat("_start", "template", F.lit("__"), "variant", F.lit(".html"))).drop("_start")
 
 
 def empty_criteria() -> Column:

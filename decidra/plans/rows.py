@@ -294,11 +294,11 @@ def round_robin_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- Targets, generated items and layouts
 
 
-@query("""WITH e AS (SELECT vec_id AS id, label, list_transform(embedding[1:3], lambda x: exp(x::DOUBLE * 2)) AS w FROM embeddings), p AS (SELECT id, label, list_transform(w, lambda x: x / list_sum(w)) AS p FROM e)
+@query("""WITH e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: exp(x::DOUBLE * 2)) AS w FROM embeddings), p AS (SELECT id, label, list_transform(w, lambda x: x / list_sum(w)) AS p FROM e)
 SELECT id, round(p[1], 6) AS p0, round(list_max(p), 6) AS top, list_max(p) < 0.8 OR ('0x' || substr(md5('12:' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.1 AS hard FROM p""")
 def soft_targets_and_hard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    teacher = e.select(F.col("vec_id").alias("id"), F.array(*[F.lit(str(i)) for i in range(3)]).alias("keys"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("logits"))
+    teacher = e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda _, i: i.cast("string")).alias("keys"), F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
     soft = B.soft_labels(e.select(F.col("vec_id").alias("id")), teacher, 0.5).withColumn("tops", F.array("top"))
     hard = B.hard_rows(soft, "id", "tops", 0.8, 0.1, "12").select("id", F.lit(True).alias("hard"))
     return soft.join(hard, "id", "left").select("id", F.round(F.element_at("soft", 1)["p"], 6).alias("p0"), F.round("top", 6).alias("top"), F.coalesce("hard", F.lit(False)).alias("hard"))

@@ -237,11 +237,12 @@ def calibration_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hot.groupBy("question").agg(F.avg("hit").alias("acc"), F.avg("conf").alias("conf"), F.count_if((F.col("hit") == 0) & (F.col("conf") >= 0.99)).alias("err_at_99")), "acc", "conf")
 
 
-@query("""WITH p AS (SELECT vec_id AS id, label, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS q, list_transform(embedding[9:16], lambda x: x::DOUBLE) AS k FROM embeddings)
-SELECT id, round(list_sum(list_transform(range(1, 9), lambda i: q[i] * k[i])) / sqrt(8), 6) AS score FROM p""")
+@query("""WITH p AS (SELECT vec_id AS id, len(embedding) // 2 AS n, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT id, round(list_sum(list_transform(range(1, n + 1), lambda i: v[i] * v[n + i])) / sqrt(n), 6) AS score FROM p""")
 def pointer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.round(N.pointer_score(F.slice("embedding", 1, 8), F.slice("embedding", 9, 8)), 6).alias("score"))
+    """The first half of a vector as the question, the second as the option."""
+    e, n = table(spark, sf_dir, "embeddings"), F.floor(F.size("embedding") / 2).cast("int")
+    return e.select(F.col("vec_id").alias("id"), F.round(N.pointer_score(F.slice("embedding", 1, n), F.slice("embedding", n + 1, n)), 6).alias("score"))
 
 
 @query(f"""WITH {CHOICES_SQL}, m AS (SELECT id, gold, max(z) AS m, list(z ORDER BY k) AS z FROM long GROUP BY ALL), l AS (SELECT id, gold, z, m + ln(list_sum(list_transform(z, lambda x: exp(x - m)))) AS l FROM m)

@@ -139,9 +139,10 @@ def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.page_checks(p, {"nav": F.col("html").contains("<nav>"), "long": F.length("html") > 500, "secure": F.col("url").startswith("https")}).select("page_id", "nav", "long", "secure", "ok")
 
 
-@query("""SELECT t || '__' || v || '.html' AS url, t AS template, v AS variant FROM (SELECT unnest(['booking', 'catalog', 'help', 'index', 'search', 'settings', 'signup']) AS t) CROSS JOIN (SELECT unnest(['base', 'checked1', 'disabled1', 'done1', 'filled1', 'overlay1', 'wrong1']) AS v)""")
+@query("""SELECT page_id, url || '/' || t || '__' || v || '.html' AS url, t AS template, v AS variant FROM pages CROSS JOIN (SELECT unnest(['booking', 'catalog', 'help', 'index', 'search', 'settings', 'signup']) AS t) CROSS JOIN (SELECT unnest(['base', 'checked1', 'disabled1', 'done1', 'filled1', 'overlay1', 'wrong1']) AS v)""")
 def synthetic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.synthetic_pages(table(spark, sf_dir, "region").limit(1)).select("url", "template", "variant")
+    """Each page of a site with all templates and states."""
+    return I.synthetic_pages(table(spark, sf_dir, "pages"), F.concat("url", F.lit("/"))).select("page_id", "url", "template", "variant")
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate::DATE + 21, '%A, %B %-d') AS spelt FROM orders""")
@@ -166,12 +167,12 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH e AS (SELECT vec_id, label, list_transform(range(0, 10), lambda k: CASE WHEN k % 2 = label % 2 THEN embedding[k + 1]::DOUBLE ELSE 0.0::DOUBLE END) AS v FROM embeddings) SELECT vec_id, round(list_sum(v), 6) AS mass, round(v[4], 6) AS fourth, len(v)::INT AS n FROM e""")
+@query("""WITH e AS (SELECT vec_id, list_transform(range(0, len(embedding)), lambda k: CASE WHEN k % 2 = label % 2 THEN embedding[k + 1]::DOUBLE ELSE 0.0::DOUBLE END) AS v FROM embeddings) SELECT vec_id, round(list_sum(v), 6) AS mass, round(v[4], 6) AS fourth, len(v)::INT AS n FROM e""")
 def soft_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets in the order of the keys; every second key is missing."""
     e = table(spark, sf_dir, "embeddings")
-    soft = F.filter(F.transform(F.slice("embedding", 1, 10), lambda x, i: F.struct(i.cast("string").alias("key"), x.cast("double").alias("p"))), lambda s: s["key"].cast("int") % 2 == F.col("label") % 2)
-    v = X.soft_vector(F.array(*[F.lit(str(i)) for i in range(10)]), soft)
+    soft = F.filter(F.transform("embedding", lambda x, i: F.struct(i.cast("string").alias("key"), x.cast("double").alias("p"))), lambda s: s["key"].cast("int") % 2 == F.col("label") % 2)
+    v = X.soft_vector(F.transform("embedding", lambda _, i: i.cast("string")), soft)
     return e.select("vec_id", v.alias("v")).select("vec_id", F.round(N.total(F.col("v")), 6).alias("mass"), F.round(F.element_at("v", 4), 6).alias("fourth"), F.size("v").alias("n"))
 
 

@@ -24,9 +24,9 @@ def predictions(spark: SparkSession, sf_dir: str, factor: int = 7919, steps: int
 
 
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logits of ten options and the right one."""
+    """Logits of options, one for each entry of a vector, and the right one."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("logits"), F.col("label").cast("int").alias("gold"))
+    return e.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("logits"), F.col("label").cast("int").alias("gold"))
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ items AS (SELECT d.doc_id AS id, d.lang AS question, d.source AS site, l.quality
 scored AS (SELECT *, label AS y, CASE WHEN p > 0.5 THEN p ELSE 1 - p END AS conf, CASE WHEN answered THEN ((p > 0.5) = (label = 1))::INT END AS hit FROM items)"""
 SECOND_SQL = SCORED_SQL.replace("items AS", "items2 AS").replace("scored AS", "scored2 AS").replace("FROM items)", "FROM items2)").replace("* 7919", "* 104729")
 CHOICES_SQL = """
-choices AS (SELECT vec_id AS id, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS z, label::INT AS gold FROM embeddings),
+choices AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS z, label::INT AS gold FROM embeddings),
 long AS (SELECT id, gold, unnest(z) AS z, generate_subscripts(z, 1) - 1 AS k FROM choices)"""
 STEPS_SQL = """
 steps AS (SELECT event_id, user_id AS episode, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS step, event_type AS kind, value FROM events)"""

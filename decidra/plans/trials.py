@@ -9,6 +9,7 @@ from decidra.operators import experiments as E
 from decidra.operators import metrics as M
 from decidra.operators.ordered import nth_values
 from decidra.sources import readers as R
+from decidra.sources.logsource import registered
 from decidra.sources.scratch import folder
 from decidra.streaming import logs
 from decidra.streaming.episodes import closed, state_store
@@ -184,3 +185,36 @@ def closed_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     with state_store(spark):
         logs.drained(closed(steps, 12 * 3600, "1 day"), f"{path}/out", f"{path}/state")
     return spark.read.parquet(f"{path}/out").withColumns({"first": F.col("first").cast("timestamp_ntz"), "last": F.col("last").cast("timestamp_ntz"), "recent": F.array_join("recent", ",")})
+
+
+_LINE = """'[' || event_id || '] k=' || CASE WHEN event_id % 4 = 0 THEN 'None' ELSE event_type END || ' p=' || value"""
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of a log, every eleventh one with a line of another kind behind it."""
+    e = table(spark, sf_dir, "events")
+    line = F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("] k="), F.when(F.col("event_id") % 4 == 0, "None").otherwise(F.col("event_type")), F.lit(" p="), F.col("value").cast("string"))
+    return e.select("event_id", F.when(F.col("event_id") % 11 == 0, F.concat(line, F.lit("\nnoise"))).otherwise(line).alias("value"))
+
+
+_OPTIONS = {"pattern": r"^\[(\d+)\] k=(\S*) p=(\S+)$", "fields": "i bigint, k string, p double"}
+
+
+@query("SELECT event_id AS i, event_type AS k, round(value, 6) AS p FROM events WHERE event_id % 4 <> 0 AND event_type = 'click' AND event_id >= 100")
+def log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as logs and read by the format of its own, which checks the conditions."""
+    path = folder(spark)
+    event_log(spark, sf_dir).select("value").write.text(path)
+    logs_of = registered(spark).read.format("decision_log").options(**_OPTIONS).load(path)
+    return rounded(logs_of.where("k = 'click' and i >= 100"), "p")
+
+
+@query("SELECT event_id AS i, CASE WHEN event_id % 4 <> 0 THEN event_type END AS k, round(value, 6) AS p FROM events")
+def log_source_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream that ends, and goes on when the other half of the files has come."""
+    path, out = folder(spark), folder(spark)
+    for half in (0, 1):
+        event_log(spark, sf_dir).where(F.col("event_id") % 2 == half).select("value").write.mode("append").text(path)
+        stream = registered(spark).readStream.format("decision_log").options(**_OPTIONS).load(path)
+        logs.drained(stream, f"{out}/rows", f"{out}/state")
+    return rounded(spark.read.parquet(f"{out}/rows"), "p")

@@ -14,6 +14,7 @@ from decidra.operators import joins as J
 from decidra.operators import labels as L
 from decidra.operators import metrics as M
 from decidra.sources import commits
+from decidra.sources import readers as R
 from decidra.sources import writers as W
 from decidra.sources.scratch import folder
 
@@ -163,3 +164,49 @@ def report_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     W.report_json(report).write.text(path)
     rows = spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<lang:string,n:long,mean:double>>")).alias("r"))
     return rows.select("r.*")
+
+
+# ---- Files, written and scanned
+
+
+@query("SELECT doc_id, sha256(text) AS text_sha256, lang, 'part-' AS file FROM documents")
+def json_lines_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines in many files, found by a pattern of names, with blank lines between them."""
+    path, d = folder(spark), table(spark, sf_dir, "documents")
+    d.select(F.concat(F.to_json(F.struct("doc_id", "text", "lang")), F.when(F.col("doc_id") % 3 == 0, "\n\n  ").otherwise("")).alias("value")).write.text(path)
+    rows = R.json_lines(spark, f"{path}/part-*", "doc_id long, text string, lang string")
+    return rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", F.left("file_name", F.lit(5)).alias("file"))
+
+
+@query("SELECT lang, count_if(doc_id % 7 <> 0)::BIGINT AS good, count_if(doc_id % 7 = 0)::BIGINT AS bad, sum(CASE WHEN doc_id % 7 <> 0 THEN doc_id END)::BIGINT AS ids FROM documents GROUP BY lang")
+def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh line is cut off: counted as bad, and left out of the rows."""
+    path, d = folder(spark), table(spark, sf_dir, "documents")
+    line = F.to_json(F.struct("doc_id", "n_chars"))
+    d.select("lang", F.when(F.col("doc_id") % 7 == 0, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line).alias("value")).write.partitionBy("lang").text(path)
+    schema, out = "doc_id long, n_chars long", None
+    for lang in [r.lang for r in d.select("lang").distinct().orderBy("lang").limit(100).collect()]:
+        of = f"{path}/lang={lang}"
+        counts = R.bad_lines(spark, of, schema).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        part = counts.join(R.json_lines(spark, of, schema, tolerant=True).agg(F.sum("doc_id").alias("ids"))).select(F.lit(lang).alias("lang"), "good", "bad", "ids")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("SELECT s_suppkey, s_name, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation, which is one array of its suppliers over several lines."""
+    path, s = folder(spark), table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    entry = F.to_json(F.struct("s_suppkey", "s_name", F.col("n_name").alias("nation")))
+    docs = s.groupBy("n_name").agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(entry), ",\n"), F.lit("\n]")).alias("value"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return R.json_document(spark, path, "s_suppkey long, s_name string, nation string")
+
+
+@query("SELECT 'page' || page_id AS name, url || '=x' AS value FROM pages WHERE page_id % 5 <> 0")
+def text_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of assignments in which every fifth line is a comment; blank lines are none."""
+    path, p = folder(spark), table(spark, sf_dir, "pages")
+    line = F.concat(F.lit(" page"), F.col("page_id").cast("string"), F.lit("= "), F.col("url"), F.lit("=x \n"))
+    p.select(F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("#"), line)).otherwise(line).alias("value")).write.text(path)
+    return R.assignments(R.text_list(spark, path))
