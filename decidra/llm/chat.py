@@ -7,6 +7,8 @@ turn is `<|im_start|>role<|im_sep|>text<|im_end|>` and a line end. Inside roles
 
 Defined cases: null roles and texts count as empty; turns with the same number follow each other by role and text;
 a null turn comes first; a node whose parent is missing is a root; nodes on a cycle belong to no path.
+An empty table gives no conversations; very long texts are joined to the paths last; branches of equal score and length rank by
+their leaf; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -9,6 +9,8 @@ move and no list of a frequent term meets in one task.
 
 Defined cases: null and empty texts have no words; an item without words has no window; repeated items are matched
 each; rows with the same doc_id are separate rows; an empty benchmark hits nothing. A near match counts once for an item.
+An empty table of documents gives no rows; a very long text is one row, read whole by one task; other columns are not read, so
+their names can't clash.
 """
 
 from __future__ import annotations

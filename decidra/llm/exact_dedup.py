@@ -8,6 +8,7 @@ tasks hold goes through tries of fewer tasks first, so that no task gets a copy
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; of rows with the same doc_id the
 one read later counts as larger; a null doc_id counts as smallest; an empty table gives an empty table.
+A very long text is one key of a trie, which spills; other columns are not read by the query, and drop_copies returns them.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ rarest words support no whole alignment although such a phrase is there, the pos
 intersected, which gives the share of every start.
 
 Defined cases: null and empty texts have no words, no labels and score 0; rows with the same doc_id are separate rows.
+An empty table gives no rows; a very long text is one row, its phrases are looked at in groups; of equal shares one counts, as the
+score is the largest; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Piece weights are exp(theta * score) for unigram models; the scores of BPE model
 weight is (rank + 1) ** -theta.
 
 Defined cases: null and empty texts have no tokens; a literal U+2581 is spelt in bytes, so it isn't read back as a
-blank; equal rows get equal tokens.
+blank; equal rows get equal tokens. An empty table gives no rows; a very long text goes through in segments; columns other than
+doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations

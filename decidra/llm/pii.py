@@ -17,6 +17,7 @@ shuffle. Places in a text come from running sums in blocks of the square root of
 sorted list of words and spans, so a text of very many entities costs little more than a plain one of its size.
 
 Defined cases: null counts as empty; rows with the same doc_id are separate rows; equal places of two kinds both count.
+An empty table gives no rows; a very long text is one row of native expressions; other columns are not read, so names can't clash.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ the start, and it returns only edges between different parts; edges inside a blo
 
 Defined cases: null and empty texts have no words and fingerprint 0; a text of fewer words than a shingle is one
 shingle; rows with the same doc_id are separate rows; a null doc_id never names a component unless all are null.
+An empty table gives no rows; a very long text is one row, read whole by one task; bits set in exactly half the shingles are 0;
+other columns are not read by the query, and near_copies returns them as they are.
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ many texts is one piece, and later ones of them are repeats as a whole.
 
 Defined cases: null counts as empty; rows with the same doc_id are separate rows in the order in which they are read; a
 null doc_id comes first; texts under SIZE bytes stay as they are.
+An empty table gives no rows; a very long text is read in parts of a few MB; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

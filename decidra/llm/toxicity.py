@@ -15,7 +15,8 @@ into a score, so one sure word or several unsure ones make a document toxic.
 Neighbouring words of marginal 0.5 or more form the offending spans (code points, end exclusive).
 
 Defined cases: null and empty texts have no words and get the score of no evidence; rows with the same doc_id are scored
-each; without labels of both classes nothing is learnt and every score is the share of toxic labels.
+each; without labels of both classes nothing is learnt and every score is the share of toxic labels. An empty table gives no rows; a very long text is one row of a task;
+other columns are never inputs, and drop_toxic returns them as they are.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ response by its record id and carry its date, URI and payload digest. Record ids
 gives the same records in any order and on any number of executors.
 
 Defined cases: a null url or html counts as empty; an empty page gives both records with an empty text; pages with the
-same id and content give the same records once for each row.
+same id and content give the same records once for each row. An empty table gives no records; a very long page is read in one
+linear pass; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
