@@ -47,12 +47,14 @@ def pooled_log_odds(trials: DataFrame, pairs: list[tuple[str, str]], within: lis
 
 
 def ratios(rows: DataFrame, base: dict[str, object], columns: list[str], least: float = 0.15) -> DataFrame:
-    """Columns over their value in the base row; null where that is within least of zero."""
+    """Columns over their value in the base row; null where that is within least of zero. More than one base row is an error."""
     condition = None
     for k, v in base.items():
         condition = (F.col(k) == v) if condition is None else condition & (F.col(k) == v)
     one = rows.where(condition).select(*[F.col(c).alias(f"_{c}") for c in columns])
-    out = rows.where(~condition).join(F.broadcast(one))  # base is one row
+    if one.limit(2).count() > 1:
+        raise ValueError("base must name one row")
+    out = rows.where(~condition).join(F.broadcast(one))
     return out.select(*[c for c in rows.columns if c not in columns], *[F.when(F.abs(f"_{c}") > least, F.col(c) / F.col(f"_{c}")).alias(c) for c in columns])
 
 

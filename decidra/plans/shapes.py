@@ -10,6 +10,7 @@ from decidra.functions import text as X
 from decidra.operators import builders as B
 from decidra.operators import items as I
 from decidra.operators import joins as J
+from decidra.operators import sampling as S
 from decidra.sources import writers as W
 
 from .registry import query
@@ -99,7 +100,10 @@ u AS (SELECT k, o FROM r WHERE r <= 5 UNION ALL SELECT k, o FROM p WHERE r <= 2
 def augmented_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-    pool = table(spark, sf_dir, "region").agg(F.collect_set("r_name").alias("pool"))  # five names
+    names = table(spark, sf_dir, "region").select("r_name").distinct()
+    if names.limit(S.MOST_OPTIONS + 1).count() > S.MOST_OPTIONS:
+        raise ValueError("too many names for a pool")
+    pool = names.agg(F.collect_set("r_name").alias("pool"))
     criteria = F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.col("n_name"))
     out = s.join(F.broadcast(pool)).select(F.col("s_suppkey").alias("k"), I.augmented(criteria, F.col("n_name"), F.col("s_suppkey"), F.col("pool"), 6, "23").alias("options"))
     return out.select("k", F.array_join("options", "|").alias("options"))
