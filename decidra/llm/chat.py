@@ -1,9 +1,9 @@
 """Chat formatting from reply trees, with DataFrame functions only.
 
-Nodes of a tree name their parent. Paths from the root to each leaf come from self-joins that double the length of
-the known path each time; branches are ranked by score, and each chosen path becomes one conversation. In the output a
-turn is `<|im_start|>role<|im_sep|>text<|im_end|>` and a line end. Inside roles and texts a backslash is doubled and
-`<|` becomes `<\\|`, so no control string can occur in them, and unescaping gives back every text.
+Nodes of a tree name their parent. Self-joins that double the way up each time give every node its root's distance and score;
+branches are ranked by score, and the nodes of the chosen paths come from the same hops, the longest last. Each path becomes one
+conversation. In the output a turn is `<|im_start|>role<|im_sep|>text<|im_end|>` and a line end. Inside roles and texts a backslash
+is doubled and `<|` becomes `<\\|`, so no control string can occur in them, and unescaping gives back every text.
 
 Defined cases: null roles and texts count as empty; turns with the same number follow each other by role and text;
 a null turn comes first; a node whose parent is missing is a root; nodes on a cycle belong to no path.
@@ -13,10 +13,13 @@ their leaf; other columns are not read, so their names can't clash.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decidra.functions.arrays import running
+
 from .common import written
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
@@ -37,32 +40,39 @@ def chain(turns: DataFrame, tree: str, turn: str) -> DataFrame:
     return nodes.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, path, total): the nodes from root to leaf and the sum of their scores.
+def jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Nodes that hang from a root (tree, node, size, total: nodes and score from the root to it), and hops (tree, node, up).
 
-    After k self-joins a path holds 2 ** k nodes, so the number of joins is the logarithm of the deepest tree. Only
-    numbers move; the texts are joined to the chosen paths.
+    The k-th table of hops leads 2 ** k nodes up. Each round is one self-join of scalars; a way that has not ended
+    after as many nodes as its tree has leads into a cycle and belongs to no root.
+    """
+    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))  # a parent that doesn't exist is none
+    links = nodes.select("tree", "node", "parent", "score").join(known, ["tree", "parent"], "left")
+    links = links.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("size"), F.coalesce("score", F.lit(0.0)).alias("total"))
+    now, hops, over = written(links, "links"), [], []
+    most = now.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while True:
+        over.append(now.where("up is null"))
+        hops.append(now.where("up is not null").select("tree", "node", "up"))
+        if 1 << len(hops) > 2 * most or not hops[-1].limit(1).count():
+            break
+        ahead = now.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("size").alias("more"), F.col("total").alias("above"))
+        longer = now.where("up is not null").join(reduce(DataFrame.union, [ahead, *[x.select("tree", "node", "up", "size", "total") for x in over[:-1]]]), ["tree", "up"])
+        now = written(longer.select("tree", "node", F.col("next").alias("up"), (F.col("size") + F.col("more")).alias("size"), (F.col("above") + F.col("total")).alias("total")), "jumps")
+    return reduce(DataFrame.union, over).select("tree", "node", "size", "total"), hops
+
+
+def paths(leaves: DataFrame, hops: list[DataFrame]) -> DataFrame:
+    """Rows of leaves (tree, leaf, size and others) for each node on the way to the root, with node and at (the root is 1).
+
+    Each round adds the nodes twice as far up, so rows are as many as the paths have nodes.
     """
-    known = nodes.select("tree", "node")
-    # A parent that doesn't exist is none.
-    links = nodes.select("tree", "node", "parent", "score").join(known.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there")), ["tree", "parent"], "left")
-    links = links.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"), F.array("node").alias("path"))
-    inner = links.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = written(links.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "up", "path", "total"), "leaves")
-    jumps, parts = written(links, "jumps"), [leaves.where("up is null")]
-    while (rest := leaves.where("up is not null")).limit(1).count():
-        # Only trees with unfinished paths go on.
-        jumps = jumps.join(rest.select("tree").distinct(), "tree", "left_semi")
-        step = jumps.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("path").alias("before"), F.col("total").alias("more"))
-        longer = rest.join(step, ["tree", "up"]).where("next is null or not array_contains(concat(before, path), next)")
-        leaves = written(longer.select("tree", "leaf", F.col("next").alias("up"), F.concat("before", "path").alias("path"), (F.col("total") + F.col("more")).alias("total")), "leaves")
-        parts.append(leaves.where("up is null"))
-        doubled = jumps.join(step, ["tree", "up"], "left")
-        jumps = written(doubled.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), F.concat(F.coalesce("before", F.slice("path", 1, 0)), "path").alias("path")), "jumps")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.select("tree", "leaf", "path", "total")
+    rest = [c for c in leaves.columns if c not in ("tree", "node", "at")]
+    steps = leaves.select("tree", *rest, F.col("leaf").alias("node"), F.col("size").alias("at"))
+    for k, hop in enumerate(hops[:-1]):
+        higher = steps.join(hop, ["tree", "node"]).select("tree", *rest, F.col("up").alias("node"), (F.col("at") - (1 << k)).alias("at"))
+        steps = written(steps.union(higher), "steps")
+    return steps
 
 
 def formatted(nodes: DataFrame, best: int | None = None) -> DataFrame:
@@ -72,12 +82,14 @@ def formatted(nodes: DataFrame, best: int | None = None) -> DataFrame:
     loss lists the spans of the assistants' texts in the output (1-based start and length, code points).
     """
     nodes = written(nodes.select("tree", "node", "parent", "role", "text", "score"), "nodes")
-    order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.size("path")), F.desc(F.size("path")), "leaf")
-    chosen = paths(nodes).withColumn("rank", F.row_number().over(order))
+    hung, hops = jumps(nodes)
+    leaves = hung.join(hops[0].select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti").withColumnRenamed("node", "leaf")
+    order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("size")), F.desc("size"), "leaf")
+    chosen = leaves.withColumn("rank", F.row_number().over(order))
     if best is not None:
         chosen = chosen.where(F.col("rank") <= best)
-    steps = chosen.select("tree", "leaf", "rank", F.posexplode("path").alias("at", "node"))
-    rows = steps.join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
+    steps = paths(written(chosen.select("tree", "leaf", "rank", "size"), "leaves"), hops)
+    rows = steps.select("tree", "leaf", "rank", "at", "node").join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     turn = F.concat(F.lit(START), escaped(F.col("role")), F.lit(SEP), escaped(F.col("text")), F.lit(END))
     parts = rows.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("role") == "assistant").alias("learned"), F.length(escaped(F.col("text"))).alias("size"), turn.alias("turn")))).alias("turns"))
     ends = running(F.transform("turns", lambda x: F.length(x["turn"])), lambda a, b: a + b)
