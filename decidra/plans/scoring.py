@@ -147,7 +147,7 @@ def softmax_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.round(F.array_max("p"), 6).alias("top"), N.arg_max(F.col("logits")).cast("int").alias("pred"), F.round(N.total(F.col("p")), 6).alias("mass"))
 
 
-@query(f"WITH {CHOICES_SQL}{_SOFT.format(t='1.0')} SELECT id, round((max(p) - 0.1) / 0.9, 6) AS conf, round(sum(p * k), 6) AS expected, round(abs(sum(p * k) - any_value(gold)), 6) AS error FROM p GROUP BY id")
+@query(f"WITH {CHOICES_SQL}{_SOFT.format(t='1.0')} SELECT id, round((max(p) - 1.0::DOUBLE / count(*)) / (1 - 1.0::DOUBLE / count(*)), 6) AS conf, round(sum(p * k), 6) AS expected, round(abs(sum(p * k) - any_value(gold)), 6) AS error FROM p GROUP BY id")
 def confidence_and_expected_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = choices(spark, sf_dir).withColumn("p", N.softmax(F.col("logits")))
     level = N.expected_level(F.col("p"))

@@ -110,11 +110,11 @@ def augmented_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CHOICES_SQL}, m AS (SELECT id, max(z) AS m, max(z) FILTER (k = 0) AS z0 FROM long GROUP BY id), e AS (SELECT id, z0, k, z, exp((z - m) / 0.5) AS e FROM long JOIN m USING (id)), p AS (SELECT id, z0, k, z, e / sum(e) OVER (PARTITION BY id) AS p FROM e),
-g AS (SELECT id, any_value(z0) AS z0, max(p) AS top, arg_max(k, (z, -k)) AS pred, sum(p * k) AS level FROM p GROUP BY id), t AS (SELECT *, CASE id % 3 WHEN 0 THEN 'noul' WHEN 1 THEN 'choice' ELSE 'score' END AS qtype, 1 / (1 + exp(-z0 / 2.0)) AS y FROM g)
-SELECT id, qtype, CASE WHEN qtype = 'noul' THEN CASE WHEN y > 0.5 THEN 'yes' ELSE 'no' END ELSE pred::VARCHAR END AS choice, round(CASE WHEN qtype = 'noul' THEN abs(y - 0.5) * 2 ELSE (top - 0.1) / 0.9 END, 6) AS conf, round(CASE WHEN qtype = 'score' THEN level END, 6) AS level FROM t""")
+g AS (SELECT id, any_value(z0) AS z0, max(p) AS top, count(*)::DOUBLE AS n, arg_max(k, (z, -k)) AS pred, sum(p * k) AS level FROM p GROUP BY id), t AS (SELECT *, CASE id % 3 WHEN 0 THEN 'noul' WHEN 1 THEN 'choice' ELSE 'score' END AS qtype, 1 / (1 + exp(-z0 / 2.0)) AS y FROM g)
+SELECT id, qtype, CASE WHEN qtype = 'noul' THEN CASE WHEN y > 0.5 THEN 'yes' ELSE 'no' END ELSE pred::VARCHAR END AS choice, round(CASE WHEN qtype = 'noul' THEN abs(y - 0.5) * 2 ELSE (top - 1 / n) / (1 - 1 / n) END, 6) AS conf, round(CASE WHEN qtype = 'score' THEN level END, 6) AS level FROM t""")
 def server_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     qtype = F.when(F.col("id") % 3 == 0, "noul").when(F.col("id") % 3 == 1, "choice").otherwise("score")
-    rows = choices(spark, sf_dir).select("id", qtype.alias("qtype"), F.col("logits").alias("z"), F.array(*[F.lit(str(i)) for i in range(10)]).alias("keys"))
+    rows = choices(spark, sf_dir).select("id", qtype.alias("qtype"), F.col("logits").alias("z"), F.transform("logits", lambda _, i: i.cast("string")).alias("keys"))
     return I.answers(rows, 2.0, 0.5).select("id", "qtype", "choice", F.round("conf", 6).alias("conf"), F.round("level", 6).alias("level"))
 
 
