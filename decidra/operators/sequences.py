@@ -33,6 +33,27 @@ def history(rows: DataFrame, episode: list[str], step: str, entry: str, last: in
     return both.withColumn("recent", F.transform(seen, lambda x: x["_entry"])).where("_row is not null").select("_row.*", F.col("_at").alias("before"), "recent")
 
 
+def histories(rows: DataFrame, episode: list[str], step: str, entry: str) -> DataFrame:
+    """All entries before each step, in order, as `history`, and their number as `before`.
+
+    An episode of n steps has n * n / 2 entries to write. Its chunks of BLOCK entries are shuffled once for each later chunk,
+    which is a BLOCK-th of that; a row's history is the chunks before its own, which its block shares, and the entries of
+    the block before it. A task holds one history at a time besides the rows of a block.
+    """
+    placed, block = numbered(rows, episode, step, "before"), F.floor(F.col("before") / BLOCK)
+    entries = placed.select(F.struct(F.lit(0), *episode).alias("_g"), block.alias("_block"), F.col("before").alias("_at"), F.struct(F.col(entry).alias("entry")).alias("_entry"), F.struct(*rows.columns).alias("_row"))
+    entries = stored(entries)  # its keys are then of the same type as the chunks', so histories are joined where they are made
+    chunks = entries.groupBy("_g", "_block").agg(F.array_sort(F.collect_list(F.struct("_at", "_entry"))).alias("_all"))
+    chunks = stored(chunks.select("_g", "_block", F.transform("_all", lambda x: x["_entry"]).alias("_entries")))
+    earlier = chunks.select("_g", F.col("_block").alias("_chunk"), "_entries")
+    before = chunks.select("_g", "_block").join(earlier, "_g").where("_chunk < _block").groupBy("_g", "_block")
+    before = before.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_entries"))), lambda x: x["_entries"])).alias("_before"))
+    own = F.collect_list("_entry").over(Window.partitionBy("_g", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    both = entries.withColumn("_own", own).join(before, ["_g", "_block"], "left")
+    history = F.concat(F.coalesce("_before", F.array().cast(before.schema["_before"].dataType)), "_own")
+    return both.select("_row.*", F.col("_at").alias("before"), F.transform(history, lambda x: x["entry"]).alias("history"))
+
+
 def history_chunks(rows: DataFrame, episode: list[str], step: str, entry: str) -> DataFrame:
     """Entries of an episode in order, in arrays of up to BLOCK: episode, chunk and entries. Each entry is stored once."""
     placed = numbered(rows, episode, step, "_at").withColumn("chunk", F.floor(F.col("_at") / BLOCK))

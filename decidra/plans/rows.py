@@ -21,11 +21,12 @@ from .standins import STEPS_SQL, episodes, table
 _UNIT = "(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-@query(f"WITH {STEPS_SQL} SELECT event_id, count(*) OVER w AS before, array_to_string(coalesce(list(kind) OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []), ',') AS recent FROM steps WINDOW w AS (PARTITION BY episode ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query(f"WITH {STEPS_SQL} SELECT event_id, count(*) OVER w AS before, array_to_string(coalesce(list(kind) OVER (PARTITION BY episode ORDER BY step ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []), ',') AS recent, array_to_string(coalesce(list(kind) OVER w, []), ',') AS history FROM steps WINDOW w AS (PARTITION BY episode ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def episode_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A step's history as its length, which is a range of the episode's chunks, and the ten entries that a row shows."""
-    rows = Q.history(episodes(spark, sf_dir), ["episode"], "step", "kind")
-    return rows.select("event_id", "before", F.array_join("recent", ",").alias("recent"))
+    """A step's whole history, its length and the ten entries that a row shows."""
+    rows = Q.histories(episodes(spark, sf_dir), ["episode"], "step", "kind")
+    recent = F.slice("history", F.greatest(F.size("history") - 9, F.lit(1)), 10)
+    return rows.select("event_id", "before", F.array_join(recent, ",").alias("recent"), F.array_join("history", ",").alias("history"))
 
 
 @query(f"WITH {STEPS_SQL} SELECT episode, step // 4096 AS chunk, string_agg(kind, ',' ORDER BY step) AS entries FROM steps GROUP BY ALL")

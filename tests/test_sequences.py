@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from decidra.operators import sequences as Q
+from decidra.plans import QUERIES
 
 
 @pytest.mark.parametrize("block", [16, 4096])
@@ -28,6 +29,28 @@ def test_histories_as_ranges(spark, monkeypatch, block):
     assert later == {(e, s): sorted({k for t, k in x if t > s and k}) for e, x in own.items() for s, _ in x}
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_whole_histories(spark, monkeypatch, block):
+    """Every entry before a step is there, however many chunks the episode has."""
+    monkeypatch.setattr(Q, "BLOCK", block)
+    rng = random.Random(2)
+    rows = [(e, s * 2, rng.choice(["a", "b", None, "c"])) for e, n in (("x", 50), (None, 33), ("y", 1)) for s in range(n)]
+    frame = spark.createDataFrame(rows, "e string, step long, kind string").repartition(3)
+    own = defaultdict(list)
+    for e, s, k in rows:
+        own[e].append((s, k))
+    got = {(r.e, r.step): (r.before, r.history) for r in Q.histories(frame, ["e"], "step", "kind").collect()}
+    assert got == {(e, s): (i, [k for _, k in x[:i]]) for e, x in own.items() for i, (s, _) in enumerate(x)}
+    assert Q.histories(frame.where("false"), ["e"], "step", "kind").count() == 0
+
+
+def test_query_gives_whole_histories(spark):
+    """A step shows the entries of all steps before it, not the last ten alone."""
+    rows = QUERIES["episode_history"](spark, "/root/testdata/sf0.001").collect()
+    assert max(r.before for r in rows) > 10
+    assert all(len(r.history.split(",") if r.history else []) == r.before for r in rows)
+
+
 def test_masks_by_ranges(spark):
     sequences = {1: [0, 0, 0, 1, 1, 2, 3, 3, 3], 2: [0], 3: [1, 1], 4: [0, 0, 1]}
     places = spark.createDataFrame([(k, i, s) for k, x in sequences.items() for i, s in enumerate(x)], "k long, i int, segment int")
