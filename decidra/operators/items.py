@@ -88,14 +88,14 @@ def confusable(rows: DataFrame, keys: list[str], key: str, role: str, text: str,
     """The k elements of an image that are easiest to take for the target: same role first, then length, with a hashed jitter.
 
     Others of the same role are looked for first; rows that have fewer than k of them fill up with other roles. The jitter
-    differs from pair to pair, so all rows of a cell have to be looked at.
+    differs from pair to pair, so all rows of a length and role have to be looked at; only pairs that may be among the k go on.
     """
     jitter = N.hash_unit(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")), seed) * 3
     own = rows.select(*keys, key, F.col(role).alias("_role"), F.length(text).alias("_length"))
-    alike = J.nearest(own, [*keys, "_role"], key, {"_length": 1.0}, k, jitter)
+    alike = J.nearest(own, [*keys, "_role"], key, {"_length": 1.0}, k, jitter, most=3.0)
     few = alike.groupBy(key).agg(F.count("*").alias("_n"))
     short = own.join(few, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).where(F.col("_n") < k)
-    more = J.nearest(own, keys, key, {"_length": 1.0}, k, jitter, others=("_role", short.select(key))).join(short.select(key, "_n"), key)
+    more = J.nearest(own, keys, key, {"_length": 1.0}, k, jitter, others=("_role", short.select(key)), most=3.0).join(short.select(key, "_n"), key)
     return alike.unionByName(more.where(F.col("rank") + F.col("_n") <= k).withColumn("rank", (F.col("rank") + F.col("_n")).cast("int")).drop("_n"))
 
 
