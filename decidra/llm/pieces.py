@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +92,10 @@ class Pieces:
 
     def edges(self, data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First byte, byte after the last and piece of every edge; left: bytes from each one to its unit's end."""
+        return tuple(np.concatenate(x) for x in zip(*self.edges_by_size(data, left), strict=True))
+
+    def edges_by_size(self, data: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The edges in parts, in which no two end at one byte."""
         live = np.flatnonzero((data & 0xC0) != 0x80)
         size = np.select([data < 0x80, data < 0xE0, data < 0xF0], [1, 2, 3], 4)
         classes, spelt = self.classes[data], np.ones(len(data), bool)
@@ -111,7 +117,7 @@ class Pieces:
         for k in range(4):  # characters that are no piece, byte by byte
             at = chars[spelt[chars] & (size[chars] > k) & (left[chars] > k)] + k
             out.append((at, at + 1, self.bytes[data[at]]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        return out
 
     def lattice(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Forward pass over all units together, place by place.
@@ -123,13 +129,25 @@ class Pieces:
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         base = np.cumsum(sizes) - sizes
         place = np.arange(len(data)) - np.repeat(base, sizes)
-        first, after, ids = self.edges(data, np.repeat(sizes, sizes) - place)
-        order = np.lexsort((after, place[after - 1]))
-        first, node, ids = first[order], after[order] - 1, ids[order]
-        heads = np.flatnonzero(np.diff(node, prepend=-1))
-        counts = np.diff(np.append(heads, len(node)))
+        parts = self.edges_by_size(data, np.repeat(sizes, sizes) - place)
+        # Edges are dealt to their nodes, which go by place (under LONG, so 16 bits sort in linear time), part by part.
+        incoming = np.zeros(len(data), np.int64)
+        for _, after, _ in parts:
+            incoming[after - 1] += 1
+        nodes = np.argsort(place.astype(np.uint16), kind="stable")
+        nodes = nodes[incoming[nodes] > 0]
+        counts = incoming[nodes]
+        heads = np.cumsum(counts) - counts
         number = np.full(len(data), -1, np.int64)
-        number[node[heads]] = np.arange(len(heads))
+        number[nodes] = np.arange(len(nodes))
+        slot = np.zeros(len(data), np.int64)
+        slot[nodes] = heads
+        node = np.repeat(nodes, counts)
+        first, ids = np.empty(len(node), np.int64), np.empty(len(node), np.int32)
+        for begin, after, piece in parts:
+            at = slot[after - 1]
+            first[at], ids[at] = begin, piece
+            slot[after - 1] = at + 1
         total, value = np.full(len(data), -np.inf), self.weight[ids]
         rounds = np.flatnonzero(np.diff(place[node[heads]], prepend=-1)) if len(heads) else np.empty(0, np.int64)
         for a, b in zip(rounds.tolist(), [*rounds[1:].tolist(), len(heads)], strict=True):
@@ -212,7 +230,8 @@ def sampled(texts: list[bytes], keys: list[int], vocabulary: Pieces, offsets: li
     """Token ids of each text; offsets: bytes before it, where it is a segment of a longer one."""
     split = [_UNITS.findall(t) for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
-    lengths = np.fromiter((len(u) for s in split for u in s), np.int64, int(sizes.sum()))
+    flat = list(chain.from_iterable(split))
+    lengths = np.fromiter(map(len, flat), np.int64, len(flat))
     if not len(lengths):
         return [np.empty(0, np.int32) for _ in texts]
     # Units count their random numbers from their place in the text, so no two count the same.
@@ -222,14 +241,16 @@ def sampled(texts: list[bytes], keys: list[int], vocabulary: Pieces, offsets: li
     head = begins[np.minimum(np.concatenate(([0], np.cumsum(sizes)))[:-1], len(begins) - 1)]
     place = begins - head[owner] + np.array(offsets or [0] * len(texts), np.int64)[owner]
     state = np.array(keys, np.uint64)[owner] + place.astype(np.uint64) * _GOLDEN
-    index: dict[bytes, int] = {}
-    number = index.setdefault
-    which = np.fromiter((number(u, len(index)) if len(u) <= LONG else -1 for s in split for u in s), np.int64, len(lengths))
+    index: dict[bytes, int] = defaultdict(count().__next__)
+    fits = lengths <= LONG
+    which = np.full(len(flat), -1, np.int64)
+    which[fits] = np.fromiter(map(index.__getitem__, compress(flat, fits) if not fits.all() else flat), np.int64, int(fits.sum()))
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     counts = np.zeros(len(which), np.int64)
     if index:
         base, number_of, source, ids, ladder = vocabulary.lattice(list(index))
-        live = np.flatnonzero(which >= 0)
+        # Equal units side by side, so that their draws look at the same nodes.
+        live = np.argsort(which.astype(np.int32), kind="stable")[len(which) - int(fits.sum()) :]
         at, step = lengths[live], 0
         while len(live):
             step += 1
@@ -240,7 +261,6 @@ def sampled(texts: list[bytes], keys: list[int], vocabulary: Pieces, offsets: li
             at = source[edge]
             go = at > 0
             live, at = live[go], at[go]
-    flat = [u for s in split for u in s] if (which < 0).any() else []
     long = {int(k): vocabulary.sampled_long(flat[k], int(state[k])) for k in np.flatnonzero(which < 0)}
     for k, drawn in long.items():
         counts[k] = len(drawn)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from decidra.llm import chat, common, decontaminate, exact_dedup, licenses, pieces, pii, queries, simhash, suffix_dedup, toxicity, warc
@@ -317,6 +318,22 @@ def test_pieces_are_lossless_reproducible_and_sampled(spark):
     assert other != got
 
 
+def test_lattice_deals_edges_in_the_order_of_a_sort():
+    """Parts of the edges end at different bytes, so they are dealt to their nodes without a sort of all edges."""
+    vocabulary = pieces.pieces(pieces.MODEL, 1.0)
+    units = ["the".encode(), " naïve".encode(), "日本語\U0001f600".encode(), b"\n", b"x" * 300, " ▁".encode(), b" "]
+    data = np.frombuffer(b"".join(units), np.uint8)
+    sizes = np.array([len(u) for u in units])
+    place = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = np.repeat(sizes, sizes) - place
+    assert all(len(set(after.tolist())) == len(after) for _, after, _ in vocabulary.edges_by_size(data, left))
+    first, after, ids = vocabulary.edges(data, left)
+    order = np.lexsort((after, place[after - 1]))
+    _, number, source, got, ladder = vocabulary.lattice(units)
+    assert got.tolist() == ids[order].tolist() and source.tolist() == place[first[order]].tolist()
+    assert number[after[order] - 1].tolist() == (np.ceil(ladder) - 1).astype(int).tolist()
+
+
 def test_pieces_equal_plain_version(spark, data):
     vocabulary = pieces.pieces(pieces.MODEL, pieces.THETA)
     got = {r.doc_id: r.tokens for r in queries.op3_sentencepiece(spark, data).collect()}
